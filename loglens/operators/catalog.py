@@ -44,7 +44,7 @@ def nearest_topics(names: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     part = F.pmod(F.xxhash64("topic"), F.lit(CATALOG_PARTS))
     packed = catalog.select("topic").distinct().groupBy(part.alias("part")).agg(F.collect_list("topic").alias("topics"))
     spread = names.select("name").where(F.col("name").isNotNull()).distinct()
-    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(CATALOG_PARTS - 1))).cast("bigint"))
+    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CATALOG_PARTS - 1).cast("bigint"))))
     ranked = F.array_sort(
         F.transform(
             "topics", lambda t: F.struct(F.levenshtein(F.col("name"), t).alias("distance"), t.alias("topic"))
