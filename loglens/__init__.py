@@ -7,8 +7,10 @@ from loglens.functions.payload import (
     frame,
     glue_header,
     parse_json_payload,
+    with_json_text,
+    with_kinds,
 )
-from loglens.functions.render import record_age, render_json, render_line, render_timestamp
+from loglens.functions.render import record_age, render_json, render_line, render_timestamp, show_json
 from loglens.functions.selectors import parse_selector, split_topic_partition
 from loglens.functions.text import utf8_lossy
 from loglens.functions.times import resolve_time, time_bounds

@@ -97,28 +97,31 @@ def partition_of(key: str | bytes, partitions: int) -> int:
 def kafka_partition_native(key: Column | str, partitions: Column | int) -> Column:
     """``kafka_partition`` without Python, from built-in functions only."""
     k = col(key).cast("binary")
-    digits, size = F.hex(k), F.octet_length(k)
+    size = F.octet_length(k)
+    # byte order reversed within every whole word; a shorter rest keeps its order
+    digits = F.regexp_replace(F.hex(k), "(..)(..)(..)(..)", "$4$3$2$1")
     mask, m = F.lit(MASK), F.lit(MULTIPLIER)
 
     def wrap(c: Column) -> Column:
         return c.bitwiseAND(mask)
 
+    def number(hexadecimal: Column) -> Column:
+        return F.conv(hexadecimal, 16, 10).cast("bigint")
+
     def little_endian(at: Column, n: int) -> Column:
-        """The n bytes from 0-based byte position ``at`` as a number."""
-        order = [F.substr(digits, (at + b) * 2 + 1, F.lit(2)) for b in reversed(range(n))]
-        return F.conv(F.concat(*order), 16, 10).cast("bigint")
+        """The last n bytes, from 0-based byte position ``at``, as a number."""
+        return number(F.concat(*[F.substr(digits, (at + b) * 2 + 1, F.lit(2)) for b in reversed(range(n))]))
 
     def scramble(word: Column) -> Column:
-        w = wrap(word * m)
-        return wrap(w.bitwiseXOR(F.shiftrightunsigned(w, WORD_SHIFT)) * m)
+        return wrap(word.bitwiseXOR(F.shiftrightunsigned(word, WORD_SHIFT)) * m)
 
-    positions = F.when(size >= 4, F.sequence(F.lit(0), F.floor(size / 4).cast("int") - 1)).otherwise(
+    positions = F.when(size >= 4, F.sequence(F.lit(1), (size - 3) * 2, F.lit(8))).otherwise(
         F.array().cast("array<int>")
     )
     body = F.aggregate(
-        F.transform(positions, lambda i: scramble(little_endian(i * 4, 4))),
+        F.transform(positions, lambda i: wrap(number(F.substr(digits, i, F.lit(8))) * m)),
         F.lit(SEED).bitwiseXOR(size.cast("bigint")),
-        lambda h, w: wrap(h * m).bitwiseXOR(w),
+        lambda h, w: wrap(h * m).bitwiseXOR(scramble(w)),
     )
     rest = size % 4
     at = size - rest

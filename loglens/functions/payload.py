@@ -7,10 +7,11 @@ out only where they are asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.functions.text import col, is_text
+from loglens.functions.text import col, is_text, once
+from loglens.plans.staging import with_computed
 
 # Fixed values of the two wire formats.
 CONFLUENT, CONFLUENT_HEADER = "confluent", 5
@@ -109,75 +110,112 @@ def _too_deep(text: Column) -> Column:
     structure = F.regexp_replace(text, r"\\.", "")
     structure = F.regexp_replace(structure, r'"[^"]*"', "")
     structure = F.regexp_replace(structure, r"[^\[\]{}]", "")
-    opening = F.regexp_replace(text, r"[^\[{]", "")
     deepest = F.aggregate(
         F.split(structure, ""),
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
         lambda s, c: F.struct(
             (s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"),
-            F.greatest(
-                s["most"], s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
-            ).alias("most"),
+            F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"),
         ),
         lambda s: s["most"],
     )
-    return F.when(F.length(opening) >= JSON_DEPTH, deepest >= JSON_DEPTH).otherwise(False)
+    openings = F.length(text) - F.length(F.translate(text, "[{", ""))
+    return (F.octet_length(text) >= 2 * JSON_DEPTH) & (openings >= JSON_DEPTH) & (deepest >= JSON_DEPTH)
 
 
 def _lone_surrogate(text: Column) -> Column:
     escapes = F.regexp_replace(text, r"\\\\", "")
     high, low = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
-    return F.when(
-        F.contains(text, F.lit("\\u")), F.regexp_replace(escapes, high + low, "").rlike(f"{high}|{low}")
-    ).otherwise(False)
+    return F.contains(text, F.lit("\\u")) & F.regexp_replace(escapes, high + low, "").rlike(f"{high}|{low}")
 
 
-def _overflow(text: Column, value: Column) -> Column:
+def _overflow(text: Column, json: Column) -> Column:
     """A number beyond the range of a double, which the parser turns into infinity."""
 
     def count(c: Column) -> Column:
         return F.length(c) - F.length(F.replace(c, F.lit("Infinity"), F.lit("Infinit")))
 
-    return F.when(
-        text.rlike(r"[0-9][eE][+]?[0-9]{2}|[0-9]{309}"), count(F.to_json(value)) > count(text)
-    ).otherwise(False)
+    return (
+        F.contains(json, F.lit("Infinity"))
+        & text.rlike(r"[0-9][eE][+]?[0-9]{2}|[0-9]{309}")
+        & (count(json) > count(text))
+    )
 
 
-def parse_json_payload(text: Column) -> Column:
-    """VARIANT of a text which is exactly one JSON value, else null.
+def _wrapped(text: Column) -> Column:
+    """The text as first item of an array that ends with a long constant, as VARIANT.
 
-    ``try_parse_json`` ignores what follows the first value. The text is
-    therefore parsed as the first item of an array whose last item is a long
-    constant: only if exactly these two items come back was it a single value.
+    ``try_parse_json`` ignores what follows the first value; only if exactly
+    these two items come back was the text a single value. A look at the first
+    character keeps prose from being copied and parsed.
     """
     allow_duplicate_keys()
-    # cheap look at the first character, so that prose is never copied or parsed
     likely = text.rlike(r'^[ \t\r\n]*(?:[\[{"0-9-]|(?:true|false|null)[ \t\r\n]*$)')
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{JSON_END}"]')))
-    # named once through a one-element array, so that the text is parsed once
-    whole = F.transform(
-        F.array(wrapped),
-        lambda w: F.when(
-            (F.try_variant_get(w, "$[1]", "string") == JSON_END) & F.try_variant_get(w, "$[2]", "variant").isNull(),
-            F.try_variant_get(w, "$[0]", "variant"),
-        ),
-    )
-    value = F.transform(
-        whole,
-        lambda v: F.when(~(_too_deep(text) | _lone_surrogate(text) | _overflow(text, v)), v),
+    return F.when(likely, F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{JSON_END}"]'))))
+
+
+def _single(wrapped: Column, text: Column) -> Column:
+    exactly = (F.try_variant_get(wrapped, "$[1]", "string") == JSON_END) & (
+        # a third item is only possible if the text itself brought the constant along
+        ~F.contains(text, F.lit(JSON_END)) | F.try_variant_get(wrapped, "$[2]", "variant").isNull()
     )
-    return F.when(likely, F.element_at(value, 1))
+    return F.when(exactly, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
-def classify_payload(b: Column | str) -> Column:
-    """null, string, json, avro or unknown."""
+def _rejected(text: Column, json: Column) -> Column:
+    """Texts the parser is more lenient about than the format."""
+    return _too_deep(text) | _lone_surrogate(text) | _overflow(text, json)
+
+
+def parse_json_payload(text: Column) -> Column:
+    """VARIANT of a text which is exactly one JSON value, else null.
+
+    For whole columns ``with_json_text`` is faster: it computes each step once
+    and stays compiled.
+    """
+    single = once(_wrapped(text), lambda w: _single(w, text))
+    return once(single, lambda v: F.when(~_rejected(text, F.to_json(v)), v))
+
+
+def with_json_text(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds ``name``: the JSON value of a text as compact JSON with sorted keys, else null.
+
+    The text is parsed once, whatever is filtered afterwards.
+    """
+    kept = df.columns
+    df = with_computed(df, _wrapped=_wrapped(text))
+    df = with_computed(df, _compact=F.to_json(_single(F.col("_wrapped"), text)))
+    compact = F.col("_compact")
+    return df.select(*kept, F.when(compact.isNotNull() & ~_rejected(text, compact), compact).alias(name))
+
+
+def kind_of(b: Column | str, is_json: Column) -> Column:
     b = col(b)
-    text = b.cast("string")
     return (
         F.when(b.isNull(), NULL)
         .when(F.octet_length(b) == 0, STRING)
         .when(is_framed(b), AVRO)
         .when(~is_text(b), UNKNOWN)
-        .when(parse_json_payload(text).isNotNull(), JSON)
+        .when(is_json, JSON)
         .otherwise(STRING)
     )
+
+
+def textual(b: Column | str) -> Column:
+    """The text of bytes that may be JSON: neither framed nor malformed, else null."""
+    b = col(b)
+    return F.when(~is_framed(b) & is_text(b), b.cast("string"))
+
+
+def classify_payload(b: Column | str) -> Column:
+    """null, string, json, avro or unknown, of one payload expression."""
+    return kind_of(b, parse_json_payload(col(b).cast("string")).isNotNull())
+
+
+def with_kinds(df: DataFrame, columns: tuple[str, ...] = ("key", "value")) -> DataFrame:
+    """Adds ``{column}_kind``: ``classify_payload`` of whole columns."""
+    kept = df.columns
+    for c in columns:
+        df = with_json_text(df, textual(c), f"_{c}_json")
+    kinds = [kind_of(c, F.col(f"_{c}_json").isNotNull()).alias(f"{c}_kind") for c in columns]
+    return df.select(*kept, *kinds)

@@ -7,14 +7,15 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loglens.functions.text import col
+from loglens.functions.text import col, once
 from loglens.functions.times import after_millis, floor_millis, timestamp_literal
 
 # The short escapes of JSON and what they stand for.
-ESCAPES = {'\\"': '"', "\\/": "/", "\\b": "\b", "\\f": "\f", "\\n": "\n", "\\r": "\r", "\\t": "\t"}
-CONTROL = 0x20
-# Control characters are always escaped in JSON, so raw ones are free to be marks.
-BACKSLASH_MARK, QUOTE_MARK = "\x01", "\x02"
+ESCAPES = (('\\"', '"'), ("\\/", "/"), ("\\b", "\b"), ("\\f", "\f"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"))
+# The other control characters, as the JSON writer escapes them.
+CODES = tuple((f"\\u{code:04X}", chr(code)) for code in range(0x20) if code != 1)
+# JSON text holds no raw control characters, so U+0001 can mark a backslash and itself.
+BACKSLASH, ITSELF = "\x01b", "\x01i"
 PADDING = (("{", "{ "), ("[", "[ "), (",", ", "), (":", ": "), ("}", " }"), ("]", " ]"), ("{  }", "{}"), ("[  ]", "[]"))
 
 
@@ -26,23 +27,25 @@ def _replace_all(c: Column, pairs) -> Column:
 
 def _pad(json: Column) -> Column:
     """Spaces inside brackets and after separators, but never inside strings."""
-    marked = _replace_all(json, (("\\\\", BACKSLASH_MARK), ('\\"', QUOTE_MARK)))
+    marked = _replace_all(json, (("\\\\", "\x01"), ('\\"', "\x02")))
     pieces = F.transform(
         F.split(marked, '"'), lambda piece, i: F.when(i % 2 == 0, _replace_all(piece, PADDING)).otherwise(piece)
     )
-    return _replace_all(F.array_join(pieces, '"'), ((QUOTE_MARK, '\\"'), (BACKSLASH_MARK, "\\\\")))
+    return _replace_all(F.array_join(pieces, '"'), (("\x02", '\\"'), ("\x01", "\\\\")))
 
 
 def _unescape(json: Column) -> Column:
     """Strings as they are, without JSON escapes (the quotes around them stay)."""
+    short = _replace_all(json, (("\\\\", BACKSLASH), *ESCAPES, ("\\u0001", ITSELF)))
+    codes = F.when(F.contains(json, F.lit("\\u00")), _replace_all(short, CODES)).otherwise(short)
+    plain = _replace_all(codes, ((BACKSLASH, "\\"), (ITSELF, "\x01")))
+    return F.when(F.contains(json, F.lit("\\")), plain).otherwise(json)
 
-    def plain(piece: Column) -> Column:
-        short = _replace_all(piece, ESCAPES.items())
-        codes = ((f"\\u{code:04X}", chr(code)) for code in range(CONTROL))
-        return F.when(F.contains(short, F.lit("\\u00")), _replace_all(short, codes)).otherwise(short)
 
-    pieces = F.transform(F.split(json, r"\\\\"), plain)
-    return F.when(F.contains(json, F.lit("\\")), F.array_join(pieces, "\\")).otherwise(json)
+def show_json(json: Column, indent: bool = False, escape: bool = False) -> Column:
+    """A compact JSON text as it is shown."""
+    json = _pad(json) if indent else json
+    return json if escape else _unescape(json)
 
 
 def render_json(value: Column | str, indent: bool = False, escape: bool = False) -> Column:
@@ -51,9 +54,7 @@ def render_json(value: Column | str, indent: bool = False, escape: bool = False)
     Text inside strings is shown as it is. ``escape=True`` keeps the escapes
     and thereby valid JSON.
     """
-    json = F.to_json(col(value))
-    json = _pad(json) if indent else json
-    return json if escape else _unescape(json)
+    return once(F.to_json(col(value)), lambda json: show_json(json, indent, escape))
 
 
 def render_timestamp(ts: Column | str, timestamp_type: Column | str | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often it is used.
+
+    Expressions have no local names, but the variable of a one-element transform is one.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def utf8_lossy(c: Column | str) -> Column:
     """Bytes as text; every malformed sequence becomes one U+FFFD."""
     return F.make_valid_utf8(col(c).cast("string"))

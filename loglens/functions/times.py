@@ -56,7 +56,7 @@ def time_bounds(expression: Column | str, now: dt.datetime | str | Column) -> tu
 
     def complete(suffix: str) -> Column:
         missing = F.substr(F.lit(suffix), F.length(text) - (FULL - len(suffix)) + 1)
-        return F.try_to_timestamp(F.concat(text, missing), F.lit("yyyy-MM-dd HH:mm:ss"))
+        return F.concat(text, missing).try_cast("timestamp")
 
     def meaning(absolute: Column) -> Column:
         return F.when(e == "now", now).when(e.rlike(AGO), ago).otherwise(absolute)

@@ -9,6 +9,7 @@ from loglens.functions.partitioner import kafka_partition, partition_of
 from loglens.functions.text import REPLACEMENT, utf8_lossy
 from loglens.operators.catalog import topic_catalog
 from loglens.plans.sizing import Limits, attach_per_topic
+from loglens.plans.staging import with_computed
 
 
 def key_is(key: str) -> Column:
@@ -94,10 +95,12 @@ def with_expected_partition(
     log shows.
     """
     if isinstance(n_partitions, int):
-        return log.withColumn("expected_partition", kafka_partition("key", n_partitions))
-    catalog = topic_catalog(log) if n_partitions is None else n_partitions
-    counted = attach_per_topic(log, catalog, "n_partitions", limits)
-    return counted.withColumn("expected_partition", kafka_partition("key", F.col("n_partitions"))).drop("n_partitions")
+        counted, n = log, n_partitions
+    else:
+        catalog = topic_catalog(log) if n_partitions is None else n_partitions
+        counted, n = attach_per_topic(log, catalog, "n_partitions", limits), F.col("n_partitions")
+    hashed = counted.withColumn("_expected", kafka_partition("key", n))
+    return with_computed(hashed, expected_partition=F.col("_expected")).select(*log.columns, "expected_partition")
 
 
 def partitioner_audit(

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.avro import decode_frame
-from loglens.functions.payload import AVRO, JSON, NULL, STRING, UNKNOWN, frame, is_framed, parse_json_payload
-from loglens.functions.render import render_json
-from loglens.functions.text import is_text, mentions, utf8_lossy
+from loglens.functions.payload import frame, is_framed, kind_of, textual, with_json_text
+from loglens.functions.render import show_json
+from loglens.functions.text import mentions, utf8_lossy
 from loglens.plans.sizing import BROADCAST_BYTES, few_rows
+from loglens.plans.staging import with_computed
 from loglens.sources.log import as_schemas
 
 SCHEMA_ROWS = 10_000
@@ -85,7 +86,8 @@ def decode_avro(
         mode == FAILFAST,
         with_json,
     )
-    return framed.withColumn(f"{column}_avro", decoded).select(*log.columns, f"{column}_avro")
+    framed = with_computed(framed.withColumn("_decoded", decoded), **{f"{column}_avro": F.col("_decoded")})
+    return framed.select(*log.columns, f"{column}_avro")
 
 
 def with_payloads(
@@ -103,8 +105,7 @@ def with_payloads(
     """
     kept = log.columns
     for c in columns:
-        json = F.when(~is_framed(c) & is_text(c) & (F.octet_length(c) > 0), parse_json_payload(F.col(c).cast("string")))
-        log = log.withColumn(f"_{c}_json", json)
+        log = with_json_text(log, textual(c), f"_{c}_json")
         if schemas is not None:
             log = decode_avro(log, schemas, c, indent, mode)
             avro = F.col(f"{c}_avro")["text"]
@@ -113,20 +114,13 @@ def with_payloads(
         else:
             avro = F.lit(None).cast("string")
         is_json = F.col(f"_{c}_json").isNotNull()
-        kind = (
-            F.when(F.col(c).isNull(), NULL)
-            .when(is_framed(c), AVRO)
-            .when(~is_text(c), UNKNOWN)
-            .when(is_json, JSON)
-            .otherwise(STRING)
-        )
         text = (
             F.when(F.col(c).isNull(), "null")
+            .when(is_json, show_json(F.col(f"_{c}_json"), indent))
             .when(is_framed(c), avro)
-            .when(is_json, render_json(f"_{c}_json", indent))
             .otherwise(utf8_lossy(c))
         )
-        log = log.withColumns({f"{c}_kind": kind, f"{c}_text": text})
+        log = log.withColumns({f"{c}_kind": kind_of(c, is_json), f"{c}_text": text})
     added = [f"{c}_{part}" for c in columns for part in ("kind", "text")]
     return log.select(*kept, *added)
 

@@ -216,23 +216,17 @@ def audit_summary(spark, sf_dir):
 
 @query
 def classify_payload(spark, sf_dir):
-    return _all_logs(spark, sf_dir).select(
-        "topic",
-        "partition",
-        "offset",
-        L.classify_payload("key").alias("key_kind"),
-        L.classify_payload("value").alias("value_kind"),
-    )
+    kinds = L.with_kinds(_all_logs(spark, sf_dir))
+    return kinds.select("topic", "partition", "offset", "key_kind", "value_kind")
 
 
 @query
 def json_render(spark, sf_dir):
-    json = L.parse_json_payload(F.col("value").cast("string"))
-    parsed = logs.orders_log(spark, sf_dir).select("offset", json.alias("json"))
+    parsed = L.with_json_text(logs.orders_log(spark, sf_dir), F.col("value").cast("string"), "json")
     return parsed.select(
         "offset",
-        L.render_json("json").alias("plain"),
-        L.render_json("json", indent=True).alias("indented"),
+        L.show_json(F.col("json")).alias("plain"),
+        L.show_json(F.col("json"), indent=True).alias("indented"),
     )
 
 
