@@ -177,13 +177,14 @@ def parse_json_payload(text: Column) -> Column:
     return once(single, lambda v: F.when(~_rejected(text, F.to_json(v)), v))
 
 
-def with_json_text(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Adds ``name``: the JSON value of a text as compact JSON with sorted keys, else null.
+def with_json_text(df: DataFrame, payload: Column, name: str) -> DataFrame:
+    """Adds ``name``: the JSON value of a text payload as compact JSON with sorted keys, else null.
 
-    The text is parsed once, whatever is filtered afterwards.
+    Framed and malformed bytes are not text. The text is parsed once, whatever
+    is filtered afterwards.
     """
-    kept = df.columns
-    df = with_computed(df, _wrapped=_wrapped(text))
+    kept, text = df.columns, payload.cast("string")
+    df = with_computed(df, _wrapped=F.when(~is_framed(payload) & is_text(payload), _wrapped(text)))
     df = with_computed(df, _compact=F.to_json(_single(F.col("_wrapped"), text)))
     compact = F.col("_compact")
     return df.select(*kept, F.when(compact.isNotNull() & ~_rejected(text, compact), compact).alias(name))
@@ -201,12 +202,6 @@ def kind_of(b: Column | str, is_json: Column) -> Column:
     )
 
 
-def textual(b: Column | str) -> Column:
-    """The text of bytes that may be JSON: neither framed nor malformed, else null."""
-    b = col(b)
-    return F.when(~is_framed(b) & is_text(b), b.cast("string"))
-
-
 def classify_payload(b: Column | str) -> Column:
     """null, string, json, avro or unknown, of one payload expression."""
     return kind_of(b, parse_json_payload(col(b).cast("string")).isNotNull())
@@ -216,6 +211,6 @@ def with_kinds(df: DataFrame, columns: tuple[str, ...] = ("key", "value")) -> Da
     """Adds ``{column}_kind``: ``classify_payload`` of whole columns."""
     kept = df.columns
     for c in columns:
-        df = with_json_text(df, textual(c), f"_{c}_json")
+        df = with_json_text(df, F.col(c), f"_{c}_json")
     kinds = [kind_of(c, F.col(f"_{c}_json").isNotNull()).alias(f"{c}_kind") for c in columns]
     return df.select(*kept, *kinds)

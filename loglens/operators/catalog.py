@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.functions.selectors import split_topic_partition
+from loglens.plans.sizing import BROADCAST_ROWS, few_rows, held, join_side
 
 # Number of suggestions shown by default.
 SUGGESTIONS = 15
@@ -42,7 +43,7 @@ def nearest_topics(names: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     once and leaves with at most ``k`` topics, so no pairs are shuffled.
     """
     part = F.pmod(F.xxhash64("topic"), F.lit(CATALOG_PARTS))
-    packed = catalog.select("topic").distinct().groupBy(part.alias("part")).agg(F.collect_list("topic").alias("topics"))
+    packed = catalog.select("topic").groupBy(part.alias("part")).agg(F.collect_list("topic").alias("topics"))
     spread = names.select("name").where(F.col("name").isNotNull()).distinct()
     spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CATALOG_PARTS - 1).cast("bigint"))))
     ranked = F.array_sort(
@@ -63,7 +64,7 @@ def suggest_topics(names: DataFrame | Sequence[str], catalog: DataFrame, k: int
     """Closest topics per requested name, by edit distance and then by topic."""
     if not isinstance(names, DataFrame):
         names = catalog.sparkSession.createDataFrame([(n,) for n in names], "name string")
-    return nearest_topics(names, catalog, k)
+    return nearest_topics(names, held(catalog), k)
 
 
 def resolve_selectors(requests: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -73,7 +74,8 @@ def resolve_selectors(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     (with the closest topic as suggestion), ambiguous and no_topics. A null
     selector means the only topic there is.
     """
-    some = [r["topic"] for r in catalog.select("topic").distinct().limit(2).collect()]
+    catalog = held(catalog.select("topic", "n_partitions"))
+    some = [r["topic"] for r in catalog.select("topic").limit(2).collect()]
     only = some[0] if len(some) == 1 else None
     without = "ok" if only is not None else ("ambiguous" if some else "no_topics")
 
@@ -85,6 +87,7 @@ def resolve_selectors(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     unknown = known.where(F.col("n_partitions").isNull()).select("name")
     near = nearest_topics(unknown, catalog, 1).select("name", F.col("topic").alias("suggestion"))
     decided = known.join(near, "name", "left")
+    decided = join_side(decided, few_rows(decided, BROADCAST_ROWS))
 
     count = F.col("n_partitions")
     status = (

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.avro import decode_frame
-from loglens.functions.payload import frame, is_framed, kind_of, textual, with_json_text
+from loglens.functions.payload import frame, is_framed, kind_of, with_json_text
 from loglens.functions.render import show_json
 from loglens.functions.text import mentions, utf8_lossy
-from loglens.plans.sizing import BROADCAST_BYTES, few_rows
+from loglens.plans.sizing import BROADCAST_BYTES, few_rows, join_side
 from loglens.plans.staging import with_computed
 from loglens.sources.log import as_schemas
 
@@ -45,8 +45,7 @@ def join_schemas(heads: DataFrame, schemas: DataFrame) -> DataFrame:
     schemas = as_schemas(schemas)
     rows = few_rows(schemas, SCHEMA_ROWS)
     small = rows is not None and sum(len(r["definition"] or "") for r in rows) <= BROADCAST_BYTES
-    side = F.broadcast(heads.sparkSession.createDataFrame(rows, schemas.schema)) if small else schemas
-    return heads.join(side, ["registry", "schema_id"], "left")
+    return heads.join(join_side(schemas, rows if small else None), ["registry", "schema_id"], "left")
 
 
 def decode_avro(
@@ -105,7 +104,7 @@ def with_payloads(
     """
     kept = log.columns
     for c in columns:
-        log = with_json_text(log, textual(c), f"_{c}_json")
+        log = with_json_text(log, F.col(c), f"_{c}_json")
         if schemas is not None:
             log = decode_avro(log, schemas, c, indent, mode)
             avro = F.col(f"{c}_avro")["text"]

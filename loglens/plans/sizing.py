@@ -13,8 +13,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 LITERAL_ROWS = 64
 BROADCAST_ROWS = 100_000
@@ -34,6 +37,27 @@ def few_rows(table: DataFrame, most: int) -> list[Row] | None:
     return rows if len(rows) <= most else None
 
 
+def local_table(spark: SparkSession, rows: list[Row], schema: T.StructType) -> DataFrame:
+    """Rows as a relation inside the plan, whose exact size the planner knows."""
+    kinds = {f.name: to_arrow_type(f.dataType) for f in schema}
+    columns = {name: pa.array([r[name] for r in rows], kind) for name, kind in kinds.items()}
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
+def join_side(table: DataFrame, rows: list[Row] | None) -> DataFrame:
+    """Fetched rows as a broadcast table; without them the lazy table, whose join AQE sizes."""
+    return table if rows is None else F.broadcast(local_table(table.sparkSession, rows, table.schema))
+
+
+def held(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A small table fetched once, so that plans that use it several times do not rescan the log.
+
+    A table with more rows stays lazy.
+    """
+    rows = few_rows(table, most)
+    return table if rows is None else local_table(table.sparkSession, rows, table.schema)
+
+
 def _same_partition(row: Row) -> Column:
     return (F.col("topic") == row["topic"]) & (F.col("partition") == row["partition"])
 
@@ -81,10 +105,7 @@ def bound_per_partition(
             tests.append(~_any([_same_partition(r) for r in rows]))
         return log.where(_any(tests))
 
-    if rows is not None:
-        side = F.broadcast(log.sparkSession.createDataFrame(rows, bounds.schema))
-    else:
-        side = bounds
+    side = join_side(bounds, rows)
     names = {c: f"_{c}" for c in side.columns if c not in PARTITION}
     side = side.withColumnsRenamed(names).withColumn("_bounded", F.lit(True))
     joined = log.join(side, PARTITION, "left" if keep_unbounded else "inner")
@@ -108,5 +129,4 @@ def attach_per_topic(
         for r in rows:
             value = F.when(F.col("topic") == r["topic"], r[column]).otherwise(value)
         return log.withColumn(column, value)
-    side = table if rows is None else F.broadcast(log.sparkSession.createDataFrame(rows, table.schema))
-    return log.join(side, "topic", "left").select(*log.columns, column)
+    return log.join(join_side(table, rows), "topic", "left").select(*log.columns, column)

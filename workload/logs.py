@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglens import kafka_partition, land_log, read_log
+from loglens.plans.staging import with_computed
 
 EVENT_PARTITIONS = 6
 ORDER_PARTITIONS = 4
@@ -98,7 +99,7 @@ def _utf8(c: Column) -> Column:
 
 
 def _ms(ts: Column) -> Column:
-    return F.timestamp_millis(F.floor(F.unix_micros(ts) / 1000))
+    return F.date_trunc("millisecond", ts)
 
 
 def event_value() -> Column:
@@ -117,18 +118,17 @@ def build_events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("user_id").cast("string")
     ts = F.col("ts").cast("timestamp")
     jitter = (F.col("event_id") * 7919) % 86400 - 43200
-    return dense_offsets(
-        events.select(
-            "event_id",
-            F.lit("events").alias("topic"),
-            kafka_partition(key, EVENT_PARTITIONS).alias("partition"),
-            F.timestamp_millis(F.floor(F.unix_micros(ts) / 1000) + jitter * 1000).alias("timestamp"),
-            F.lit(0).alias("timestampType"),
-            _utf8(key).alias("key"),
-            _utf8(event_value()).alias("value"),
-        ),
+    placed = events.select(
         "event_id",
-    ).drop("event_id")
+        F.lit("events").alias("topic"),
+        kafka_partition(key, EVENT_PARTITIONS).alias("_partition"),
+        F.timestamp_millis(F.unix_millis(ts) + jitter * 1000).alias("timestamp"),
+        F.lit(0).alias("timestampType"),
+        _utf8(key).alias("key"),
+        _utf8(event_value()).alias("value"),
+    )
+    placed = with_computed(placed, partition=F.col("_partition")).drop("_partition")
+    return dense_offsets(placed, "event_id").drop("event_id")
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ def classify_payload(spark, sf_dir):
 
 @query
 def json_render(spark, sf_dir):
-    parsed = L.with_json_text(logs.orders_log(spark, sf_dir), F.col("value").cast("string"), "json")
+    parsed = L.with_json_text(logs.orders_log(spark, sf_dir), F.col("value"), "json")
     return parsed.select(
         "offset",
         L.show_json(F.col("json")).alias("plain"),
