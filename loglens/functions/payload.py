@@ -142,16 +142,19 @@ def _overflow(text: Column, json: Column) -> Column:
     )
 
 
+def _likely_json(text: Column) -> Column:
+    """A look at the first character keeps prose from being copied and parsed."""
+    return text.rlike(r'^[ \t\r\n]*(?:[\[{"0-9-]|(?:true|false|null)[ \t\r\n]*$)')
+
+
 def _wrapped(text: Column) -> Column:
     """The text as first item of an array that ends with a long constant, as VARIANT.
 
     ``try_parse_json`` ignores what follows the first value; only if exactly
-    these two items come back was the text a single value. A look at the first
-    character keeps prose from being copied and parsed.
+    these two items come back was the text a single value.
     """
     allow_duplicate_keys()
-    likely = text.rlike(r'^[ \t\r\n]*(?:[\[{"0-9-]|(?:true|false|null)[ \t\r\n]*$)')
-    return F.when(likely, F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{JSON_END}"]'))))
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{JSON_END}"]')))
 
 
 def _single(wrapped: Column, text: Column) -> Column:
@@ -173,7 +176,7 @@ def parse_json_payload(text: Column) -> Column:
     For whole columns ``with_json_text`` is faster: it computes each step once
     and stays compiled.
     """
-    single = once(_wrapped(text), lambda w: _single(w, text))
+    single = once(F.when(_likely_json(text), _wrapped(text)), lambda w: _single(w, text))
     return once(single, lambda v: F.when(~_rejected(text, F.to_json(v)), v))
 
 
@@ -184,7 +187,7 @@ def with_json_text(df: DataFrame, payload: Column, name: str) -> DataFrame:
     is filtered afterwards.
     """
     kept, text = df.columns, payload.cast("string")
-    df = with_computed(df, _wrapped=F.when(~is_framed(payload) & is_text(payload), _wrapped(text)))
+    df = with_computed(df, _wrapped=F.when(~is_framed(payload) & _likely_json(text) & is_text(payload), _wrapped(text)))
     df = with_computed(df, _compact=F.to_json(_single(F.col("_wrapped"), text)))
     compact = F.col("_compact")
     return df.select(*kept, F.when(compact.isNotNull() & ~_rejected(text, compact), compact).alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.avro import decode_frame
-from loglens.functions.payload import frame, is_framed, kind_of, with_json_text
+from loglens.functions.payload import AVRO, JSON, frame, is_framed, kind_of, with_json_text
 from loglens.functions.render import show_json
 from loglens.functions.text import mentions, utf8_lossy
 from loglens.plans.sizing import BROADCAST_BYTES, few_rows, join_side
@@ -137,9 +137,11 @@ def text_filter(
     The result carries the rendered payloads of ``with_payloads``; a log that
     already has them is not rendered again.
     """
-    if not all(f"{c}_text" in log.columns for c in columns):
+    if not all(f"{c}_{part}" in log.columns for c in columns for part in ("kind", "text")):
         log = with_payloads(log, schemas, columns, indent, mode)
     found = F.lit(False)
     for c in columns:
-        found = found | mentions(utf8_lossy(c), needle) | mentions(F.col(f"{c}_text"), needle)
+        # any other kind is shown exactly as its raw text
+        differs = F.col(f"{c}_kind").isin(JSON, AVRO)
+        found = found | mentions(F.col(f"{c}_text"), needle) | (differs & mentions(utf8_lossy(c), needle))
     return log.where(found)
