@@ -22,6 +22,8 @@ NULL, STRING, JSON, AVRO, UNKNOWN = "null", "string", "json", "avro", "unknown"
 
 # Depth of arrays and objects from which a JSON text counts as plain text.
 JSON_DEPTH = 128
+# Fewer digits than this are in the range of a double.
+DOUBLE_DIGITS = 309
 # Closes the wrapper around a JSON text, see ``parse_json_payload``.
 JSON_END = "5f0c8d3e-7a41-49b2-9c67-e2d1b80f4a95-end-of-payload"
 
@@ -129,17 +131,20 @@ def _lone_surrogate(text: Column) -> Column:
     return F.contains(text, F.lit("\\u")) & F.regexp_replace(escapes, high + low, "").rlike(f"{high}|{low}")
 
 
+def _may_overflow(text: Column) -> Column:
+    """Has an exponent or enough digits at all; cheap to rule out."""
+    return (
+        F.contains(text, F.lit("e")) | F.contains(text, F.lit("E")) | (F.octet_length(text) >= DOUBLE_DIGITS)
+    ) & text.rlike(rf"[0-9][eE][+]?[0-9]{{2}}|[0-9]{{{DOUBLE_DIGITS}}}")
+
+
 def _overflow(text: Column, json: Column) -> Column:
     """A number beyond the range of a double, which the parser turns into infinity."""
 
     def count(c: Column) -> Column:
         return F.length(c) - F.length(F.replace(c, F.lit("Infinity"), F.lit("Infinit")))
 
-    return (
-        F.contains(json, F.lit("Infinity"))
-        & text.rlike(r"[0-9][eE][+]?[0-9]{2}|[0-9]{309}")
-        & (count(json) > count(text))
-    )
+    return count(json) > count(text)
 
 
 def _likely_json(text: Column) -> Column:
@@ -157,6 +162,12 @@ def _wrapped(text: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{JSON_END}"]')))
 
 
+def _wrapped_payload(payload: Column) -> Column:
+    """The same for bytes: framed and malformed ones are no text."""
+    text = payload.cast("string")
+    return F.when(~is_framed(payload) & _likely_json(text) & is_text(payload), _wrapped(text))
+
+
 def _single(wrapped: Column, text: Column) -> Column:
     exactly = (F.try_variant_get(wrapped, "$[1]", "string") == JSON_END) & (
         # a third item is only possible if the text itself brought the constant along
@@ -165,9 +176,9 @@ def _single(wrapped: Column, text: Column) -> Column:
     return F.when(exactly, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
-def _rejected(text: Column, json: Column) -> Column:
+def _rejected(text: Column, json: Column, suspect: Column) -> Column:
     """Texts the parser is more lenient about than the format."""
-    return _too_deep(text) | _lone_surrogate(text) | _overflow(text, json)
+    return _too_deep(text) | _lone_surrogate(text) | (suspect & _overflow(text, json))
 
 
 def parse_json_payload(text: Column) -> Column:
@@ -177,7 +188,7 @@ def parse_json_payload(text: Column) -> Column:
     and stays compiled.
     """
     single = once(F.when(_likely_json(text), _wrapped(text)), lambda w: _single(w, text))
-    return once(single, lambda v: F.when(~_rejected(text, F.to_json(v)), v))
+    return once(single, lambda v: F.when(~_rejected(text, F.to_json(v), _may_overflow(text)), v))
 
 
 def with_json_text(df: DataFrame, payload: Column, name: str) -> DataFrame:
@@ -187,10 +198,10 @@ def with_json_text(df: DataFrame, payload: Column, name: str) -> DataFrame:
     is filtered afterwards.
     """
     kept, text = df.columns, payload.cast("string")
-    df = with_computed(df, _wrapped=F.when(~is_framed(payload) & _likely_json(text) & is_text(payload), _wrapped(text)))
+    df = with_computed(df, _wrapped=_wrapped_payload(payload))
     df = with_computed(df, _compact=F.to_json(_single(F.col("_wrapped"), text)))
     compact = F.col("_compact")
-    return df.select(*kept, F.when(compact.isNotNull() & ~_rejected(text, compact), compact).alias(name))
+    return df.select(*kept, F.when(compact.isNotNull() & ~_rejected(text, compact, F.contains(compact, F.lit("Infinity")) & _may_overflow(text)), compact).alias(name))
 
 
 def kind_of(b: Column | str, is_json: Column) -> Column:

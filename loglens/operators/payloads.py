@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,6 +126,30 @@ def with_payloads(
     return log.select(*kept, *added)
 
 
+# A number token of JSON that may be shown with other digits than written.
+REWRITTEN_NUMBER = r"(?:^|[:\[,\s])-?[0-9]+[.eE]"
+
+
+def may_show(column: str, needle: str) -> Column:
+    """False only if a payload cannot contain ``needle``, raw or rendered; needs no parsing.
+
+    Letters and digits next to each other in rendered text come from the same
+    place of the raw text, unless that has escapes or numbers that are shown
+    differently. Framed payloads always may.
+    """
+    text = F.col(column).cast("string")
+    letters = max(re.findall(r"[A-Za-z]{2,}", needle), key=len, default="")
+    digits = max(re.findall(r"[0-9]+", needle), key=len, default="")
+    if not letters and not digits:
+        return F.lit(True)
+    raw = mentions(text, letters if len(letters) >= len(digits) else digits) | mentions(text, "\\")
+    if len(letters) < len(digits):
+        marks = mentions(text, ".") | mentions(text, "e") | mentions(text, "E")
+        raw = raw | (marks & F.coalesce(text.rlike(REWRITTEN_NUMBER), F.lit(False)))
+    absent = F.col(column).isNull() if needle in "null" else F.lit(False)
+    return raw | absent | is_framed(column)
+
+
 def text_filter(
     log: DataFrame,
     needle: str,
@@ -138,7 +164,10 @@ def text_filter(
     already has them is not rendered again.
     """
     if not all(f"{c}_{part}" in log.columns for c in columns for part in ("kind", "text")):
-        log = with_payloads(log, schemas, columns, indent, mode)
+        possible = F.lit(False)
+        for c in columns:
+            possible = possible | may_show(c, needle)
+        log = with_payloads(log.where(possible), schemas, columns, indent, mode)
     found = F.lit(False)
     for c in columns:
         # any other kind is shown exactly as its raw text

@@ -63,7 +63,8 @@ def look(
     if key is not None:
         scan = keep_key(scan, topic, key, n_partitions if partition is None else None)
 
-    shown = with_payloads(scan, schemas, indent=indent, mode=mode)
-    if text is not None:
-        shown = text_filter(shown, text)
+    if text is None:
+        shown = with_payloads(scan, schemas, indent=indent, mode=mode)
+    else:
+        shown = text_filter(scan, text, schemas, indent=indent, mode=mode)
     return shown.withColumn("line", render_line())

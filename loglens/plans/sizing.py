@@ -5,7 +5,8 @@ schema, which is small next to the log but is not small by definition. The
 functions here look at no more rows than a limit and pick one of three plans:
 
 * a few rows become literals, which reach the scan as pushed filters;
-* up to the broadcast limit the rows become a broadcast table;
+* up to the broadcast limit the rows become a broadcast table, and only their
+  extremes become literals (long predicates are slow to evaluate per row);
 * beyond that the lazy table itself is joined, and AQE sizes that join.
 """
 
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-LITERAL_ROWS = 64
+LITERAL_ROWS = 8
+PRUNED_PARTITIONS = 1000
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 PARTITION = ["topic", "partition"]
@@ -72,6 +74,20 @@ def _any(conditions: list[Column]) -> Column:
     return conditions[0]
 
 
+def _extremes(rows: list[Row], lower: str | None, upper: str | None) -> Column:
+    """What all bounds have in common, to be pushed into the scan."""
+    test = F.lit(True)
+    for name in PARTITION:
+        values = sorted({r[name] for r in rows})
+        if len(values) <= PRUNED_PARTITIONS:
+            test = test & F.col(name).isin(values)
+    if rows and lower and all(r[lower] is not None for r in rows):
+        test = test & (F.col("offset") >= min(r[lower] for r in rows))
+    if rows and upper and all(r[upper] is not None for r in rows):
+        test = test & (F.col("offset") < max(r[upper] for r in rows))
+    return test
+
+
 def bound_per_partition(
     log: DataFrame,
     bounds: DataFrame,
@@ -105,6 +121,8 @@ def bound_per_partition(
             tests.append(~_any([_same_partition(r) for r in rows]))
         return log.where(_any(tests))
 
+    if rows is not None and not keep_unbounded:
+        log = log.where(_extremes(rows, lower, upper))
     side = join_side(bounds, rows)
     names = {c: f"_{c}" for c in side.columns if c not in PARTITION}
     side = side.withColumnsRenamed(names).withColumn("_bounded", F.lit(True))

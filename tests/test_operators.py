@@ -281,6 +281,17 @@ def test_suggest_topics(spark):
         ('{"foo":"bar"}', '{ "foo": "bar" }', False, False),
         ('{"foo":"bar"}', '{ "foo": "bar" }', True, True),
         (r'{"a":"x\"y"}', 'x"y', False, True),
+        (r'{"a":"\u0041bc"}', "Abc", False, True),
+        (r'{"a":"\u0041bc"}', "u0041", False, True),
+        ('{"a":1e3}', "1000", False, True),
+        ('{"a":[1.50]}', "1.5", False, True),
+        ('{"a": 12}', ":12}", False, True),
+        ("[true]", "true", False, True),
+        ("[1]", "null", False, False),
+        ("x", "ul", False, False),
+        (None, "ul", False, True),
+        (None, '{ "', False, False),
+        ('{"a":1}', '{ "', True, True),
         (b"\xff\xfeabc", "abc", False, True),
         (b"\xff\xfeabc", "�abc", False, True),
     ],
