@@ -127,7 +127,8 @@ def with_payloads(
 
 
 # A number token of JSON that may be shown with other digits than written.
-REWRITTEN_NUMBER = r"(?:^|[:\[,\s])-?[0-9]+[.eE]"
+REWRITTEN_NUMBER = r"(?:^|[:\[,\s])-?[0-9]+[.eE]|[0-9]{39}"
+LONG_INTEGER = 39
 
 
 def may_show(column: str, needle: str) -> Column:
@@ -145,6 +146,7 @@ def may_show(column: str, needle: str) -> Column:
     raw = mentions(text, letters if len(letters) >= len(digits) else digits) | mentions(text, "\\")
     if len(letters) < len(digits):
         marks = mentions(text, ".") | mentions(text, "e") | mentions(text, "E")
+        marks = marks | (F.octet_length(F.col(column)) >= LONG_INTEGER)
         raw = raw | (marks & F.coalesce(text.rlike(REWRITTEN_NUMBER), F.lit(False)))
     absent = F.col(column).isNull() if needle in "null" else F.lit(False)
     return raw | absent | is_framed(column)

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import loglens as L
+from loglens.functions.text import mentions
 from loglens.operators.limits import TOP_N
+from loglens.operators.payloads import may_show
 from loglens.plans.sizing import Limits
 
 START = dt.datetime(2024, 1, 1)
@@ -302,6 +304,44 @@ def test_text_filter(log, value, needle, indent, found):
     assert L.text_filter(df, "ke").count() == 1
 
 
+def test_search_before_parsing_loses_nothing(log):
+    rnd = random.Random(5)
+
+    def value(depth=0):
+        kind = rnd.randint(0, 9 if depth < 2 else 6)
+        if kind == 0:
+            return rnd.choice(["true", "false", "null"])
+        if kind <= 3:
+            whole = str(rnd.randint(-(10 ** rnd.randint(1, 45)), 10**5))
+            return whole + rnd.choice(["", "", ".50", "e3", "E-2", ".0e1"])
+        if kind <= 6:
+            return '"' + "".join(rnd.choice(["ab", "Cd1", "7", " ", "\\n", "\\u0041", '\\"', "é", ":", ","]) for _ in range(4)) + '"'
+        items = [value(depth + 1) for _ in range(rnd.randint(0, 3))]
+        if kind == 7:
+            return "[" + rnd.choice(["", " "]) + ", ".join(items) + "]"
+        return "{" + ",".join(f'"k{rnd.randint(0, 9)}": {i}' for i in items) + "}"
+
+    texts = [value() for _ in range(300)] + [None, "", "plain ab1", "x" + value(), b"\xffab12\xfe"]
+    df = log([("t", 0, i, 0, None, v) for i, v in enumerate(texts)])
+    shown = {m: L.with_payloads(df, indent=m).cache() for m in (False, True)}
+    for indent, rendered in shown.items():
+        seen = [r["value_text"] for r in rendered.collect()]
+        needles = {"null", "ul", "E", "1.0E", '{ "', "0"}
+        while len(needles) < 50:
+            text = rnd.choice(seen + [t for t in texts if isinstance(t, str)])
+            at = rnd.randint(0, len(text))
+            needles.add(text[at : at + rnd.randint(1, 7)] or "a")
+        lost = [
+            F.count(
+                F.when((F.contains("value_text", F.lit(n)) | mentions(L.utf8_lossy("value"), n)) & ~may_show("value", n), 1)
+            ).alias(str(i))
+            for i, n in enumerate(sorted(needles))
+        ]
+        counts = rendered.agg(*lost).first()
+        assert [n for n, c in zip(sorted(needles), counts) if c] == []
+        rendered.unpersist()
+
+
 def test_payload_columns(log):
     df = log([("t", 0, 0, None, None, '{"b":1,"a":[true,null]}'), ("t", 0, 1, 0, "", b"\xff")])
     got = L.with_payloads(df).withColumn("line", L.render_line()).orderBy("offset").collect()
