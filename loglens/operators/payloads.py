@@ -19,12 +19,6 @@ SCHEMA_ROWS = 10_000
 FAILFAST, PERMISSIVE = "failfast", "permissive"
 
 
-def framed_ids(log: DataFrame, column: str) -> DataFrame:
-    """registry, schema_id of framed payloads in one column."""
-    head = frame(column)
-    return log.where(is_framed(column)).select(head["registry"].alias("registry"), head["schema_id"].alias("schema_id"))
-
-
 def required_schemas(log: DataFrame, columns: tuple[str, ...] = ("key", "value")) -> DataFrame:
     """registry, schema_id, records: which schemas to export before decoding."""
     head = F.explode(F.array(*[frame(c) for c in columns])).alias("head")

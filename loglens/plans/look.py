@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loglens.functions.render import render_line
 from loglens.functions.selectors import parse_selector
