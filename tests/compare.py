@@ -52,7 +52,7 @@ if __name__ == "__main__":
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    for q in sys.argv[2:] or entry.queries():
+    for q in sys.argv[2:] or entry.oracle_sql():
         try:
             ok, n, took, note = check(session, sf, q)
             print(f"{'ok  ' if ok else 'FAIL'} {q:28} {n:8} rows {took:6.2f} s {note[:600]}", flush=True)
