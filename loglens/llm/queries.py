@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import toxicity
+from loglens.llm import simhash, toxicity
 from loglens.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, model)
     held_out = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
     return scored.select("doc_id", held_out, "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"))
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
