@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import decontamination, simhash, toxicity
+from loglens.llm import decontamination, packing, simhash, token_counts, toxicity
 from loglens.llm.common import remainder, table
 
+#: Name of the module that knows where the public vocabulary files are, and the files used here.
+TOKENIZERS = "public_tokenizers"
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +54,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
 
+def vocabulary(name: str) -> str:
+    return importlib.import_module(TOKENIZERS).path(name)
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +72,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"))
 
 
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.word_encoder(vocabulary(WORD_BPE)))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
