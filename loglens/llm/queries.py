@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import decontamination, packing, simhash, token_counts, toxicity
+from loglens.llm import decontamination, packing, simhash, surrogates, token_counts, toxicity
 from loglens.llm.common import remainder, table
 
 #: Name of the module that knows where the public vocabulary files are, and the files used here.
 TOKENIZERS = "public_tokenizers"
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
+#: The queries' key. Elsewhere it is a secret: whoever has it can undo the surrogates.
+SURROGATE_KEY = b"loglens surrogates"
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +57,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
 
+@query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with surrogates, and how many entities of each kind they held."""
+    made = surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, counted="kinds")
+    each = [F.size(F.filter("kinds", lambda k, n=n: k == n)).cast("long").alias(f"n_{n}") for n in surrogates.KINDS]
+    return made.select("doc_id", "text", F.coalesce(F.size("kinds"), F.lit(0)).cast("long").alias("n_entities"), *each)
+
+
 def vocabulary(name: str) -> str:
     return importlib.import_module(TOKENIZERS).path(name)
 
