@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import decontamination, packing, simhash, surrogates, token_counts, toxicity
+from loglens.llm import decontamination, packing, quality, simhash, surrogates, token_counts, toxicity
 from loglens.llm.common import remainder, table
 
 #: Name of the module that knows where the public vocabulary files are, and the files used here.
@@ -57,6 +57,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), lambda key: remainder(key, 3) != 1)
+    return quality.score(docs, model).withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
+
+
 @query
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with surrogates, and how many entities of each kind they held."""
