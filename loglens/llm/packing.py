@@ -25,8 +25,8 @@ from loglens.llm.merges import LETTERS, NUMBERS, SPACES, Merges
 
 CAPACITY, END_ID = 4096, 1
 CACHE_CHUNKS = 300_000
-#: Pieces of one length that are numbered by one task, on average at most.
-NUMBERED = 1 << 17
+#: Pieces of one length that are numbered together, on average at most.
+NUMBERED = 512
 
 #: Called once per task, so that it can load what it needs there; gives what turns texts into the ids of their tokens.
 Encoder = Callable[[], Callable[[list[bytes]], list[bytes]]]
@@ -168,11 +168,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """found with number: 0, 1, 2, ... within each length, in the order of hash bucket, doc_id, piece and checksum."""
-    most = found.groupBy("length").count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, -(-most // NUMBERED))
-    spread = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+def numbered(found: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """found with number: 0, 1, 2, ... within each length, in the order of hash bucket, doc_id, piece and checksum.
+
+    A length has buckets in proportion to its pieces, so a length that most pieces have is numbered by many tasks.
+    """
+    spark = found.sparkSession
+    buckets = spark.createDataFrame([(k, -(-n // NUMBERED)) for k, n in counts.items()], "length long, buckets long")
+    spread = found.join(F.broadcast(buckets), "length")  # a row per length: at most the capacity
+    spread = spread.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets")).drop("buckets")
     sizes = spread.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
@@ -209,6 +213,6 @@ def pack(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, end_id: in
             yield as_batch(kept | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)})
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return numbered(found).mapInArrow(
+    return numbered(found, counts).mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
