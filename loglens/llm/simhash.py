@@ -247,9 +247,9 @@ def without_copies(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIST
     Rows without a doc_id stay: nothing tells which of them to keep. Of rows that share the smallest doc_id one stays.
     """
     found = near_duplicates(docs, shingle, distance)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     n = gone.count()
-    kept = docs.join(F.broadcast(gone) if n <= broadcast_rows else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if n <= broadcast_rows else gone, "doc_id", "left_anti")
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
     if repeated.isEmpty():
         return kept
