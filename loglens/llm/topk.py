@@ -23,50 +23,88 @@ from loglens.llm.common import as_batch, fresh, local_path, save_array
 
 K, EVERY, SCALE = 5, 50, 256
 #: Queries of a block, candidates of a block, and shares of the lists after which bounds are compared.
-QUERIES, CANDIDATES, DEPTHS = 512, 8192, (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4)
+QUERIES, CANDIDATES, DEPTHS = 256, 8192, (1 / 4, 3 / 4, 7 / 8)
+#: A query with so few vectors left, as a share of a block, reads no further.
+FEW = 1 / 64
 EXACT, LARGEST = float(1 << 53), (1 << 63) - 1
 
 
 class Lists:
-    """A block of candidates: components as sorted lists, and each vector's place in each list."""
+    """A block of candidates: components as sorted lists, and what reading them to a depth tells of each vector.
+
+    With q+ and q- the positive and negative part of a query, both bounds are linear in (q+, q-) once the depth is
+    given: a read component counts with its value instead of the last one read (upper bound) or the list's end (lower
+    bound). So the bounds of all queries of a block are products of two small matrices.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.n = ids, vectors, len(ids)
         order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, order, axis=0)
         self.place = np.empty_like(order, dtype=np.int32)
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
         self.largest = np.abs(vectors).max(initial=0)
-
-    def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
-        """Ids and scores of the k best candidates other than the query's own id; ties go to the smaller id."""
-        n = len(self.ids)
-        active = np.flatnonzero(self.ids != own)
-        if self.largest * np.abs(query).max(initial=0) * max(len(query), 1) >= EXACT:
-            whole = [int(x) for x in query]
-            scores = [sum(a * int(b) for a, b in zip(whole, self.vectors[i])) for i in active]
-            scores = [min(max(s, -LARGEST - 1), LARGEST) for s in scores]
-            order = sorted(range(len(active)), key=lambda i: (-scores[i], self.ids[active[i]]))[:k]
-            return self.ids[active[order]], [scores[i] for i in order]
-        some = np.flatnonzero(query)
-        q = query[some]
-        down = q > 0
-        # A list's end that a query reads last, and the product there.
-        worst = np.where(down, self.sorted[0, some], self.sorted[-1, some]) * q if n else q
-        for share in DEPTHS:
-            depth = int(n * share)
-            if not depth or len(active) <= k:
+        self.read: dict[int, tuple] = {}
+
+    def at(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Upper and lower: for each vector what its read components add, and what all lists give unread."""
+        if depth not in self.read:
+            down, up = self.place >= self.n - depth, self.place < depth  # read from the top, from the bottom
+            first, last = self.sorted[0], self.sorted[-1]
+            top, bottom = self.sorted[self.n - depth], self.sorted[depth - 1]
+            self.read[depth] = (
+                np.hstack([(self.vectors - top) * down, (self.vectors - bottom) * up]).T.copy(),
+                np.concatenate([top, bottom]),
+                np.hstack([(self.vectors - first) * down, (self.vectors - last) * up]).T.copy(),
+                np.concatenate([first, last]),
+            )
+        return self.read[depth]
+
+    def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, list[int]]]:
+        """For each query ids and scores of the k best candidates of another id than its own; ties go to the smaller id."""
+        if self.largest * np.abs(queries).max(initial=0) * max(queries.shape[1], 1) >= EXACT:
+            return [self._whole(o, q, k) for o, q in zip(own, queries)]
+        out: list = [None] * len(own)
+        todo = np.arange(len(own))
+        for depth in [int(self.n * share) for share in DEPTHS]:
+            if not depth or not len(todo) or self.n <= 2 * k:
                 continue
-            last = np.where(down, self.sorted[n - depth, some], self.sorted[depth - 1, some]) * q
-            place = self.place[active][:, some]
-            read = np.where(down, place >= n - depth, place < depth)
-            known = self.vectors[active][:, some] * q
-            lower = np.where(read, known, worst).sum(axis=1)
-            upper = np.where(read, known, last).sum(axis=1)
-            active = active[upper >= np.partition(lower, len(lower) - k)[len(lower) - k]]
-        scores = self.vectors[active] @ query
-        order = np.lexsort((self.ids[active], -scores))[:k]
-        return self.ids[active[order]], [int(s) for s in scores[order]]
+            q = np.hstack([np.maximum(queries[todo], 0), np.minimum(queries[todo], 0)])
+            more, unread, more_low, unread_low = self.at(depth)
+            lower = q @ more_low + (q @ unread_low)[:, None]
+            self._without(lower, own[todo])
+            least = np.partition(lower, self.n - k, axis=1)[:, self.n - k]
+            left = q @ more + (q @ unread)[:, None] >= least[:, None]
+            few = left.sum(axis=1) <= max(4 * k, self.n * FEW)
+            for j in np.flatnonzero(few):
+                out[todo[j]] = self._resolved(own[todo[j]], queries[todo[j]], np.flatnonzero(left[j]), k)
+            todo = todo[~few]
+        if len(todo):  # the lists are read to their ends
+            scores = queries[todo] @ self.vectors.T
+            self._without(scores, own[todo])
+            least = np.partition(scores, max(self.n - k, 0), axis=1)[:, max(self.n - k, 0)] if self.n else scores
+            for j, i in enumerate(todo):
+                out[i] = self._resolved(own[i], queries[i], np.flatnonzero(scores[j] >= least[j]) if self.n else np.arange(0), k)
+        return out
+
+    def _without(self, bounds: np.ndarray, own: np.ndarray) -> None:
+        q, c = np.nonzero(np.isin(own, self.ids)[:, None] & (own[:, None] == self.ids[None, :]))
+        bounds[q, c] = -np.inf
+
+    def _resolved(self, own: int, query: np.ndarray, left: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        left = left[self.ids[left] != own]
+        scores = self.vectors[left] @ query
+        order = np.lexsort((self.ids[left], -scores))[:k]
+        return self.ids[left[order]], [int(s) for s in scores[order]]
+
+    def _whole(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """In whole numbers of any size, for components that floats would round."""
+        active = np.flatnonzero(self.ids != own)
+        whole = [int(x) for x in query]
+        scores = [sum(a * int(b) for a, b in zip(whole, self.vectors[i])) for i in active]
+        scores = [min(max(s, -LARGEST - 1), LARGEST) for s in scores]
+        order = sorted(range(len(active)), key=lambda i: (-scores[i], self.ids[active[i]]))[:k]
+        return self.ids[active[order]], [scores[i] for i in order]
 
 
 def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -118,10 +156,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
             for d, path in blocks:
                 if d != dim:
                     continue
-                asked, out = np.load(f"{path}-ids.npy", mmap_mode="r"), []
-                for number, (own, q) in enumerate(zip(asked, np.load(f"{path}-v.npy", mmap_mode="r"))):
-                    ids, scores = lists.best(int(own), q, k)
-                    out += [(f"{path}/{number}", int(own), int(i), s) for i, s in zip(ids, scores)]
+                asked, out = np.load(f"{path}-ids.npy"), []
+                for number, (ids, scores) in enumerate(lists.best(asked, np.load(f"{path}-v.npy"), k)):
+                    out += [(f"{path}/{number}", int(asked[number]), int(i), s) for i, s in zip(ids, scores)]
                 yield as_batch(
                     {
                         "asked": pa.array([o[0].rpartition("/queries-")[2] for o in out], pa.string()),

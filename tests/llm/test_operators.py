@@ -481,8 +481,7 @@ def test_lists_stop_early_with_the_right_scores():
     rng = np.random.default_rng(1)
     v = np.floor(256 * rng.normal(0, 0.2, (500, 16)))
     lists = topk.Lists(np.arange(500), v)
-    for i in range(20):
-        ids, scores = lists.best(i, v[i], 5)
+    for i, (ids, scores) in enumerate(lists.best(np.arange(20), v[:20], 5)):
         s = v @ v[i]
         want = sorted(((-s[j], j) for j in range(500) if j != i))[:5]
         assert list(zip([-x for x in scores], ids.tolist())) == [(int(a), b) for a, b in want]
