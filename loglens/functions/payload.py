@@ -21,7 +21,7 @@ GLUE, GLUE_HEADER = "glue", 18
 NULL, STRING, JSON, AVRO, UNKNOWN = "null", "string", "json", "avro", "unknown"
 
 # Depth of arrays and objects from which a JSON text counts as plain text.
-JSON_DEPTH = 128
+JSON_DEPTH = 128  # fixed value: text that is nested this deep counts as text, not as JSON
 # Fewer digits than this are in the range of a double.
 DOUBLE_DIGITS = 309
 # Closes the wrapper around a JSON text, see ``parse_json_payload``.

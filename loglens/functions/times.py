@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from loglens.functions.text import col
 
-# Accepted spellings, seconds per unit, completion of a partial time.
-AGO = r"^-([0-9]{1,12})([dhms])$"
-DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-DAY_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}(:[0-9]{2})?$"
-CLOCK = r"^[0-9]{2}:[0-9]{2}(:[0-9]{2})?$"
+# Accepted spellings and their units.
+AGO = r"^-([0-9]+)([dhms])$"
 UNIT_SECONDS = {"d": 86400, "h": 3600, "m": 60, "s": 1}
-FIRST = " 00:00:00"
-LAST = " 23:59:59"
-FULL = len("YYYY-MM-DD HH:MM:SS")
-INVALID = "Invalid time: Use now, -n[dhms] or [YYYY-MM-DD] [HH:MM[:SS]]"
+CLOCK = r"^[0-9]{2}:[0-9]{2}(:[0-9]{2})?$"
+DAY, MINUTE, SECOND = "yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss"
+SPELLINGS = {
+    DAY: r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    MINUTE: r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$",
+    SECOND: r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$",
+}
+LENGTHS = {DAY: "INTERVAL '1' DAY", MINUTE: "INTERVAL '1' MINUTE", SECOND: "INTERVAL '1' SECOND"}
+# How far clocks are set back anywhere.
+OVERLAPS = (30 * 60, 60 * 60, 2 * 60 * 60)
+HELP = "a time is now, a number of d, h, m or s ago such as -15m, a day, a clock time or both, such as 2024-01-31 12:00:30"
 
 
 def timestamp_literal(t: dt.datetime | str | Column) -> Column:
@@ -39,38 +43,59 @@ def after_millis(ts: Column) -> Column:
     return floor_millis(ts) + F.expr("INTERVAL '0.001' SECOND")
 
 
+def _shifted(ts: Column, seconds: Column | int) -> Column:
+    return F.timestamp_micros(F.unix_micros(ts) + seconds * 1_000_000)
+
+
+def _local(text: Column, form: str) -> Column:
+    """The instant of a local time; null if the clocks skip it or show it twice. A day is always one."""
+    start = F.try_to_timestamp(text, F.lit(form))
+    if form == DAY:
+        return start
+    shown = F.date_format(start, form)
+    twice = F.lit(False)
+    for seconds in OVERLAPS:
+        twice = twice | (F.date_format(_shifted(start, seconds), form) == shown)
+        twice = twice | (F.date_format(_shifted(start, -seconds), form) == shown)
+    return F.when((shown == text) & ~twice, start)
+
+
 def time_bounds(expression: Column | str, now: dt.datetime | str | Column) -> tuple[Column, Column]:
     """(start, end) meaning of a time expression; null where it is not valid.
 
-    A day, minute or second is inclusive: its end is its last millisecond.
+    A day, minute or second is inclusive: its end is its last millisecond. A local time that the clocks skip or show
+    twice is not valid.
     """
     e, now = col(expression), timestamp_literal(now)
-    seconds = F.regexp_extract(e, AGO, 1).try_cast("bigint") * F.element_at(
-        F.create_map(*[F.lit(x) for unit in UNIT_SECONDS.items() for x in unit]),
-        F.regexp_extract(e, AGO, 2),
-    )
-    ago = F.timestamp_micros(F.unix_micros(now) - seconds * 1_000_000)
-    text = F.when(e.rlike(DAY) | e.rlike(DAY_TIME), e).when(
-        e.rlike(CLOCK), F.concat_ws(" ", F.date_format(now, "yyyy-MM-dd"), e)
-    )
-
-    def complete(suffix: str) -> Column:
-        missing = F.substr(F.lit(suffix), F.length(text) - (FULL - len(suffix)) + 1)
-        return F.concat(text, missing).try_cast("timestamp")
-
-    def meaning(absolute: Column) -> Column:
-        return F.when(e == "now", now).when(e.rlike(AGO), ago).otherwise(absolute)
-
-    return meaning(complete(FIRST)), meaning(complete(LAST) + F.expr("INTERVAL '0.999' SECOND"))
+    unit = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])[F.regexp_extract(e, AGO, 2)]
+    number = F.regexp_extract(e, AGO, 1).try_cast("bigint")
+    micros = F.try_subtract(F.unix_micros(now), F.try_multiply(F.try_multiply(number, unit), F.lit(1_000_000)))
+    relative = F.when(e == "now", now).when(e.rlike(AGO), F.timestamp_micros(micros))
+    text = F.when(e.rlike(CLOCK), F.concat_ws(" ", F.date_format(now, DAY), e)).otherwise(e)
+    start = end = relative
+    for form, spelling in SPELLINGS.items():
+        instant = F.when(text.rlike(spelling), _local(text, form))
+        start = F.coalesce(start, instant)
+        end = F.coalesce(end, instant + F.expr(LENGTHS[form]) - F.expr("INTERVAL '0.001' SECOND"))
+    return start, end
+
+
+def resolve_times(
+    spark: SparkSession, expressions: list[tuple[str, bool]], now: dt.datetime | str | Column | None = None
+) -> list[Column]:
+    """(expression, whether its end is meant) as timestamp literals, ready to be pushed into a scan; all see one now."""
+    at = F.current_timestamp() if now is None else now
+    bounds = [time_bounds(F.lit(e), at)[int(end)] for e, end in expressions]
+    found = spark.sql("SELECT 1").select(*[F.unix_micros(b).alias(f"t{i}") for i, b in enumerate(bounds)]).first()
+    for (e, _), micros in zip(expressions, found):
+        if micros is None:
+            zone = spark.conf.get("spark.sql.session.timeZone")
+            raise ValueError(f"Cannot read the time {e!r}: {HELP}. It must be shown exactly once by the clocks of {zone}.")
+    return [F.timestamp_micros(F.lit(micros)) for micros in found]
 
 
 def resolve_time(
     spark: SparkSession, expression: str, now: dt.datetime | str | Column | None = None, end: bool = False
 ) -> Column:
-    """One expression as a timestamp literal, ready to be pushed into a scan."""
-    at = F.current_timestamp() if now is None else now
-    start, stop = time_bounds(F.lit(expression), at)
-    micros = spark.sql("SELECT 1").select(F.unix_micros(stop if end else start)).first()[0]
-    if micros is None:
-        raise ValueError(f"{INVALID}, not {expression!r}")
-    return F.timestamp_micros(F.lit(micros))
+    """One expression as a timestamp literal."""
+    return resolve_times(spark, [(expression, end)], now)[0]

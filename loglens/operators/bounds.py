@@ -13,13 +13,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.functions.times import after_millis, floor_millis, resolve_time, timestamp_literal
-from loglens.plans.sizing import PARTITION, Limits, bound_per_partition
+from loglens.functions.times import after_millis, floor_millis, resolve_times, timestamp_literal
+from loglens.plans.sizing import PARTITION, Limits, bound_per_partition, unique
 
 # Names of the two ends of a log.
 EARLIEST = ("earliest", "beginning")
 LATEST = ("latest", "end")
-INVALID_OFFSET = "Offsets must be 'earliest', 'latest' or a negative integer."
+INVALID_OFFSET = "An offset is one end of the log (earliest or latest) or minus the number of offsets before the latest."
 
 Time = dt.datetime | str | Column
 
@@ -29,9 +29,15 @@ def _bounded_only(log: DataFrame) -> None:
         raise ValueError("Offset bounds are found by an aggregate over a bounded log; use loglens.streaming for streams.")
 
 
+def as_times(log: DataFrame, times: list[tuple[Time, bool]], now: dt.datetime | str | None = None) -> list[Column]:
+    """(time, whether its end is meant): datetimes and columns as they are, texts as expressions under one now."""
+    texts = [(t, end) for t, end in times if isinstance(t, str)]
+    found = iter(resolve_times(log.sparkSession, texts, now) if texts else [])
+    return [next(found) if isinstance(t, str) else timestamp_literal(t) for t, _ in times]
+
+
 def as_time(log: DataFrame, t: Time, now: dt.datetime | str | None = None, end: bool = False) -> Column:
-    """Datetimes and columns as they are, texts as time expressions."""
-    return resolve_time(log.sparkSession, t, now, end) if isinstance(t, str) else timestamp_literal(t)
+    return as_times(log, [(t, end)], now)[0]
 
 
 def has_time() -> Column:
@@ -92,7 +98,7 @@ def time_range(
     the whole partition. With ``end < start`` the first record already stops.
     """
     _bounded_only(log)
-    first, last = as_time(log, start, now), as_time(log, end, now, end=True)
+    first, last = as_times(log, [(start, False), (end, True)], now)
     bounds = first_offsets(log, first=reached(first), stop=passed(last)).where(
         F.col("first").isNotNull() & (floor_millis(last) >= floor_millis(first))
     )
@@ -108,12 +114,12 @@ def tail(log: DataFrame, n: int, ends: DataFrame | None = None, limits: Limits |
     """The last ``n`` offsets of every partition; fewer rows where offsets are missing.
 
     ``ends`` (topic, partition, end_offset) holds the end offsets of the broker
-    if they are known; without it the end is the last visible offset plus one.
+    if they are known, and may not contradict itself; without it the end is the last visible offset plus one.
     """
     _bounded_only(log)
     if n <= 0:
         raise ValueError(INVALID_OFFSET)
-    known = end_offsets(log) if ends is None else ends.select(*PARTITION, "end_offset")
+    known = end_offsets(log) if ends is None else unique(ends, PARTITION, "end_offset")
     bounds = known.select(*PARTITION, (F.col("end_offset") - n).alias("first"))
     return bound_per_partition(log, bounds, lower="first", limits=limits)
 

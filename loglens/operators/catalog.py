@@ -12,8 +12,8 @@ from loglens.plans.sizing import BROADCAST_ROWS, few_rows, held, join_side
 
 # Number of suggestions shown by default.
 SUGGESTIONS = 15
-# Parts of the catalog that are compared by separate tasks.
-CATALOG_PARTS = 16
+# Topics of a part of the catalog, which a name is compared with in one go.
+PART_TOPICS = 500
 
 
 def topic_catalog(log: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
@@ -39,19 +39,27 @@ def list_lines(catalog: DataFrame) -> DataFrame:
 def nearest_topics(names: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """name, rank, topic, distance: the ``k`` closest topics of every distinct name.
 
-    The catalog is packed into a fixed number of arrays. A name meets each array
-    once and leaves with at most ``k`` topics, so no pairs are shuffled.
+    The catalog is packed into arrays of bounded size, as many as it takes. A
+    name meets each array once and leaves with at most ``k`` topics, so no pairs
+    are shuffled. Topics whose length alone puts ``k`` others of the same array
+    ahead of them are not compared.
     """
-    part = F.pmod(F.xxhash64("topic"), F.lit(CATALOG_PARTS))
-    packed = catalog.select("topic").groupBy(part.alias("part")).agg(F.collect_list("topic").alias("topics"))
+    catalog = catalog.select("topic")
+    parts = max(1, -(-catalog.count() // PART_TOPICS))
+    part = F.pmod(F.xxhash64("topic"), F.lit(parts))
+    packed = catalog.groupBy(part.alias("part")).agg(F.collect_list("topic").alias("topics"))
     spread = names.select("name").where(F.col("name").isNotNull()).distinct()
-    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CATALOG_PARTS - 1).cast("bigint"))))
+    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    size = F.length("name")
+    gap = lambda t: F.abs(F.length(t) - size)  # noqa: E731  a distance is at least that
+    nearest = F.slice(F.array_sort(F.transform("topics", lambda t: F.struct(gap(t).alias("gap"), t.alias("topic")))), 1, k)
+    bound = F.array_max(F.transform(nearest, lambda x: F.levenshtein(F.col("name"), x["topic"])))
+    met = spread.join(packed, "part").withColumn("bound", bound)
+    close = F.filter("topics", lambda t: gap(t) <= F.col("bound"))
     ranked = F.array_sort(
-        F.transform(
-            "topics", lambda t: F.struct(F.levenshtein(F.col("name"), t).alias("distance"), t.alias("topic"))
-        )
+        F.transform(close, lambda t: F.struct(F.levenshtein(F.col("name"), t).alias("distance"), t.alias("topic")))
     )
-    best = spread.join(packed, "part").select("name", F.explode(F.slice(ranked, 1, k)).alias("near"))
+    best = met.select("name", F.explode(F.slice(ranked, 1, k)).alias("near"))
     order = Window.partitionBy("name").orderBy("near.distance", "near.topic")
     return (
         best.withColumn("rank", F.row_number().over(order))

@@ -34,9 +34,8 @@ def partition_count(log: DataFrame, topic: str) -> int:
 
 def _wrong_partitioner(topic: str, key: str) -> str:
     return (
-        f"The topic {topic} is not partitioned by the standard partitioner using murmur2 hashes, "
-        f"so the partition of key {key} cannot be identified. "
-        f"Pass the specific partition as {topic}-N or search for the text {key} instead."
+        f"Key {key} may be anywhere in {topic}: its partition holds keys which murmur2 would have put elsewhere. "
+        f"Search all partitions for the text {key}, or name the right one as {topic}-N."
     )
 
 

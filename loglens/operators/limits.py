@@ -25,21 +25,23 @@ def take_consumed(log: DataFrame, n: int, top_n: int = TOP_N, buckets: int = BUC
         return log.where(F.lit(False))
     if n <= top_n:
         return log.orderBy(*ORDER).limit(n)
-    return log.where(_first_records(log, n, buckets))
+    return _first_records(log, n, buckets)
 
 
-def _first_records(log: DataFrame, n: int, buckets: int):
+def _first_records(log: DataFrame, n: int, buckets: int) -> DataFrame:
     """The limit as a predicate on the offset, for limits too large for one task.
 
     Counts per range of offsets are narrowed down until the n-th record's
-    offset is found; at that single offset each partition has one record.
+    offset is found. There, whole partitions are taken in their order; only of
+    a record that was delivered repeatedly, the last one taken, some copies
+    are cut off.
     """
     low, high = log.agg(F.min("offset"), F.max("offset")).first()
     if low is None:
-        return F.lit(True)
+        return log
     taken = 0
     while True:
-        width = -(-(high - low + 1) // buckets)
+        width = -(-(high - low + 1) // max(buckets, 2))
         counts = (
             log.where(F.col("offset").between(low, high))
             .groupBy(F.floor((F.col("offset") - low) / width).alias("bucket"))
@@ -52,17 +54,21 @@ def _first_records(log: DataFrame, n: int, buckets: int):
                 break
             taken += count
         else:
-            return F.col("offset") <= high
+            return log.where(F.col("offset") <= high)
         low, high = low + bucket * width, min(high, low + (bucket + 1) * width - 1)
         if width == 1:
             break
+    before = F.col("offset") < low
     if n == taken:
-        return F.col("offset") < low
-    # fewer records than partitions remain: they are ordered by their partition
-    last = log.where(F.col("offset") == low).select(*PARTITION).orderBy(*PARTITION).limit(n - taken)
-    topic, partition = last.agg(F.max(F.struct(*PARTITION)).alias("last")).select("last.*").first()
-    same = (F.col("topic") < topic) | ((F.col("topic") == topic) & (F.col("partition") <= partition))
-    return (F.col("offset") < low) | ((F.col("offset") == low) & same)
+        return log.where(before)
+    topic = partition = None
+    for topic, partition, count in log.where(F.col("offset") == low).groupBy(*PARTITION).count().orderBy(*PARTITION).toLocalIterator():
+        if taken + count >= n:
+            break
+        taken += count
+    smaller = (F.col("topic") < topic) | ((F.col("topic") == topic) & (F.col("partition") < partition))
+    last = (F.col("offset") == low) & (F.col("topic") == topic) & (F.col("partition") == partition)
+    return log.where(before | ((F.col("offset") == low) & smaller)).unionByName(log.where(last).limit(n - taken))
 
 
 def idle_cut(log: DataFrame, seconds: int) -> int | None:

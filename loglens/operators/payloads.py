@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loglens.functions.avro import decode_frame
 from loglens.functions.payload import AVRO, JSON, frame, is_framed, kind_of, with_json_text
 from loglens.functions.render import show_json
 from loglens.functions.text import mentions, utf8_lossy
-from loglens.plans.sizing import BROADCAST_BYTES, few_rows, join_side
+from loglens.plans.sizing import BROADCAST_BYTES, join_side, unique
 from loglens.plans.staging import with_computed
 from loglens.sources.log import as_schemas
 
 SCHEMA_ROWS = 10_000
+UNFRAMED_PARTS = 1000
 FAILFAST, PERMISSIVE = "failfast", "permissive"
 
 
@@ -33,15 +34,25 @@ def _any_framed(columns: tuple[str, ...]) -> Column:
     return test
 
 
+def _definitions(schemas: DataFrame) -> DataFrame:
+    """One definition per registry and id."""
+    return unique(as_schemas(schemas).where(F.col("definition").isNotNull()), ["registry", "schema_id"], "definition")
+
+
+def _few_definitions(schemas: DataFrame, most: int = SCHEMA_ROWS, most_bytes: int = BROADCAST_BYTES) -> list[Row] | None:
+    """All definitions, or None if they are too many or too large; looked up before any is fetched."""
+    size = schemas.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("definition")), F.lit(0)).alias("bytes")).first()
+    return schemas.collect() if size["rows"] <= most and size["bytes"] <= most_bytes else None
+
+
 def join_schemas(heads: DataFrame, schemas: DataFrame) -> DataFrame:
     """Left join of (registry, schema_id) with their definitions; null without a schema.
 
-    The schemas are broadcast only if their number and size are small.
+    The schemas are broadcast only if their number and size are small. Definitions that contradict each other fail
+    the job.
     """
-    schemas = as_schemas(schemas)
-    rows = few_rows(schemas, SCHEMA_ROWS)
-    small = rows is not None and sum(len(r["definition"] or "") for r in rows) <= BROADCAST_BYTES
-    return heads.join(join_side(schemas, rows if small else None), ["registry", "schema_id"], "left")
+    schemas = _definitions(schemas)
+    return heads.join(join_side(schemas, _few_definitions(schemas)), ["registry", "schema_id"], "left")
 
 
 def decode_avro(
@@ -51,24 +62,33 @@ def decode_avro(
     indent: bool = False,
     mode: str = FAILFAST,
     with_json: bool = False,
+    schema_rows: int = SCHEMA_ROWS,
 ) -> DataFrame:
     """Adds ``{column}_avro``: struct<text, json, error> of framed Avro, else null.
 
-    A small registry travels to the tasks once; definitions of a large one are
-    joined to the framed records. ``failfast`` fails on a missing schema or
-    broken data, ``permissive`` reports it in ``error``.
+    A small registry, or a small part of it that the log uses, travels to the
+    tasks once; else definitions are joined to the records. A schema that is
+    listed twice counts once, and must not contradict itself. ``failfast`` fails
+    on a missing schema or broken data, ``permissive`` reports it in ``error``.
     """
     if mode not in (FAILFAST, PERMISSIVE):
         raise ValueError(f"mode must be {FAILFAST} or {PERMISSIVE}")
-    schemas = as_schemas(schemas).where(F.col("definition").isNotNull())
-    rows = few_rows(schemas, SCHEMA_ROWS)
-    small = rows is not None and sum(len(r["definition"]) for r in rows) <= BROADCAST_BYTES
+    schemas = _definitions(schemas)
+    rows = _few_definitions(schemas, schema_rows)
+    if rows is None:  # of a large registry, only what the log uses
+        used = required_schemas(log, (column,)).select("registry", "schema_id")
+        schemas = schemas.join(used, ["registry", "schema_id"], "left_semi")
+        rows = _few_definitions(schemas, schema_rows)
+    small = rows is not None
     known = {(r["registry"], r["schema_id"]): r["definition"] for r in rows} if small else {}
 
     head = F.col("_head")
     framed = log.withColumn("_head", frame(column))
     if not small:
-        framed = framed.select("*", head["registry"].alias("registry"), head["schema_id"].alias("schema_id"))
+        # Unframed records have no partner; a key of their own spreads them.
+        nowhere = F.concat(F.lit("-"), F.pmod(F.col("offset"), F.lit(UNFRAMED_PARTS)).cast("string"))
+        framed = framed.select("*", F.coalesce(head["registry"], nowhere).alias("registry"), head["schema_id"].alias("schema_id"))
+        framed = framed.withColumn("schema_id", F.coalesce("schema_id", F.lit("")))
         framed = framed.join(schemas, ["registry", "schema_id"], "left").drop("registry", "schema_id")
     decoded = decode_frame(
         head["registry"],

@@ -5,8 +5,9 @@ schema, which is small next to the log but is not small by definition. The
 functions here look at no more rows than a limit and pick one of three plans:
 
 * a few rows become literals, which reach the scan as pushed filters;
-* up to the broadcast limit the rows become a broadcast table, and only their
-  extremes become literals (long predicates are slow to evaluate per row);
+* up to the broadcast limit the rows become a broadcast table, and only the
+  extremes of groups of similar rows become literals (long predicates are slow
+  to evaluate per row);
 * beyond that the lazy table itself is joined, and AQE sizes that join.
 """
 
@@ -33,6 +34,18 @@ class Limits:
     broadcast_rows: int = BROADCAST_ROWS
 
 
+def unique(table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per key of a lookup table; rows that contradict each other fail the job.
+
+    Whatever plan is chosen for the table, it then never multiplies records and never picks one of several values.
+    """
+    least, most = F.min(value), F.max(value)
+    named = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    clash = F.raise_error(F.concat(F.lit(f"There is more than one {value} for "), named)).cast(table.schema[value].dataType)
+    found = table.groupBy(*keys).agg(least.alias("_least"), most.alias("_most"))
+    return found.select(*keys, F.when(F.col("_least") != F.col("_most"), clash).otherwise(F.col("_least")).alias(value))
+
+
 def few_rows(table: DataFrame, most: int) -> list[Row] | None:
     """All rows of a table, or None if there are more than ``most``."""
     rows = table.limit(most + 1).collect()
@@ -74,18 +87,33 @@ def _any(conditions: list[Column]) -> Column:
     return conditions[0]
 
 
-def _extremes(rows: list[Row], lower: str | None, upper: str | None) -> Column:
-    """What all bounds have in common, to be pushed into the scan."""
-    test = F.lit(True)
-    for name in PARTITION:
-        values = sorted({r[name] for r in rows})
-        if len(values) <= PRUNED_PARTITIONS:
-            test = test & F.col(name).isin(values)
-    if rows and lower and all(r[lower] is not None for r in rows):
-        test = test & (F.col("offset") >= min(r[lower] for r in rows))
-    if rows and upper and all(r[upper] is not None for r in rows):
-        test = test & (F.col("offset") < max(r[upper] for r in rows))
-    return test
+def _near(rows: list[Row], bound: str, groups: int) -> list[list[Row]]:
+    """Rows in so many groups of similar bounds: cut where sorted bounds are farthest apart. Nulls are a group."""
+    some = sorted((r for r in rows if r[bound] is not None), key=lambda r: r[bound])
+    gaps = sorted(range(1, len(some)), key=lambda i: some[i - 1][bound] - some[i][bound])[: groups - 1]
+    cuts = [0, *sorted(gaps), len(some)]
+    found = [some[a:b] for a, b in zip(cuts, cuts[1:])] + [[r for r in rows if r[bound] is None]]
+    return [g for g in found if g]
+
+
+def _extremes(rows: list[Row], lower: str | None, upper: str | None, groups: int) -> Column:
+    """What groups of partitions with similar bounds have in common, to be pushed into the scan.
+
+    One partition with low offsets then doesn't open up all of a partition with high ones.
+    """
+    tests = []
+    for own in _near(rows, lower or upper, groups):
+        test = F.lit(True)
+        for name in PARTITION:
+            values = sorted({r[name] for r in own})
+            if len(values) <= PRUNED_PARTITIONS:
+                test = test & F.col(name).isin(values)
+        if lower and all(r[lower] is not None for r in own):
+            test = test & (F.col("offset") >= min(r[lower] for r in own))
+        if upper and all(r[upper] is not None for r in own):
+            test = test & (F.col("offset") < max(r[upper] for r in own))
+        tests.append(test)
+    return _any(tests)
 
 
 def bound_per_partition(
@@ -122,7 +150,7 @@ def bound_per_partition(
         return log.where(_any(tests))
 
     if rows is not None and not keep_unbounded:
-        log = log.where(_extremes(rows, lower, upper))
+        log = log.where(_extremes(rows, lower, upper, LITERAL_ROWS))
     side = join_side(bounds, rows)
     names = {c: f"_{c}" for c in side.columns if c not in PARTITION}
     side = side.withColumnsRenamed(names).withColumn("_bounded", F.lit(True))
@@ -140,7 +168,7 @@ def attach_per_topic(
 ) -> DataFrame:
     """``log`` plus the column of a (topic, column) table; null for unknown topics."""
     limits = limits or Limits()
-    table = table.select("topic", column)
+    table = unique(table, ["topic"], column)
     rows = few_rows(table, max(limits.literal_rows, limits.broadcast_rows))
     if rows is not None and len(rows) <= limits.literal_rows:
         value = F.lit(None).cast(table.schema[column].dataType)

@@ -27,6 +27,8 @@ LOG_SCHEMA = T.StructType(
     ]
 )
 LOG_COLUMNS = LOG_SCHEMA.fieldNames()
+# Landed logs have topic and partition inside their files, for row-group statistics, and once more as folders.
+FOLDERS = {"topic": "in_topic", "partition": "in_partition"}
 SLICE_ROWS = 4_000_000
 
 
@@ -42,6 +44,22 @@ def _files(reader, format: str, source: str, options: dict[str, str]) -> DataFra
     return as_log(reader.format(format).schema(LOG_SCHEMA).options(**options).load(source))
 
 
+def _landed(spark: SparkSession, format: str, source: str, options: dict[str, str]) -> DataFrame:
+    """Files, of a landed log with the equality of folders and columns.
+
+    Out of it the optimizer derives that whatever is asked of topic and partition holds for the folders too. So a
+    condition on single partitions and their offsets prunes folders, and reaches the row groups as a whole.
+    """
+    if not set(FOLDERS.values()) <= set(spark.read.format(format).options(**options).load(source).columns):
+        return _files(spark.read, format, source, options)
+    kinds = {f.name: f for f in LOG_SCHEMA}
+    both = T.StructType([*LOG_SCHEMA, *[T.StructField(folder, kinds[c].dataType) for c, folder in FOLDERS.items()]])
+    df = spark.read.format(format).schema(both).options(**options).load(source)
+    for c, folder in FOLDERS.items():
+        df = df.where(F.col(c) == F.col(folder))
+    return as_log(df)
+
+
 def select_partition(log: DataFrame, selector: str | None) -> DataFrame:
     """Records of ``topic`` or ``topic-N``: literal predicates that prune the scan."""
     if selector is None:
@@ -105,7 +123,7 @@ def read_log(
         if wanted.get("startingOffsets") == "latest":
             raise ValueError("a bounded read cannot start at the latest offset; follow_log does")
         return as_log(spark.read.format("kafka").options(**wanted).load())
-    return select_partition(_files(spark.read, format, source, options), selector)
+    return select_partition(_landed(spark, format, source, options), selector)
 
 
 def follow_log(
@@ -134,8 +152,9 @@ def land_log(log: DataFrame, path: str, mode: str = "errorifexists", slice_rows:
         as_log(log)
         .repartition(F.col("topic"), F.col("partition"), slices)
         .sortWithinPartitions("topic", "partition", "offset")
+        .withColumns({folder: F.col(c) for c, folder in FOLDERS.items()})
         .write.mode(mode)
-        .partitionBy("topic", "partition")
+        .partitionBy(*FOLDERS.values())
         .parquet(path)
     )
 

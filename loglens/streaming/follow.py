@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loglens.operators.bounds import Time, as_time, passed
 from loglens.operators.limits import take_consumed
-from loglens.plans.sizing import BROADCAST_ROWS, PARTITION, bound_per_partition, few_rows
+from loglens.plans.sizing import PARTITION, bound_per_partition
 
 STATE = "batch long, topic string, partition int, last long, stop long, consumed long"
 
@@ -129,8 +129,7 @@ class Follow:
         bounds = self._remember(merged, batch_id).where(F.col("stop").isNotNull())
         inside = bound_per_partition(batch, bounds.select(*PARTITION, "stop"), upper="stop", keep_unbounded=True)
         self.emit(inside, batch_id)
-        stops = few_rows(bounds, BROADCAST_ROWS)
-        self.stopped = BROADCAST_ROWS if stops is None else len(stops)
+        self.stopped = bounds.count()
 
     def _until_max(self, batch: DataFrame, batch_id: int) -> None:
         before = self._before(batch_id)

@@ -211,7 +211,7 @@ def test_times(spark, expression, start, end):
     got = column(spark, [expression], "string", lambda v: F.struct(*[show(c) for c in time_bounds(v, NOW)]))
     assert tuple(got[0]) == (start, end)
     if start is None:
-        with pytest.raises(ValueError, match="Invalid time"):
+        with pytest.raises(ValueError, match="Cannot read the time"):
             resolve_time(spark, expression, NOW)
     else:
         row = spark.range(1).select(
