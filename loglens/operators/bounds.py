@@ -26,7 +26,14 @@ Time = dt.datetime | str | Column
 
 def _bounded_only(log: DataFrame) -> None:
     if log.isStreaming:
-        raise ValueError("Offset bounds are found by an aggregate over a bounded log; use loglens.streaming for streams.")
+        raise ValueError("A stream stops by loglens.streaming.Follow, and starts within a log only with a snapshot of it.")
+
+
+def _from(log: DataFrame, bounds: DataFrame, snapshot: DataFrame | None, limits: Limits | None) -> DataFrame:
+    """From the bounds (topic, partition, first) on. What a snapshot doesn't know yet is kept whole."""
+    if snapshot is None:
+        _bounded_only(log)
+    return bound_per_partition(log, bounds, lower="first", keep_unbounded=snapshot is not None, limits=limits)
 
 
 def as_times(log: DataFrame, times: list[tuple[Time, bool]], now: dt.datetime | str | None = None) -> list[Column]:
@@ -67,14 +74,21 @@ def first_offsets(log: DataFrame, **conditions: Column) -> DataFrame:
     )
 
 
-def from_time(log: DataFrame, t: Time, now: Time | None = None, limits: Limits | None = None) -> DataFrame:
+def from_time(
+    log: DataFrame, t: Time, now: Time | None = None, limits: Limits | None = None, snapshot: DataFrame | None = None
+) -> DataFrame:
     """From the first offset with a timestamp at or after ``t``, everything that follows.
 
-    Partitions without such a record give no rows.
+    Partitions without such a record give no rows. A stream takes its bounds
+    from a ``snapshot``, the log as it is now, and such partitions start at its end.
     """
-    _bounded_only(log)
-    bounds = first_offsets(log, first=reached(as_time(log, t, now)))
-    return bound_per_partition(log, bounds, lower="first", limits=limits)
+    known = log if snapshot is None else snapshot
+    _bounded_only(known)
+    bounds = first_offsets(known, first=reached(as_time(known, t, now)))
+    if snapshot is not None:
+        ends = end_offsets(snapshot).join(bounds, PARTITION, "left")
+        bounds = ends.select(*PARTITION, F.coalesce("first", "end_offset").alias("first"))
+    return _from(log, bounds, snapshot, limits)
 
 
 def to_time(log: DataFrame, t: Time, now: Time | None = None, limits: Limits | None = None) -> DataFrame:
@@ -110,30 +124,40 @@ def end_offsets(log: DataFrame) -> DataFrame:
     return log.groupBy(*PARTITION).agg((F.max("offset") + 1).alias("end_offset"))
 
 
-def tail(log: DataFrame, n: int, ends: DataFrame | None = None, limits: Limits | None = None) -> DataFrame:
+def tail(
+    log: DataFrame,
+    n: int,
+    ends: DataFrame | None = None,
+    limits: Limits | None = None,
+    snapshot: DataFrame | None = None,
+) -> DataFrame:
     """The last ``n`` offsets of every partition; fewer rows where offsets are missing.
 
     ``ends`` (topic, partition, end_offset) holds the end offsets of the broker
-    if they are known, and may not contradict itself; without it the end is the last visible offset plus one.
+    if they are known, and may not contradict itself; without it the end is the
+    last visible offset plus one. A stream starts n before the end of a
+    ``snapshot``, the log as it is now, and goes on.
     """
-    _bounded_only(log)
     if n <= 0:
         raise ValueError(INVALID_OFFSET)
-    known = end_offsets(log) if ends is None else unique(ends, PARTITION, "end_offset")
-    bounds = known.select(*PARTITION, (F.col("end_offset") - n).alias("first"))
-    return bound_per_partition(log, bounds, lower="first", limits=limits)
+    if snapshot is None:
+        _bounded_only(log)
+    known = end_offsets(log if snapshot is None else snapshot) if ends is None else unique(ends, PARTITION, "end_offset")
+    return _from(log, known.select(*PARTITION, (F.col("end_offset") - n).alias("first")), snapshot, limits)
 
 
-def start_at(log: DataFrame, offset: str | int, ends: DataFrame | None = None) -> DataFrame:
+def start_at(
+    log: DataFrame, offset: str | int, ends: DataFrame | None = None, snapshot: DataFrame | None = None
+) -> DataFrame:
     """``earliest``/``beginning``, ``latest``/``end`` or a negative number of offsets."""
     text = str(offset)
     if text in EARLIEST:
         return log
     if text in LATEST:
-        return log.where(F.lit(False))
+        return log.where(F.lit(False)) if snapshot is None else after_snapshot(log, snapshot)
     if not re.fullmatch(r"-[0-9]+", text):
         raise ValueError(INVALID_OFFSET)
-    return tail(log, -int(text), ends)
+    return tail(log, -int(text), ends, snapshot=snapshot)
 
 
 def after_snapshot(stream: DataFrame, log: DataFrame, limits: Limits | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def partition_count(log: DataFrame, topic: str) -> int:
 def _wrong_partitioner(topic: str, key: str) -> str:
     return (
         f"Key {key} may be anywhere in {topic}: its partition holds keys which murmur2 would have put elsewhere. "
-        f"Search all partitions for the text {key}, or name the right one as {topic}-N."
+        f"Name the right one as {topic}-N, or search all partitions for the text {key}."
     )
 
 

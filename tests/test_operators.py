@@ -129,7 +129,8 @@ def test_relative_times(log):
 
 
 def test_small_end_to_end_cases(log):
-    assert L.look(log([]), "t", offset="earliest").count() == 0
+    with pytest.raises(ValueError, match="no topics"):
+        L.look(log([]), "t", offset="earliest")
     first = log([("t", 0, 0, 1, "key0", "value0"), ("t", 0, 1, 2, "key1", "value1")])
     lines = [r["line"] for r in L.look(first, "t-0", offset="earliest").orderBy("offset").collect()]
     assert lines == ["t-0 2024-01-01 00:00:01.000 0 key0 value0", "t-0 2024-01-01 00:00:02.000 1 key1 value1"]
@@ -511,3 +512,29 @@ def test_permissive_takes_whatever_is_broken(spark, log):
     assert got[0].value_avro.error and got[2].value_avro.error
     with pytest.raises(Exception, match="schema 1 of confluent"):
         L.decode_avro(df.where("offset = 0"), schemas).collect()
+
+
+def test_look_checks_names(log):
+    one = log([("orders", p, 0, 0, "a", "v") for p in range(2)])
+    two = one.unionByName(log([("odds", 0, 0, 0, None, "v")]))
+    assert L.look(one).count() == 2
+    for df, selector, message in ((two, None, "several topics"), (two, "oders", "nearest name is orders"), (two, "orders-7", "partitions 0 to 1"), (one, "x-1", "no topic x")):
+        with pytest.raises(ValueError, match=message):
+            L.look(df, selector)
+    elsewhere = 1 - L.partition_of("a", 2)
+    with pytest.warns(UserWarning, match="usually is in partition"):
+        assert L.look(one, f"orders-{elsewhere}", key="a").count() == 1
+
+
+def test_local_times_that_clocks_skip_or_repeat(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        for wrong in ("2024-03-31 02:30", "2024-10-27 02:30:00", "-" + "9" * 30 + "d", "2024-02-30", "25:00"):
+            with pytest.raises(ValueError, match="exactly once"):
+                L.resolve_time(spark, wrong, "2024-06-01 12:00:00")
+        for fine, hours in (("2024-03-31", 23), ("2024-10-27", 25), ("2024-06-01", 24)):
+            first, last = (L.resolve_time(spark, fine, "2024-06-01 12:00:00", end=e) for e in (False, True))
+            assert spark.range(1).select(F.unix_millis(last) - F.unix_millis(first)).first()[0] == hours * 3_600_000 - 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -141,3 +141,38 @@ def test_stream_limit_and_latest(spark, log, tmp_path):
     query = some.writeStream.format("memory").queryName("some").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("some").count() == 7
+
+
+def test_streams_start_in_a_snapshot(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    land_waves(log, path, [(0, 10), (10, 20)])
+    snapshot = L.read_log(spark, path)
+    for name, start, bounded in (
+        ("tail", lambda df, s: L.tail(df, 4, snapshot=s), lambda df: L.tail(df, 4)),
+        ("time", lambda df, s: L.from_time(df, END, snapshot=s), lambda df: L.from_time(df, END)),
+        ("end", lambda df, s: L.start_at(df, "latest", snapshot=s), lambda df: df.where(F.lit(False))),
+    ):
+        sink, checkpoint = Sink(), str(tmp_path / name)
+        stream = L.follow_log(spark, path, maxFilesPerTrigger="1")
+        L.Follow(start(stream, snapshot.persist()), sink, checkpoint).start(availableNow=True).awaitTermination()
+        assert sink.all() == keys(bounded(snapshot)), name
+    with pytest.raises(ValueError, match="snapshot"):
+        L.tail(L.follow_log(spark, path), 4)
+
+
+def test_look_on_a_stream(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    land_waves(log, path, [(0, 15), (15, 30)])
+    seen = []
+
+    def emit(df, batch_id):
+        seen.extend(r["line"] for r in df.collect())
+
+    whole = L.read_log(spark, path)
+    stream = L.follow_log(spark, path, maxFilesPerTrigger="1")
+    follow = L.follow_look(stream, emit, str(tmp_path / "c"), "t", offset=-20, text="-1", snapshot=whole, end=END)
+    follow.start(availableNow=True).awaitTermination()
+    want = L.text_filter(L.to_time(L.tail(whole, 20), END), "-1").withColumn("line", L.render_line())
+    assert sorted(seen) == sorted(r["line"] for r in want.collect()) and seen
+    with pytest.raises(ValueError, match="follow_look"):
+        L.look(stream, "t", max_records=3)

@@ -114,6 +114,12 @@ REGISTRY_NAME = "CASE WHEN event_id % 3 = 0 THEN 'confluent' ELSE 'glue' END"
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = _own()
+    # Streams that are read to their end give what the bounded read gives.
+    return sql | {"follow_from_time": sql["from_time"], "follow_search": sql["range_search"]}
+
+
+def _own() -> dict[str, str]:
     return {
         "topic_catalog": f"WITH {CATALOG} SELECT topic, n_partitions FROM catalog",
         "list_topics": f"WITH {CATALOG} SELECT topic || ' (' || n_partitions || ')' AS line FROM catalog",
@@ -141,6 +147,20 @@ def oracle_sql() -> dict[str, str]:
             ends AS (SELECT partition AS p, max("offset") + 1 AS e FROM kept GROUP BY partition),
             last AS (SELECT * FROM kept JOIN ends ON partition = p WHERE "offset" >= e - {Q.TAIL}) """
         + _records("last"),
+        "tail_skewed": f"""WITH {ALL_LOGS},
+            ends AS (SELECT topic AS n, partition AS p, max("offset") + 1 AS e FROM all_logs GROUP BY ALL)
+            SELECT topic, partition, "offset" FROM all_logs JOIN ends ON topic = n AND partition = p
+            WHERE "offset" >= e - {Q.TAIL}""",
+        "start_at_ends": f"WITH {EVENTS_LOG} " + _records("events_log"),
+        "observe_consumed": f"""WITH {EVENTS_LOG},
+            first AS (SELECT * FROM events_log ORDER BY "offset", topic, partition LIMIT {Q.CONSUMED_MANY})
+            SELECT count(*) AS consumed,
+              count(*) FILTER (WHERE contains({EVENT_TEXT}, '{Q.NEEDLE}') OR contains(coalesce(value, ''), '{Q.NEEDLE}')) AS kept
+            FROM first""",
+        "follow_tail": f"""WITH {EVENTS_LOG},
+            ends AS (SELECT partition AS p, max("offset") + 1 AS e FROM events_log GROUP BY partition),
+            last AS (SELECT * FROM events_log JOIN ends ON partition = p WHERE "offset" >= e - {Q.TAIL}) """
+        + _records("last"),
         "from_time": f"""WITH {EVENTS_LOG},
             started AS (SELECT l.* FROM events_log l JOIN {FIRST} b ON l.partition = b.partition
               WHERE l."offset" >= b.first) """

@@ -113,6 +113,30 @@ def tail_n(spark, sf_dir):
     return _records(L.tail(logs.events_log_compacted(spark, sf_dir), TAIL))
 
 
+@query
+def tail_skewed(spark, sf_dir):
+    """Tails of all logs: more partitions than fit literal bounds, of very different lengths."""
+    return L.tail(_all_logs(spark, sf_dir), TAIL).select("topic", "partition", "offset")
+
+
+@query
+def start_at_ends(spark, sf_dir):
+    log = logs.events_log(spark, sf_dir)
+    both = L.start_at(log, "earliest").unionByName(L.start_at(log, "latest"))
+    return _records(both)
+
+
+@query
+def observe_consumed(spark, sf_dir):
+    """Records counted while they are limited and written, next to those that a filter leaves."""
+    watched, progress = L.observe_consumed(L.take_consumed(logs.events_log(spark, sf_dir), CONSUMED_MANY, top_n=CONSUMED))
+    left = L.text_filter(watched, NEEDLE)
+    out = logs.workspace(spark, sf_dir, f"observed-{uuid.uuid4().hex}")
+    left.select("offset").write.parquet(out)
+    kept = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("kept"))
+    return kept.select(F.lit(progress.get["records"]).cast("long").alias("consumed"), "kept")
+
+
 @query
 def from_time(spark, sf_dir):
     return _records(L.from_time(logs.events_log(spark, sf_dir), START))
@@ -350,23 +374,61 @@ def key_search(spark, sf_dir):
 # --- streams ---------------------------------------------------------------
 
 
-def _follow(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
-    """Follow the landed events to their end and return what was emitted."""
+def _stream(spark: SparkSession, sf_dir: str, **options: str) -> tuple[DataFrame, str]:
+    """The landed events as a stream, and a folder for a run."""
     logs.events_log(spark, sf_dir)
     run = logs.workspace(spark, sf_dir, f"follow-{uuid.uuid4().hex}")
-    stream = L.follow_log(spark, logs.workspace(spark, sf_dir, "events"), EVENTS)
+    return L.follow_log(spark, logs.workspace(spark, sf_dir, "events"), EVENTS, **options), run
+
+
+def _followed(spark: SparkSession, run: str, make: Callable) -> DataFrame:
+    """What a follow emits until the landed files are read."""
+    parts: list[str] = []
 
     def emit(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{run}/out/batch={batch_id}")
+        parts.append(f"{run}/out/batch={batch_id}")
+        df.write.mode("overwrite").parquet(parts[-1])
+
+    make(emit, f"{run}/checkpoint").start(availableNow=True).awaitTermination()
+    return spark.read.parquet(*dict.fromkeys(parts))
 
-    follow = L.Follow(stream, emit, f"{run}/checkpoint", **bounds)
-    follow.start(availableNow=True).awaitTermination()
-    return spark.read.schema(L.LOG_SCHEMA).parquet(f"{run}/out")
+
+def _follow(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
+    stream, run = _stream(spark, sf_dir)
+    return _followed(spark, run, lambda emit, checkpoint: L.Follow(stream, emit, checkpoint, **bounds))
+
+
+# One landed file, so one partition, per micro-batch.
+SINGLE = {"maxFilesPerTrigger": "1"}
 
 
 @query
 def follow_to_time(spark, sf_dir):
-    return _records(_follow(spark, sf_dir, end=END))
+    stream, run = _stream(spark, sf_dir, **SINGLE)
+    return _records(_followed(spark, run, lambda emit, checkpoint: L.Follow(stream, emit, checkpoint, end=END)))
+
+
+@query
+def follow_tail(spark, sf_dir):
+    stream, run = _stream(spark, sf_dir, **SINGLE)
+    started = L.tail(stream, TAIL, snapshot=logs.events_log(spark, sf_dir))
+    return _records(_followed(spark, run, lambda emit, checkpoint: L.Follow(started, emit, checkpoint)))
+
+
+@query
+def follow_from_time(spark, sf_dir):
+    stream, run = _stream(spark, sf_dir, **SINGLE)
+    started = L.from_time(stream, START, snapshot=logs.events_log(spark, sf_dir))
+    return _records(_followed(spark, run, lambda emit, checkpoint: L.Follow(started, emit, checkpoint)))
+
+
+@query
+def follow_search(spark, sf_dir):
+    """A live look: from a time to a time, searched for a text and shown as lines."""
+    stream, run = _stream(spark, sf_dir, **SINGLE)
+    log = logs.events_log(spark, sf_dir)
+    make = lambda emit, checkpoint: L.follow_look(stream, emit, checkpoint, EVENTS, start=START, end=END, text=NEEDLE, snapshot=log)
+    return _followed(spark, run, make).select("partition", "offset", "line")
 
 
 @query
