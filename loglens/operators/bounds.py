@@ -26,7 +26,7 @@ Time = dt.datetime | str | Column
 
 def _bounded_only(log: DataFrame) -> None:
     if log.isStreaming:
-        raise ValueError("A stream stops by loglens.streaming.Follow, and starts within a log only with a snapshot of it.")
+        raise ValueError("Bounds of streams need a snapshot of the log to start in; loglens.streaming.Follow stops them.")
 
 
 def _from(log: DataFrame, bounds: DataFrame, snapshot: DataFrame | None, limits: Limits | None) -> DataFrame:

@@ -216,7 +216,7 @@ def test_scan_key_reads_one_partition_and_pushes_the_key(spark, log, tmp_path, c
     L.time_range(landed, at(5), at(9)).select("offset").explain("formatted")
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(offset" in plan and "LessThan(offset" in plan and "Join" not in plan
-    assert "ReadSchema: struct<offset:bigint>" in plan
+    assert "ReadSchema: struct<topic:string,partition:int,offset:bigint>" in plan  # not the payloads
 
 
 @pytest.mark.parametrize("limits", ALL_PLANS)
