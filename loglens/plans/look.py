@@ -7,6 +7,7 @@ import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loglens.functions.partitioner import partition_of
 from loglens.functions.render import render_line
@@ -27,6 +28,11 @@ def _named(selector: str | None, log: DataFrame, catalog: DataFrame | None) -> t
             if selector is None:
                 raise ValueError("following needs a topic")
             return *parse_selector(selector), None
+        if selector is not None:  # one narrow aggregate settles it if the topic is there
+            topic, partition = parse_selector(selector)
+            last = log.where(F.col("topic") == topic).agg(F.max("partition")).first()[0]
+            if last is not None and (partition is None or partition <= last):
+                return topic, partition, last + 1
         catalog = topic_catalog(log)
     spark = log.sparkSession
     r = resolve_selectors(spark.createDataFrame([(selector,)], "selector string"), catalog).first()
