@@ -16,13 +16,14 @@ ones for n-grams at a text's begin.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm.common import CACHE_WORDS, as_batch, bytes_of, chunks, fresh, local_path, save_array, spaced_words
@@ -107,9 +108,8 @@ class Order:
         """An array's values of ids; empty for the id -1."""
         return self._by_part(ids.astype(np.int64), lambda p, at: self.array(name, p)[at], empty, float)
 
-    def last(self, ids: np.ndarray) -> np.ndarray:
-        """Ids of the n-grams' last words."""
-        return self._by_part(ids.astype(np.int64), lambda p, at: self.array("keys", p)[at] & LOW, 0, np.int64)
+    def keys_of(self, ids: np.ndarray) -> np.ndarray:
+        return self._by_part(ids.astype(np.int64), lambda p, at: self.array("keys", p)[at], 0, np.uint64)
 
     def counts(self, name: str, ids: np.ndarray) -> np.ndarray:
         return self._by_part(ids, lambda p, at: self.part_counts(name, p, at), 0, np.int64)
@@ -149,6 +149,17 @@ def joined(prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
     return prefix.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)
 
 
+def without_first(orders: list[Order], keys: np.ndarray) -> np.ndarray:
+    """Ids in the last of the orders of the n-grams with these keys of the order above, each without its first word.
+
+    Found anew by way of the beginnings, so nothing is stored for it.
+    """
+    if len(orders) == 1:
+        return (keys & LOW).astype(np.int64)
+    shorter = without_first(orders[:-1], orders[-1].keys_of(keys >> np.uint64(32)))
+    return orders[-1].find(joined(shorter, keys & LOW))
+
+
 def grams(orders: list[Order], words: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
     """For each order, the id of the n-gram that ends at each token; -1 where it is unknown or the text too short."""
     ids = [words]
@@ -178,15 +189,29 @@ def _keys(orders: list[Order]):
     return of
 
 
-def _packed(part: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+def squeezed(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as compressed planes of their first bytes, their second bytes and so on."""
+    planes = values.astype(kind).view(np.uint8).reshape(len(values), -1).T if len(values) else values
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def expanded(data: bytes, kind: str, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def _packed(part: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes, bytes, bytes]:
     """Sorted keys as steps of their upper halves and lower halves, which compress well."""
-    step = np.diff((keys >> np.uint64(32)).astype(np.int64), prepend=0).astype("<u4")
-    return part, step.tobytes(), keys.astype("<u4").tobytes(), counts.astype("<u4").tobytes()
+    step = np.diff((keys >> np.uint64(32)).astype(np.int64), prepend=0)
+    return part, len(keys), squeezed(step, "<u4"), squeezed(keys & LOW, "<u4"), squeezed(counts, "<u4")
 
 
-def _unpacked(step: bytes, low: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    high = np.cumsum(np.frombuffer(step, "<u4"), dtype=np.uint64)
-    return high << np.uint64(32) | np.frombuffer(low, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
+def _unpacked(n: int, step: bytes, low: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    high = np.cumsum(expanded(step, "<u4", n), dtype=np.uint64)
+    return high << np.uint64(32) | expanded(low, "<u4", n), expanded(counts, "<u4", n).astype(np.int64)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +225,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first)
 
 
-PACKED = "part int, step binary, low binary, counts binary"
+PACKED = "part int, n int, step binary, low binary, counts binary"
 META = "part int, n long, mass long, n1 long, n2 long, n3 long, n4 long, cuts array<long>"
 
 
@@ -211,6 +236,18 @@ def _meta(part: int, n: int, values: np.ndarray, cuts: list[int]) -> pa.Table:
     return pa.table({k: pa.array(v, types.get(k, pa.int64())) for k, v in row.items()})
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What is collected in here leaves no shuffle files behind, which would stay until the driver's next full collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def count_order(docs: DataFrame, orders: list[Order], bounds: np.ndarray, per_part: float) -> tuple[Order, list]:
     """Counts the next order and writes its keys and counts. Also gives the parts' numbers, with cuts for the order above."""
     folder, keys_of = fresh(docs.sparkSession, f"grams-{len(orders) + 1}"), _keys(orders)
@@ -224,8 +261,8 @@ def count_order(docs: DataFrame, orders: list[Order], bounds: np.ndarray, per_pa
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             at = np.concatenate([np.searchsorted(keys, bounds), [len(keys)]])
             rows = [_packed(p, keys[a:b], counts[a:b]) for p, (a, b) in enumerate(zip(at, at[1:])) if a < b]
-            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return as_batch({k: pa.array([r[i] for r in rows], types[i]) for i, k in enumerate(("part", "step", "low", "counts"))})
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return as_batch({k: pa.array([r[i] for r in rows], types[i]) for i, k in enumerate(("part", "n", "step", "low", "counts"))})
 
         for batch in batches:
             texts = bytes_of(batch.column("text"))
@@ -240,13 +277,10 @@ def count_order(docs: DataFrame, orders: list[Order], bounds: np.ndarray, per_pa
 
     def merge(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        own = [_unpacked(*(group.column(c)[i].as_py() for c in ("step", "low", "counts"))) for i in range(group.num_rows)]
+        own = [_unpacked(*(group.column(c)[i].as_py() for c in ("n", "step", "low", "counts"))) for i in range(group.num_rows)]
         keys, counts = _merged([k for k, _ in own], [c for _, c in own])
         save_array(f"{path}/{part}/keys.npy", keys)
         save_counts(f"{path}/{part}/raw", counts)
-        if orders[1:]:  # the n-gram without its first word, found by way of its beginning's; of two words, the last
-            shorter = orders[-1].take("suffix", keys >> np.uint64(32)) if orders[2:] else orders[-1].last(keys >> np.uint64(32))
-            save_array(f"{path}/{part}/suffix.npy", orders[-1].find(joined(shorter, keys & LOW)).astype(np.uint32))
         # Cuts of the order above: where the counts so far pass equal shares, as a place in the array in 65536ths.
         so_far = np.cumsum(counts)
         n = int(4 * so_far[-1] / per_part) + 1
@@ -255,7 +289,8 @@ def count_order(docs: DataFrame, orders: list[Order], bounds: np.ndarray, per_pa
         into = (share - (so_far[at] - counts[at])) / counts[at]
         return _meta(part, len(keys), counts, (at * 65536 + (into * 65535).astype(np.int64)).tolist())
 
-    meta = docs.select("text").mapInArrow(run, PACKED).groupBy("part").applyInArrow(merge, META).collect()
+    with shuffles_dropped(docs.sparkSession):
+        meta = docs.select("text").mapInArrow(run, PACKED).groupBy("part").applyInArrow(merge, META).collect()
     by_part = {r.part: r for r in meta}
     sizes = np.array([by_part[p].n if p in by_part else 0 for p in range(len(bounds))], np.int64)
     return Order(path, bounds, sizes), [by_part.get(p) for p in range(len(bounds))]
@@ -286,6 +321,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0] + [float(np.clip(x, 0.01, i - 0.01)) for i, x in enumerate(d[1:], 1)])
 
 
+#: What an order sends to the one below: name, kind of number, and what says how many there are.
+SENT = (("ids", "<u4", "n_ids"), ("n", "<u4", "n_ids"), ("ctx", "<u4", "n_ctx"), ("total", "<i8", "n_ctx"), ("spare", "<f4", "n_ctx"))
+
+
 def _below(orders: list[Order], k: int, name: str, d: np.ndarray, spark) -> list:
     """From order k (counts: name; discounts: d) writes of order k - 1: continuation counts, totals and backoff weights."""
     order, below = orders[k - 1], orders[k - 2]
@@ -293,10 +332,9 @@ def _below(orders: list[Order], k: int, name: str, d: np.ndarray, spark) -> list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column("part").to_pylist():
-                keys, c = order.array("keys", p), order.part_counts(name, p)
-                prefix, last = (keys >> np.uint64(32)).astype(np.int64), (keys & LOW).astype(np.int64)
-                suffix = last if k == 2 else order.array("suffix", p)
-                ids, n = np.unique(suffix, return_counts=True)
+                keys, c = order.array("keys", p)[:], order.part_counts(name, p)
+                prefix = (keys >> np.uint64(32)).astype(np.int64)
+                ids, n = np.unique(without_first(orders[: k - 1], keys), return_counts=True)
                 first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
                 total = np.add.reduceat(c, first)
                 spare = np.add.reduceat(d[np.minimum(c, 3)], first)
@@ -306,32 +344,35 @@ def _below(orders: list[Order], k: int, name: str, d: np.ndarray, spark) -> list
                 for q in range(len(below.sizes)):
                     a, b, e, f = at_n[q], at_n[q + 1], at_c[q], at_c[q + 1]
                     if a < b or e < f:
-                        rows.append((q, ids[a:b].astype("<u4"), n[a:b].astype("<u4"), ctx[e:f].astype("<u4"), total[e:f].astype("<u8"), spare[e:f].astype("<f4")))
+                        own = np.diff(ids[a:b], prepend=0), n[a:b], np.diff(ctx[e:f], prepend=0), total[e:f], spare[e:f]
+                        rows.append((q, b - a, f - e, *(squeezed(x, kind) for x, (_, kind, _) in zip(own, SENT))))
                 yield as_batch(
-                    {"part": pa.array([r[0] for r in rows], pa.int32())}
-                    | {x: pa.array([r[i].tobytes() for r in rows], pa.binary()) for i, x in enumerate(("ids", "n", "ctx", "total", "spare"), 1)}
+                    {x: pa.array([r[i] for r in rows], pa.int32()) for i, x in enumerate(("part", "n_ids", "n_ctx"))}
+                    | {x: pa.array([r[i] for r in rows], pa.binary()) for i, (x, _, _) in enumerate(SENT, 3)}
                 )
 
     def merge(group: pa.Table) -> pa.Table:
         q = group.column("part")[0].as_py()
         size, base = int(below.sizes[q]), int(below.base[q])
-        found, total, spare = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+        found, total, spare = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
         for i in range(group.num_rows):
-            ids, n, ctx, t, s = (np.frombuffer(group.column(c)[i].as_py(), kind) for c, kind in (("ids", "<u4"), ("n", "<u4"), ("ctx", "<u4"), ("total", "<u8"), ("spare", "<f4")))
-            found[ids.astype(np.int64) - base] += n
-            total[ctx.astype(np.int64) - base] += t
-            spare[ctx.astype(np.int64) - base] += s
+            ids, n, ctx, t, s = (expanded(group.column(c)[i].as_py(), kind, group.column(m)[i].as_py()) for c, kind, m in SENT)
+            found[np.cumsum(ids, dtype=np.int64) - base] += n
+            at = np.cumsum(ctx, dtype=np.int64) - base
+            total[at] += t
+            spare[at] += s
         if k > 2:  # n-grams that nothing precedes stand at a text's begin
             found = np.where(found == 0, below.part_counts("raw", q), found)
         save_counts(below.path("adjusted", q), found)
-        save_array(below.path("total.npy", q), total)
+        save_counts(below.path("total", q), total)
         save_array(below.path("backoff.npy", q), (spare / np.maximum(total, 1)).astype(np.float32))
         return _meta(q, size, found, [])
 
     parts = [(p,) for p in range(len(order.sizes)) if order.sizes[p]]
     dealt = spark.createDataFrame(parts, "part int").repartition(len(parts))
-    packed = dealt.mapInArrow(run, "part int, ids binary, n binary, ctx binary, total binary, spare binary")
-    return packed.groupBy("part").applyInArrow(merge, META).collect()
+    with shuffles_dropped(spark):
+        packed = dealt.mapInArrow(run, "part int, n_ids int, n_ctx int, " + ", ".join(f"{c} binary" for c, _, _ in SENT))
+        return packed.groupBy("part").applyInArrow(merge, META).collect()
 
 
 @dataclass
@@ -357,7 +398,7 @@ class Model:
         for k in range(2, top + 1):
             order, below, d = self.orders[k - 1], self.orders[k - 2], self.discounts[k - 1]
             ctx = np.concatenate([[-1], ids[k - 2][:-1]])
-            total, weight = below.take("total", ctx), below.take("backoff", ctx, 1.0)
+            total, weight = below.counts("total", ctx), below.take("backoff", ctx, 1.0)
             seen = total > 0
             c = order.counts("raw" if k == top else "adjusted", ids[k - 1])
             more = np.where(seen, (c - d[np.minimum(c, 3)]) / np.where(seen, total, 1), 0)

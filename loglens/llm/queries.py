@@ -15,8 +15,7 @@ from loglens.llm.common import remainder, table
 TOKENIZERS = "public_tokenizers"
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
-#: A third order alone would take more disk than the input has bytes four times over; the README has the figures.
-LM_ORDER = 2
+LM_ORDER = 3
 
 #: The queries' key. Elsewhere it is a secret: whoever has it can undo the surrogates.
 SURROGATE_KEY = b"loglens surrogates"

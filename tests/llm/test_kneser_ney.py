@@ -114,3 +114,12 @@ def test_cuts_spread_a_frequent_beginning(spark):
     model = K.learn(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 2)
     sizes = model.orders[1].sizes
     assert sizes.max() <= 0.6 * sizes.sum()
+
+
+def test_the_query_fits_three_orders(spark, monkeypatch):
+    from loglens.llm import queries
+
+    made, learn = [], K.learn
+    monkeypatch.setattr(K, "learn", lambda *a, **b: made.append(learn(*a, **b)) or made[-1])
+    queries.REGISTRY["op1_kneser_ney"](spark, "/root/testdata/sf0.001").count()
+    assert len(made[0].orders) >= 3 and made[0].orders[-1].sizes.sum() > 0
