@@ -1,11 +1,10 @@
 """Main text of web pages by differencing pages with near URLs.
 
 Pages are laid out by host and path, so pages of a template stand side by side; a frequent host is cut into many ranges.
-Each page is read into lines, one per block of markup, and compared with the neighbour of its host whose path is nearest.
-A longest common subsequence aligns their lines; what both share is the template's and is deleted. Markup has a say as
-well: menus, forms, scripts and the like are no lines at all, and where a page marks its article, only that counts, its
-lines are safe from deletion (two articles may quote the same passage) and lines elsewhere are dropped. Pages of which
-nearly all text is shared are copies of each other, of which nothing is deleted.
+Each page is read into lines, one per block of markup, and compared with the nearest pages of its host that have another
+text. A longest common subsequence aligns their lines; what the page shares with most of them is the
+template's and is deleted. Markup has a say as well: menus, forms, scripts and the like are no lines at all, and where a
+page marks its article, lines elsewhere are dropped and its own are safe (two articles may quote the same passage). Pages of equal text are copies, which aren't compared.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
-from os.path import commonprefix
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +40,8 @@ WORDS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 SILENT = frozenset(("script", "style", "template", "noscript"))  # they don't end the line around them
-#: From this share of a page's text on, the pages are copies.
-COPY = 0.8
+#: Pages of another text that a page is compared with, among so many on each side.
+NEAR, LOOK = 4, 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -161,15 +160,15 @@ def common(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
-def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> tuple[str, int]:
-    """The text that a page's lines leave beside those of its neighbour, and how many lines were deleted as shared."""
+def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]] | None) -> tuple[str, int]:
+    """The text that a page's lines leave beside those of near pages, and how many lines were deleted as shared."""
     best = max((z for _, z in own), default=0)
-    shared: set[int] = set()
-    if other:
-        found = common([x for x, _ in own], [x for x, _ in other])
-        size = sum(len(own[i][0]) for i in found)
-        if size < COPY * min(sum(len(x) for x, _ in own), sum(len(x) for x, _ in other)):
-            shared = {i for i in found if own[i][1] == 0}
+    times = [0] * len(own)
+    for other in near or ():
+        for i in common([x for x, _ in own], [x for x, _ in other]):
+            times[i] += 1
+    n = len(near or ())
+    shared = {i for i, (_, z) in enumerate(own) if z == 0 and 2 * times[i] > n}
     kept = [x for i, (x, z) in enumerate(own) if z == best and i not in shared]
     return "\n".join(kept), len(shared)
 
@@ -182,62 +181,70 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
 
 
-def _nearest(page: tuple, before: tuple | None, behind: tuple | None) -> list | None:
-    """Lines of the neighbour on the same host whose path has most in common with the page's."""
-    best, most = None, -1
-    for x in (before, behind):
-        if x is not None and x[0] == page[0] and (n := len(commonprefix([x[1], page[1]]))) > most:
-            best, most = x[2], n
-    return best
+def _near(page: tuple, before: list[tuple], behind: list[tuple]) -> list[list]:
+    """Lines of the NEAR nearest pages of the same host with texts other than the page's, from both sides by turns."""
+    out: list[list] = []
+    for x in (x for pair in zip_longest(behind, before) for x in pair):
+        if x is not None and x[0] == page[0] and x[1] != page[1] and x[1] not in out and len(out) < NEAR:
+            out.append(x[1])
+    return out
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in the order of host and path; each is compared while its neighbours are at hand."""
-    before: tuple | None = None
-    waiting: tuple | None = None  # the page whose follower isn't read yet: host, path, lines, id, url
+    """Pages in the order of host and path; each is compared while the near ones are at hand."""
+    before: list[tuple] = []
+    waiting: list[tuple] = []  # copies side by side as one: host, lines, ids and urls; until LOOK of them follow
     done: list[tuple] = []
 
-    def finish(behind: tuple | None) -> None:
-        nonlocal before
-        text, n = main_text(waiting[2], _nearest(waiting, before, behind))
-        done.append((waiting[3], waiting[4], text, n))
-        before = waiting
+    def finish() -> None:
+        page = waiting.pop(0)
+        text, n = main_text(page[1], _near(page, before[::-1], waiting))
+        done.extend((page_id, url, text, n) for page_id, url in page[2])
+        before.append(page)
+        del before[:-LOOK]
 
     def ready(kinds: tuple) -> pa.RecordBatch:
+        own = done[:500]
         out = as_batch(
             {
-                "page_id": pa.array([d[0] for d in done], kinds[0]),
-                "url": pa.array([d[1] for d in done], kinds[1]),
-                "text": pa.array([d[2] for d in done], pa.string()),
-                "n_chars": pa.array(np.array([len(d[2]) for d in done], np.int64)),
-                "n_shared": pa.array(np.array([d[3] for d in done], np.int64)),
+                "page_id": pa.array([d[0] for d in own], kinds[0]),
+                "url": pa.array([d[1] for d in own], kinds[1]),
+                "text": pa.array([d[2] for d in own], pa.string()),
+                "n_chars": pa.array(np.array([len(d[2]) for d in own], np.int64)),
+                "n_shared": pa.array(np.array([d[3] for d in own], np.int64)),
             }
         )
-        done.clear()
+        del done[:500]
         return out
 
     kinds: tuple | None = None
     for batch in batches:
         kinds = (batch.column("page_id").type, batch.column("url").type)
-        columns = [batch.column(c) for c in ("_host", "_path", "page_id", "url", "html")]
+        columns = [batch.column(c) for c in ("_host", "page_id", "url", "html")]
         for i in range(batch.num_rows):
-            host, path, page_id, url, html = (c[i].as_py() for c in columns)
-            page = (host, path, lines(html or ""), page_id, url)
-            if waiting is not None:
-                finish(page)
-            waiting = page
-            if len(done) >= 500:
+            host, page_id, url, html = (c[i].as_py() for c in columns)
+            own = lines(html or "")
+            if waiting and waiting[-1][:2] == (host, own):
+                waiting[-1][2].append((page_id, url))
+                continue
+            waiting.append((host, own, [(page_id, url)]))
+            if len(waiting) > LOOK + 1:  # the last one's copies may still follow
+                finish()
+            while len(done) >= 500:
                 yield ready(kinds)
-    if waiting is not None:
-        finish(None)
+    while waiting:
+        finish()
+        while len(done) >= 500:
+            yield ready(kinds)
+    if done:
         yield ready(kinds)
 
 
 def page_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) of every row; n_shared lines were deleted by comparison.
 
-    Null and empty pages have an empty text; pages without a URL are neighbours of each other. Equal pages are copies and keep
-    their text. At the edge of a range of pages there is a neighbour on one side only.
+    Null and empty pages have an empty text; pages without a URL are neighbours of each other. Pages of equal text
+    are copies, which aren't compared. At the edge of a range of pages there are near pages on one side only.
     """
     inner = pages.select("page_id", "url", "html").withColumns({"_host": host_of(F.col("url")), "_path": path_of(F.col("url"))})
     # Only what is read travels, and once: it is parsed where it arrives.

@@ -441,6 +441,13 @@ def test_lines_of_a_page(html, want):
     assert page_text.main_text(page_text.lines(html or ""), None)[0] == want
 
 
+def test_short_pages_lose_a_large_template_and_copies_lose_it_too(spark):
+    menu = "".join(f"<div>A long line of the site's template, number {i}</div>" for i in range(9))
+    rows = [(i, f"https://h.org/{i // 2}", f"<body>{menu}<p>Short {i // 2}.</p></body>") for i in range(8)]  # each is stored twice
+    got = extracted(spark, rows)
+    assert {i: (r.text, r.n_shared) for i, r in got.items()} == {i: (f"Short {i // 2}.", 9) for i in range(8)}
+
+
 def test_page_edges(spark):
     rows = [(1, None, "<p>a"), (None, "::", None), (3, None, ""), (3, None, "")]
     got = page_text.page_text(spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES + ", text string, _host int"))
