@@ -4,7 +4,8 @@ Pages are laid out by host and path, so pages of a template stand side by side;
 Each page is read into lines, one per block of markup, and compared with the nearest pages of its host that have another
 text. A longest common subsequence aligns their lines; what the page shares with most of them is the
 template's and is deleted. Markup has a say as well: menus, forms, scripts and the like are no lines at all, and where a
-page marks its article, lines elsewhere are dropped and its own are safe (two articles may quote the same passage). Pages of equal text are copies, which aren't compared.
+page marks its article, lines elsewhere are dropped and its own are deleted only if all of at least SEVERAL near pages
+have them (two articles may quote the same passage). Pages of equal text are copies, which aren't compared.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ WORDS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 SILENT = frozenset(("script", "style", "template", "noscript"))  # they don't end the line around them
-#: Pages of another text that a page is compared with, among so many on each side.
-NEAR, LOOK = 4, 4
+#: Pages of another text that a page is compared with, among so many on each side; near pages that delete lines of an article.
+NEAR, LOOK, SEVERAL = 4, 4, 3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -168,7 +169,7 @@ def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]] | No
         for i in common([x for x, _ in own], [x for x, _ in other]):
             times[i] += 1
     n = len(near or ())
-    shared = {i for i, (_, z) in enumerate(own) if z == 0 and 2 * times[i] > n}
+    shared = {i for i, (_, z) in enumerate(own) if (2 * times[i] > n if z == 0 else times[i] == n >= SEVERAL)}
     kept = [x for i, (x, z) in enumerate(own) if z == best and i not in shared]
     return "\n".join(kept), len(shared)
 

@@ -448,6 +448,12 @@ def test_short_pages_lose_a_large_template_and_copies_lose_it_too(spark):
     assert {i: (r.text, r.n_shared) for i, r in got.items()} == {i: (f"Short {i // 2}.", 9) for i in range(8)}
 
 
+def test_template_lines_inside_articles_are_deleted_and_quotes_stay(spark):
+    rows = [(i, f"https://h.org/{i}", f"<article><p>Follow us</p><p>Text {i}</p>{'<p>quoted</p>' * (i < 2)}</article>") for i in range(5)]
+    got = extracted(spark, rows)
+    assert got[0].text == "Text 0\nquoted" and got[1].text == "Text 1\nquoted" and got[4].text == "Text 4"
+
+
 def test_page_edges(spark):
     rows = [(1, None, "<p>a"), (None, "::", None), (3, None, ""), (3, None, "")]
     got = page_text.page_text(spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES + ", text string, _host int"))
