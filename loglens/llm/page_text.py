@@ -41,6 +41,12 @@ WORDS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 SILENT = frozenset(("script", "style", "template", "noscript"))  # they don't end the line around them
+#: Classes and ids that tell the same inside an article, as whole tokens; anchors are made of a heading's words there.
+INSIDE = frozenset(
+    """ad ads advert advertisement adsbygoogle sponsored promo breadcrumb breadcrumbs pagination sidebar widget cookie-notice cookie-banner newsletter
+    newsletter-signup related-posts related-articles share-buttons social-share sharing comments user-comments""".split()
+)
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 #: Pages of another text that a page is compared with, among so many on each side; near pages that delete lines of an article.
 NEAR, LOOK, SEVERAL = 4, 4, 3
 
@@ -52,8 +58,8 @@ ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\
 SIBLINGS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _other(tag: str, attributes: str) -> bool:
-    """Whether an element is no part of an article."""
+def _other(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element is no part of an article; inside one, its class and id count as whole tokens only."""
     if tag in DROPPED:
         return True
     if attributes and tag not in ("html", "body"):
@@ -61,8 +67,13 @@ def _other(tag: str, attributes: str) -> bool:
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name == "role" and value in ROLES or name in ("class", "id") and not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
+            if name == "role" and value in ROLES:
                 return True
+            if name in ("class", "id"):
+                if inside and (tag in ANCHORED or INSIDE.isdisjoint(value.split())):
+                    continue
+                if inside or not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
+                    return True
     return False
 
 
@@ -125,7 +136,7 @@ def lines(html: str) -> list[tuple[str, int]]:
                 break
             if stack[i][0] not in INLINE:
                 break
-        other = _other(tag, attributes)
+        other = _other(tag, attributes, zone[1] + zone[2] > 0)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else size

@@ -454,6 +454,11 @@ def test_template_lines_inside_articles_are_deleted_and_quotes_stay(spark):
     assert got[0].text == "Text 0\nquoted" and got[1].text == "Text 1\nquoted" and got[4].text == "Text 4"
 
 
+def test_anchors_inside_articles_keep_their_text():
+    html = '<article><h2 id="search-algorithms">a</h2><section id="related-work">b</section><p id="follow-up">c</p><div id="header-files">d</div><div class="box ads">no</div></article>'
+    assert page_text.main_text(page_text.lines(html), None)[0] == "a\nb\nc\nd"
+
+
 def test_page_edges(spark):
     rows = [(1, None, "<p>a"), (None, "::", None), (3, None, ""), (3, None, "")]
     got = page_text.page_text(spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES + ", text string, _host int"))
