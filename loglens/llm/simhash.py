@@ -127,7 +127,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> t
     return distinct[linked], distinct[root[linked]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
     """Rows (mask, bits, fp) sorted by mask and bits: links (a, b), and (mask, bits) of the buckets that are too large."""
 
     def made(a=(), b=(), mask=(), bits=()) -> pa.RecordBatch:
@@ -144,7 +144,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def ready(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(rows):
             new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-            a, b = bucket_links(np.cumsum(new), rows[:, 2].copy().view(np.uint64))
+            a, b = bucket_links(np.cumsum(new), rows[:, 2].copy().view(np.uint64), distance)
             if len(a):
                 yield made(a.view(np.int64).tolist(), b.view(np.int64).tolist())
 
@@ -195,7 +195,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     while True:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n >> 17)
         dealt = keyed.repartition(parts, "mask", "bits").sortWithinPartitions("mask", "bits")
-        out = written(dealt.mapInArrow(_compare, "a long, b long, mask long, bits long"), "pairs")
+        out = written(dealt.mapInArrow(lambda batches: _compare(batches, distance), "a long, b long, mask long, bits long"), "pairs")
         found.append(out.where("a is not null").select("a", "b"))
         large = out.where("mask is not null").select("mask", "bits").distinct()
         masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # as many as there are choices of blocks

@@ -104,6 +104,11 @@ def test_keys_meet_whatever_bits_differ():
     assert simhash.blocks_for(10**6) == 7 < simhash.blocks_for(10**8) < simhash.blocks_for(10**10)
 
 
+def test_links_reach_as_far_as_asked(spark):
+    fps = spark.createDataFrame([(0,), (63,), (-1,)], "fp long")
+    assert simhash.links(fps, 8).distinct().count() == 1 and simhash.links(fps, 4).count() == 0
+
+
 def test_near_duplicates_edges(spark):
     got = simhash.near_duplicates(edges(spark)).collect()
     assert len(got) == len(EDGES)
