@@ -71,7 +71,7 @@ KINDS = {
     "labelled": r"(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d|pwd|access[_-]?key|auth)\b[\"']?\s*[=:]\s*)[\"']?[\w+/.~-]{6,}={0,2}[\"']?",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ipv6": r"(?i:(?<![\w:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![\w:]))",
+    "ipv6": r"(?i:(?<![\w:])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|[0-9a-f]{3,4}(?::[0-9a-f]{1,4}){0,6}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?)(?![\w:]))",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w])",
@@ -79,9 +79,9 @@ KINDS = {
     "name": rf"\b(?:{_title})\b\.? {_name}(?: {_name}){{0,2}}",
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
-#: No entity is without a digit, an @, a title or one of these labels.
-SIGN = re.compile(r"[\d@]")
-LABELS = ("key", "secret", "token", "passw", "pwd", "auth", "sk-", "xox", "eyj")
+#: No entity is without a digit, an @, a title, one of these labels or, in hexadecimal without digits, such a run.
+SIGN = re.compile(r"[\d@]|::|(?i:[a-f]{32}|(?:[a-f]{1,4}:){7})")
+LABELS = ("key", "secret", "token", "passw", "pwd", "auth", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyj")
 
 
 def may_hold(text: str) -> bool:
@@ -272,11 +272,15 @@ class Surrogates:
             out[w] = s
         first: dict[str, str] = {}
         for w in sorted(given):
-            # Given names are few: one that is taken is drawn anew while any is free.
+            # Given names are few: one that is taken is drawn anew while any is free, then made of syllables.
             for attempt in range(200):
                 s = self._given(w, given[w], attempt)
                 if s.lower() not in taken | originals:
                     break
+            else:  # the pool is used up
+                attempt = 0
+                while (s := self._surname(f"{w} ", attempt)).lower() in taken | originals:
+                    attempt += 1
             taken.add(s.lower())
             first[w] = s
         for m in split:
@@ -305,6 +309,9 @@ class Surrogates:
     def _is(m: re.Match) -> bool:
         if m.lastgroup == "labelled":
             return any(c in DIGITS for c in m[0]) or m[0][-1] in "\"'"
+        if m.lastgroup == "ipv6" and "::" in m[0]:  # at most seven groups, and not a name in code
+            groups = sum(map(bool, m[0].split(":")))
+            return groups <= 7 and (groups > 2 or any(c in DIGITS for c in m[0]))
         return m.lastgroup != "phone" or 7 <= len(_digits(m[0])) <= 15
 
     @staticmethod
