@@ -244,13 +244,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 def without_copies(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, broadcast_rows: int = 200_000) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all columns.
 
-    Rows without a doc_id stay: nothing tells which of them to keep. Of rows that share the smallest doc_id one stays.
+    Rows without a doc_id stay: nothing tells which of them to keep. Where an id occurs more than once its rows are told apart
+    by their text and other columns, and the smallest stays; rows of one id that are no near-duplicates all stay.
     """
-    found = near_duplicates(docs, shingle, distance)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    key, columns = "doc_id", docs.columns
+    if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        key = "_row"
+        plain = [F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+        row = F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text"), F.xxhash64(*plain).alias("rest"))
+        docs = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), row))
+    found = near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"), shingle, distance)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "copies")
     n = gone.count()
-    kept = docs.join(F.broadcast(gone) if n <= broadcast_rows else gone, "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if repeated.isEmpty():
+    kept = docs.join(F.broadcast(gone) if n <= broadcast_rows else gone, key, "left_anti")
+    if key == "doc_id":
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    once = kept.where("doc_id is not null").dropDuplicates([key])
+    return once.unionByName(kept.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in columns])

@@ -109,6 +109,13 @@ def test_links_reach_as_far_as_asked(spark):
     assert simhash.links(fps, 8).distinct().count() == 1 and simhash.links(fps, 4).count() == 0
 
 
+def test_rows_of_one_id_stay_unless_they_are_copies(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, b)]
+    got = simhash.without_copies(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (2, b), (3, c)]
+
+
 def test_near_duplicates_edges(spark):
     got = simhash.near_duplicates(edges(spark)).collect()
     assert len(got) == len(EDGES)
