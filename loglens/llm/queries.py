@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import importlib
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import decontamination, kneser_ney, packing, page_text, quality, simhash, surrogates, token_counts, topk, toxicity
+from loglens.llm import (
+    decontamination,
+    kneser_ney,
+    packing,
+    page_text,
+    quality,
+    runs,
+    simhash,
+    surrogates,
+    token_counts,
+    topk,
+    toxicity,
+)
 from loglens.llm.common import remainder, table
 
 #: Name of the module that knows where the public vocabulary files are, and the files used here.
@@ -131,3 +144,31 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5"""
+
+
+def planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, of every tenth id with a period from some place on. A null id changes nothing."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    unit = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (unit * ((n - a) // len(unit) + 1))[: n - a]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), planted_run)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    digest = F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        digest.alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
