@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm import (
+    collocations,
     decontamination,
     kneser_ney,
     packing,
@@ -17,6 +18,7 @@ from loglens.llm import (
     quality,
     runs,
     simhash,
+    string_kernel,
     surrogates,
     token_counts,
     topk,
@@ -146,6 +148,53 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5"""
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+part AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM part),
+gram AS (
+  SELECT lang, s.size, array_to_string(w[i : i + s.size - 1], ' ') AS phrase, w[i] AS first, array_to_string(w[i : i + s.size - 2], ' ') AS head,
+    w[i + s.size - 1] AS last, array_to_string(w[i + 1 : i + s.size - 1], ' ') AS tail
+  FROM place, (VALUES (1), (2), (3)) AS s(size)
+  WHERE i + s.size - 1 <= len(w)),
+f AS (
+  SELECT lang, size, phrase, any_value(first) AS first, any_value(head) AS head, any_value(last) AS last, any_value(tail) AS tail, count(*) AS a
+  FROM gram GROUP BY lang, size, phrase),
+total AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+cut AS (
+  SELECT c.lang, c.size, c.phrase, c.a, 1 AS k, l.a AS l, r.a AS r
+  FROM f c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.tail WHERE c.size > 1 AND c.a >= 10
+  UNION ALL
+  SELECT c.lang, c.size, c.phrase, c.a, 2 AS k, l.a AS l, r.a AS r
+  FROM f c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.last WHERE c.size = 3 AND c.a >= 10),
+scored AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cut),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored) WHERE nth = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, head AS phrase, a FROM f WHERE size = 3 AND a >= 10 UNION ALL SELECT lang, tail, a FROM f WHERE size = 3 AND a >= 10)
+  GROUP BY lang, phrase)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM (
+  SELECT w.*, t.n, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest w JOIN total t USING (lang) LEFT JOIN inside i USING (lang, phrase)
+  WHERE coalesce(100 * i.longer < 50 * w.a, true))
+WHERE rank <= 2000"""
+
+
+@query
+def op12_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = string_kernel.fit(docs, lambda key: remainder(key, 5) != 0)
+    return string_kernel.score(docs, model).withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+
+
 def planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of a document, of every tenth id with a period from some place on. A null id changes nothing."""
     h, n = zlib.crc32(str(doc_id).encode()), len(words)
