@@ -11,9 +11,10 @@ bounds of t are grown, and with them everything that holds a pair of score t, wh
 A language is settled when as many phrases as wanted survive at its t, with all ties; otherwise its t goes down to eight
 times as many pairs, at last to 0. t comes from histograms of scores, so no language is sorted in one task.
 
-Tasks count the n-grams of a stretch before the shuffle. They know frequent words and the frontier by bitmaps of hashes,
-whose size is bounded: a hash that is taken for another one costs a count that isn't needed, and changes no result. All
-counts and scores are exact. Counts of parts are joined; the few parts that make up a thousandth of all words
+Tasks count the n-grams of a stretch before the shuffle. Most pairs are rare, so pairs are counted by hash first, and
+as words only those whose hash comes often enough. Tasks know frequent words, frequent pairs and the frontier by
+bitmaps of hashes, whose size is bounded: a hash that is taken for another one costs a count that isn't needed, and
+changes no result. All counts and scores are exact. Counts of parts are joined; the few parts that make up a thousandth of all words
 or more are broadcast, so no task of the join gets a hot key.
 """
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import as_batch, bytes_of, mixed, written
 
-#: Keys that a task holds before it counts them, and distinct words.
-FLUSH, FLUSH_WORDS = 1 << 22, 1 << 20
+#: Keys that a task holds before it counts them, distinct words, and rows that it sends at once.
+FLUSH, FLUSH_WORDS, SENT = 1 << 21, 1 << 19, 1 << 16
 #: Bits of a bitmap: eight for each hash, and at most so many (16 MB).
 LEAST_BITS, MOST_BITS = 13, 27
 #: Rows of the frontier's first step, in multiples of the limit, and how many times as many each further step takes.
@@ -110,18 +111,13 @@ class Bitmap:
         return (self.raw[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap(keys: DataFrame) -> Bitmap:
-    """Of rows (lang, w1) or (lang, w1, w2): made in blocks on executors; at most 2^MOST_BITS bits reach the driver."""
-    bits = min(max((8 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
-    names = keys.columns[1:]
+def bitmap(hashes: DataFrame) -> Bitmap:
+    """Of rows (h): made in blocks on executors; at most 2^MOST_BITS bits reach the driver."""
+    bits = min(max((8 * hashes.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            h = word_hashes(langs, bytes_of(batch.column(1)))
-            if len(names) > 1:
-                h = _joint(h, word_hashes(langs, bytes_of(batch.column(2))))
-            at = np.unique(h >> np.uint64(64 - bits)).astype(np.int64)
+            at = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
             yield as_batch({"block": pa.array(at >> LEAST_BITS), "at": pa.array((at & (1 << LEAST_BITS) - 1).astype(np.int16))})
 
     def merged(group: pa.Table) -> pa.Table:
@@ -129,10 +125,25 @@ def bitmap(keys: DataFrame) -> Bitmap:
         block[group.column("at").to_numpy()] = 1
         return pa.table({"block": group.column("block")[:1], "bits": pa.array([np.packbits(block, bitorder="little").tobytes()], pa.binary())})
 
-    dealt = keys.mapInArrow(run, "block long, at short").distinct().groupBy("block")
+    dealt = hashes.mapInArrow(run, "block long, at short").distinct().groupBy("block")
     return Bitmap(bits, {r.block: bytes(r.bits) for r in dealt.applyInArrow(merged, "block long, bits binary").collect()})
 
 
+def hashes_of(keys: DataFrame) -> DataFrame:
+    """(h) of rows (lang, w1) or (lang, w1, w2)."""
+    names = keys.columns[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            h = word_hashes(langs, bytes_of(batch.column(1)))
+            if len(names) > 1:
+                h = _joint(h, word_hashes(langs, bytes_of(batch.column(2))))
+            yield as_batch({"h": pa.array(h.view(np.int64))})
+
+    return keys.mapInArrow(run, "h long")
+
+
 class _Words:
     """Every word."""
 
@@ -143,35 +154,50 @@ class _Words:
 
 
 class _Pairs:
-    """Pairs of frequent words."""
+    """Pairs of frequent words; with a bitmap of pairs, only these."""
 
     size = 2
 
-    def __init__(self, frequent: Bitmap):
-        self.frequent = frequent
+    def __init__(self, frequent: Bitmap, wanted: Bitmap | None = None):
+        self.frequent, self.wanted = frequent, wanted
 
-    def keys(self, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    def places(self, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where such pairs are, and their hashes."""
         ok = self.frequent.of(hashes)
         ok[0] = False
         ok = ok[ids]
         at = np.flatnonzero(ok[:-1] & ok[1:])
+        h = _joint(hashes[ids[at]], hashes[ids[at + 1]])
+        if self.wanted is not None:
+            some = self.wanted.of(h)
+            at, h = at[some], h[some]
+        return at, h
+
+    def keys(self, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        at, _ = self.places(ids, hashes)
         return [ids[at], ids[at + 1]]
 
 
+class _Hashes(_Pairs):
+    """Pairs of frequent words as hashes."""
+
+    size = 0
+
+    def keys(self, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        return [self.places(ids, hashes)[1].view(np.int64)]
+
+
 class _Triples(_Pairs):
     """Triples on the frontier: of two pairs that may be grown, or around a pair whose survival is at stake."""
 
     size = 3
 
-    def __init__(self, frequent: Bitmap, begins: Bitmap, ends: Bitmap, staked: Bitmap):
-        self.frequent, self.begins, self.ends, self.staked = frequent, begins, ends, staked
+    def __init__(self, pairs: _Pairs, begins: Bitmap, ends: Bitmap, staked: Bitmap):
+        super().__init__(pairs.frequent, pairs.wanted)
+        self.begins, self.ends, self.staked = begins, ends, staked
 
     def keys(self, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-        ok = self.frequent.of(hashes)
-        ok[0] = False
-        ok = ok[ids]
-        pair = np.flatnonzero(ok[:-1] & ok[1:])
-        h = _joint(hashes[ids[pair]], hashes[ids[pair + 1]])
+        pair, h = self.places(ids, hashes)
         next_to = np.flatnonzero(pair[1:] == pair[:-1] + 1)
         a, b = h[next_to], h[next_to + 1]
         some = self.begins.of(a) & self.ends.of(b) | self.staked.of(a) | self.staked.of(b)
@@ -184,45 +210,48 @@ def _unique(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     if len(columns) == 1:
         ids, n = np.unique(columns[0], return_counts=True)
         return [ids], n
+    pairs = columns[0].astype(np.int64) << 32 | columns[1]
     if len(columns) == 2:
-        keys, n = np.unique(columns[0] << 32 | columns[1], return_counts=True)
+        keys, n = np.unique(pairs, return_counts=True)
         return [keys >> 32, keys & 0xFFFFFFFF], n
-    pairs, rank = np.unique(columns[0] << 32 | columns[1], return_inverse=True)
+    pairs, rank = np.unique(pairs, return_inverse=True)
     keys, n = np.unique(rank << 32 | columns[2], return_counts=True)
     first = pairs[keys >> 32]
     return [first >> 32, first & 0xFFFFFFFF, keys & 0xFFFFFFFF], n
 
 
-def counted(texts: DataFrame, grams: _Words | _Pairs | _Triples) -> DataFrame:
-    """(lang, w1 .., n): how often the wanted n-grams occur in the texts of each language, inside pieces."""
-    size = grams.size
-    names = [f"w{i + 1}" for i in range(size)]
-    shared = texts.sparkSession.sparkContext.broadcast(grams)  # bitmaps of bounded size
+def counted(texts: DataFrame, grams: _Words | _Pairs) -> DataFrame:
+    """(lang, w1 .., n), or (h, n) of hashes: how often the wanted n-grams occur in a language, inside pieces."""
+    names = [f"w{i + 1}" for i in range(grams.size)]
+    keys = ["lang", *names] if names else ["h"]
 
-    def emitted(lexicon: _Lexicon, held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        ids, n = _unique([np.concatenate(c) for c in zip(*held)])
-        words, langs = pa.array(lexicon.words, pa.binary()).cast(pa.string()), pa.array(lexicon.langs)
-        own = [words.take(pa.array(c)) for c in ids]
-        return as_batch(dict(zip(["lang", *names, "n"], [langs.take(pa.array(ids[0])), *own, pa.array(n)])))
+    def emitted(lexicon: _Lexicon, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        held.append(np.zeros(1, np.int32))
+        ids, n = _unique(grams.keys(np.concatenate(held), lexicon.hashed()))
+        if names:
+            words, langs = pa.array(lexicon.words, pa.binary()).cast(pa.string()), pa.array(lexicon.langs)
+        for a in range(0, len(n), SENT):
+            own = [pa.array(c[a : a + SENT]) for c in ids]
+            if names:
+                own = [langs.take(own[0]), *(words.take(c) for c in own)]
+            yield as_batch(dict(zip([*keys, "n"], [*own, pa.array(n[a : a + SENT])])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, held, size_held = _Lexicon(), [], 0
+        lexicon, held, size = _Lexicon(), [], 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), bytes_of(batch.column("text")), strict=True):
-                own = lexicon.numbers(lang)
-                words = pieces(text)
-                # Marks on both sides: no n-gram goes over the end of a text.
-                ids = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
-                held.append(np.concatenate([[0], ids]))
-                size_held += len(ids) + 1
-                if size_held >= FLUSH or len(lexicon.words) >= FLUSH_WORDS:
-                    yield emitted(lexicon, [shared.value.keys(np.concatenate([*held, [0]]), lexicon.hashed())])
-                    lexicon, held, size_held = _Lexicon(), [], 0
+                # Marks between texts: no n-gram goes over the end of one.
+                words = [MARK, *pieces(text)]
+                held.append(np.fromiter(map(lexicon.numbers(lang).__getitem__, words), np.int32, len(words)))
+                size += len(words)
+                if size >= FLUSH or len(lexicon.words) >= FLUSH_WORDS:
+                    yield from emitted(lexicon, held)
+                    lexicon, held, size = _Lexicon(), [], 0
         if held:
-            yield emitted(lexicon, [shared.value.keys(np.concatenate([*held, [0]]), lexicon.hashed())])
+            yield from emitted(lexicon, held)
 
-    kind = "lang string, " + ", ".join(f"{w} string" for w in names) + ", n long"
-    return texts.mapInArrow(run, kind).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    kind = ", ".join(f"{k} {'string' if names else 'long'}" for k in keys) + ", n long"
+    return texts.mapInArrow(run, kind).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def with_counts(df: DataFrame, counts: DataFrame, keys: dict[str, str], name: str, total: int) -> DataFrame:
@@ -320,8 +349,10 @@ def collocations(docs: DataFrame, limit: int = 2000, least: int = 10, share: int
     totals = written(every.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = written(every.where(F.col("n") >= least), "frequent")
-    frequent = bitmap(words.select("lang", "w1"))
-    counts = written(counted(texts, _Pairs(frequent)).where(F.col("n") >= least), "pairs")
+    frequent = bitmap(hashes_of(words.select("lang", "w1")))
+    often = written(counted(texts, _Hashes(frequent)).where(F.col("n") >= least).select("h"), "pair-hashes")
+    known_pairs = _Pairs(frequent, bitmap(often))
+    counts = written(counted(texts, known_pairs).where(F.col("n") >= least), "pairs")
     pairs = written(_scored_pairs(counts, words, total), "scored-pairs")
 
     # One row per language reaches the driver here and below.
@@ -334,9 +365,9 @@ def collocations(docs: DataFrame, limit: int = 2000, least: int = 10, share: int
         front = own.join(F.broadcast(floor), "lang").where(F.greatest("begin_bound", "end_bound", "score") >= F.col("least"))
         front = written(front, "frontier")
         begins, ends, staked = (
-            bitmap(front.where(F.col(c) >= F.col("least")).select("lang", "w1", "w2")) for c in ("begin_bound", "end_bound", "score")
+            bitmap(hashes_of(front.where(F.col(c) >= F.col("least")).select("lang", "w1", "w2"))) for c in ("begin_bound", "end_bound", "score")
         )
-        grown = counted(texts.where(F.col("lang").isin(open_)), _Triples(frequent, begins, ends, staked)).where(F.col("n") >= least)
+        grown = counted(texts.where(F.col("lang").isin(open_)), _Triples(known_pairs, begins, ends, staked)).where(F.col("n") >= least)
         triples = _scored_triples(written(grown, "triples"), counts, words, total)
         staked_pairs = front.where(F.col("score") >= F.col("least")).drop("least")
         known = _survivors(staked_pairs, triples, share).join(F.broadcast(floor), "lang").where(F.col("score") >= F.col("least"))

@@ -163,10 +163,8 @@ def score(docs: DataFrame, model: Kernel) -> DataFrame:
     A long text is one row of its matrix like any other. Null ids stay null. Other columns are ignored, also those named
     like results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x COLUMNS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunks([t or "" for t in texts], STRETCH):
