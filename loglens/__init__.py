@@ -18,7 +18,7 @@ from loglens.operators.bounds import after_snapshot, end_offsets, from_time, sta
 from loglens.operators.catalog import list_lines, resolve_selectors, suggest_topics, topic_catalog
 from loglens.operators.keys import audit_summary, partitioner_audit, scan_key, with_expected_partition
 from loglens.operators.limits import observe_consumed, take_consumed, until_idle
-from loglens.operators.payloads import decode_avro, join_schemas, required_schemas, text_filter, with_payloads
+from loglens.operators.payloads import decode_avro, decode_avro_typed, join_schemas, required_schemas, text_filter, with_payloads
 from loglens.plans.look import follow_look, look
 from loglens.sources.log import (
     LOG_SCHEMA,

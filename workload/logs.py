@@ -237,3 +237,70 @@ def wire_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schemas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SCHEMAS), "registry string, schema_id string, definition string")
+
+
+# Fixed values of the log of framed orders: two writers' schemas, and what readers want.
+ORDER_FIELDS = (
+    '{"name":"id","type":"long"},{"name":"day","type":{"type":"int","logicalType":"date"}},'
+    '{"name":"at","type":{"type":"long","logicalType":"timestamp-millis"},"default":0},'
+    '{"name":"price","type":{"type":"bytes","logicalType":"decimal","precision":12,"scale":2}},'
+    '{"name":"status","type":{"type":"enum","name":"Status","symbols":["F","O","P"]}},'
+    '{"name":"note","type":["null","string"],"default":null},'
+    '{"name":"code","type":["null","string","long"],"default":null},'
+    '{"name":"parts","type":{"type":"array","items":"int"},"default":[]},'
+    '{"name":"counts","type":{"type":"map","values":"long"},"default":{}},'
+    '{"name":"buyer","type":["null",{"type":"record","name":"Buyer","fields":['
+    '{"name":"customer","type":"long"},{"name":"paid","type":"double"}]}],"default":null}'
+)
+ORDER_SCHEMA = '{"type":"record","name":"Order","fields":[' + ORDER_FIELDS + "]}"
+OLD_ORDER_SCHEMA = (
+    '{"type":"record","name":"Order","fields":[{"name":"price","type":{"type":"bytes","logicalType":"decimal","precision":12,"scale":2}},'
+    '{"name":"id","type":"int"},{"name":"gone","type":"string"},{"name":"day","type":{"type":"int","logicalType":"date"}},'
+    '{"name":"status","type":"string"}]}'
+)
+ORDER_SCHEMAS = (("confluent", "11", ORDER_SCHEMA), ("confluent", "12", OLD_ORDER_SCHEMA))
+
+
+def framed_order() -> Column:
+    """An order as Avro: every fourth by the old schema, every eighth by one that nobody has."""
+
+    def text(raw: bytes) -> bytes:
+        return _zigzag(len(raw)) + raw
+
+    @F.arrow_udf("binary")
+    def encode(ids: pa.Array, customers: pa.Array, days: pa.Array, cents: pa.Array, prices: pa.Array, states: pa.Array, notes: pa.Array) -> pa.Array:
+        out = []
+        for i, c, day, n, paid, status, note in zip(*(x.to_pylist() for x in (ids, customers, days, cents, prices, states, notes))):
+            price = text(n.to_bytes(6, "big", signed=True))
+            if i % 4 == 3:
+                body = price + _zigzag(i) + text(b"x") + _zigzag(day) + text(status.encode())
+                out.append(b"\0" + struct.pack(">i", 99 if i % 8 == 7 else 12) + body)
+                continue
+            body = _zigzag(i) + _zigzag(day) + _zigzag(day * 86_400_000 + i) + price + _zigzag("FOP".index(status))
+            body += _zigzag(0) if i % 2 else _zigzag(1) + text(note.encode())
+            body += (_zigzag(0), _zigzag(1) + text(b"c%d" % c), _zigzag(2) + _zigzag(c))[i % 3]
+            body += (_zigzag(i % 5) + b"".join(_zigzag(c + j) for j in range(i % 5)) if i % 5 else b"") + _zigzag(0)
+            body += (_zigzag(2) + text(b"a") + _zigzag(i) + text(b"b") + _zigzag(c) if i % 6 else b"") + _zigzag(0)
+            body += _zigzag(1) + _zigzag(c) + struct.pack("<d", paid) if i % 7 else _zigzag(0)
+            out.append(b"\0" + struct.pack(">i", 11) + body)
+        return pa.array(out, pa.binary())
+
+    day, cents = F.datediff("o_orderdate", F.lit("1970-01-01")), F.round(F.col("o_totalprice") * 100).cast("long")
+    return encode(F.col("o_orderkey"), F.col("o_custkey"), day, cents, F.col("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderpriority"))
+
+
+def order_wire_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as framed Avro of several schemas, numbers of customers as keys."""
+    return table(spark, sf_dir, "orders").select(
+        F.lit("order-wire").alias("topic"),
+        (F.col("o_orderkey") % 2).cast("int").alias("partition"),
+        F.col("o_orderkey").alias("offset"),
+        F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        F.lit(0).alias("timestampType"),
+        _utf8(F.col("o_custkey").cast("string")).alias("key"),
+        framed_order().alias("value"),
+    )
+
+
+def order_schemas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ORDER_SCHEMAS), "registry string, schema_id string, definition string")

@@ -54,6 +54,9 @@ events_log AS (SELECT 'events' AS topic, partition,
 UNTIMED_LOG = """untimed_log AS (SELECT topic, partition, "offset", CASE WHEN "offset" % 2 = 0 THEN t END AS t,
     key, value FROM events_log)"""
 
+ORDER_PARTS = """SELECT *, o_orderkey % 4 = 3 AS old, o_orderkey % 8 = 7 AS unknown, round(o_totalprice * 100)::BIGINT AS cents
+    FROM orders"""
+
 ORDERS_LOG = """orders_log AS (SELECT 'orders' AS topic, (o_custkey % 4)::INTEGER AS partition, o_orderkey AS "offset",
     o_orderdate::TIMESTAMP AS t, o_custkey::VARCHAR AS key,
     '{"status": "' || o_orderstatus || '", "priority": "' || o_orderpriority || '"}' AS value FROM orders)"""
@@ -248,6 +251,25 @@ def _own() -> dict[str, str]:
         "text_filter_avro": f"""SELECT event_id AS "offset", '{{ "event_id": ' || event_id || ', "event_type": "'
             || event_type || '", "value": ' || {NUMBER} || ' }}' AS value_text
             FROM events WHERE event_type = 'purchase'""",
+        "decode_avro_typed": f"""WITH o AS ({ORDER_PARTS}) SELECT o_orderkey AS "offset", unknown AS failed,
+            CASE WHEN NOT unknown THEN o_orderkey END AS id,
+            CASE WHEN NOT unknown THEN CAST(CAST(o_orderdate AS DATE) + 1 AS VARCHAR) END AS next_day,
+            CASE WHEN old AND NOT unknown THEN 0 WHEN NOT old THEN epoch_ms(o_orderdate) + o_orderkey END AS at_ms,
+            CASE WHEN NOT unknown THEN cents END AS cents, CASE WHEN NOT unknown THEN o_orderstatus END AS status,
+            CASE WHEN NOT old AND o_orderkey % 2 = 0 THEN o_orderpriority END AS note,
+            CASE WHEN NOT old AND o_orderkey % 3 = 1 THEN 'c' || o_custkey END AS code_text,
+            CASE WHEN NOT old AND o_orderkey % 3 = 2 THEN o_custkey END AS code_number,
+            CASE WHEN NOT old THEN array_to_string(list_transform(range(0, o_orderkey % 5), lambda j: o_custkey + j), ',')
+              WHEN NOT unknown THEN '' END AS parts,
+            CASE WHEN NOT old AND o_orderkey % 6 <> 0 THEN o_orderkey END AS count_a,
+            CASE WHEN NOT old AND o_orderkey % 7 <> 0 THEN o_custkey END AS customer,
+            CASE WHEN NOT old AND o_orderkey % 7 <> 0 THEN o_totalprice END AS paid FROM o""",
+        "decode_avro_many_schemas": f"""WITH o AS ({ORDER_PARTS}) SELECT o_orderkey AS "offset",
+            CASE WHEN NOT unknown THEN '{{"price":"' || (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') || '","id":' || o_orderkey
+              || ',"gone":"x","day":"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '","status":"' || o_orderstatus || '"}}' END AS text,
+            CASE WHEN unknown THEN true END AS unknown FROM o WHERE old""",
+        "text_filter_orders": """SELECT o_orderkey AS "offset", 'avro' AS value_kind FROM orders
+            WHERE o_orderkey % 4 <> 3 AND o_orderkey % 2 = 0 AND contains(o_orderpriority, 'URGENT')""",
         "range_search": f"""WITH {EVENTS_LOG}, {TIME_RANGE} SELECT partition, "offset", {EVENT_LINE} AS line FROM ranged
             WHERE contains({EVENT_TEXT}, '{Q.NEEDLE}') OR contains(coalesce(value, ''), '{Q.NEEDLE}')""",
         "key_search": f"""WITH {EVENTS_LOG}, ends AS (SELECT partition AS p, max("offset") + 1 AS e FROM events_log

@@ -354,6 +354,45 @@ def text_filter_avro(spark, sf_dir):
     return found.select("offset", "value_text")
 
 
+@query
+def decode_avro_typed(spark, sf_dir):
+    """Dates, instants, decimals, enums, unions, arrays, maps and records as columns, of two writers' schemas."""
+    typed = L.decode_avro_typed(logs.order_wire_log(spark, sf_dir), logs.order_schemas(spark), logs.ORDER_SCHEMA, mode="permissive")
+    v = F.col("value_typed.value")
+    return typed.select(
+        "offset",
+        F.col("value_typed.error").isNotNull().alias("failed"),
+        v["id"].alias("id"),
+        F.date_add(v["day"], 1).cast("string").alias("next_day"),
+        F.unix_millis(v["at"]).alias("at_ms"),
+        (v["price"] * 100).cast("bigint").alias("cents"),
+        v["status"].alias("status"),
+        v["note"].alias("note"),
+        v["code"]["member0"].alias("code_text"),
+        v["code"]["member1"].alias("code_number"),
+        F.when(v["parts"].isNotNull(), F.array_join(v["parts"].cast("array<string>"), ",")).alias("parts"),
+        v["counts"]["a"].alias("count_a"),
+        v["buyer"]["customer"].alias("customer"),
+        v["buyer"]["paid"].alias("paid"),
+    )
+
+
+@query
+def decode_avro_many_schemas(spark, sf_dir):
+    """Text of the old schema's records, and what can't be decoded."""
+    decoded = L.decode_avro(logs.order_wire_log(spark, sf_dir), logs.order_schemas(spark), mode="permissive")
+    return decoded.where(F.col("offset") % 4 == 3).select(
+        "offset", F.col("value_avro.text").alias("text"), F.col("value_avro.error").contains("no schema 99").alias("unknown")
+    )
+
+
+@query
+def text_filter_orders(spark, sf_dir):
+    """A text that no other field of the schema explains, in one branch of a union."""
+    found = L.text_filter(logs.order_wire_log(spark, sf_dir).where("offset % 8 <> 7"), "URGENT", logs.order_schemas(spark))
+    return found.select("offset", "value_kind")
+
+
 # --- the whole look --------------------------------------------------------
 
 
