@@ -11,15 +11,18 @@ bounds of t are grown, and with them everything that holds a pair of score t, wh
 A language is settled when as many phrases as wanted survive at its t, with all ties; otherwise its t goes down to eight
 times as many pairs, at last to 0. t comes from histograms of scores, so no language is sorted in one task.
 
-Tasks count the n-grams of a stretch before the shuffle. Most pairs are rare, so pairs are counted by hash first, and
-as words only those whose hash comes often enough. Tasks know frequent words, frequent pairs and the frontier by
-bitmaps of hashes, whose size is bounded: a hash that is taken for another one costs a count that isn't needed, and
-changes no result. All counts and scores are exact. Counts of parts are joined; the few parts that make up a thousandth of all words
-or more are broadcast, so no task of the join gets a hot key.
+Words are counted as text once. From then on a word of a language is its 64-bit hash, and a text the row of its words'
+hashes; that no two words share one is checked, and otherwise other hashes are taken. Tasks count n-grams of a stretch
+before the shuffle. Most pairs are rare, so pairs are counted by a hash of both first, and then exactly only those
+whose hash comes often enough. Tasks know frequent words, frequent pairs and the frontier by bitmaps of hashes, whose size is
+bounded: a pair that is taken for another one costs a count that isn't needed, and changes no result. All counts
+and scores are exact. Counts of parts are joined; the few parts that make up a thousandth of all words or more are
+broadcast, so no task of the join gets a hot key.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import as_batch, bytes_of, mixed, written
 
-#: Keys that a task holds before it counts them, distinct words, and rows that it sends at once.
-FLUSH, FLUSH_WORDS, SENT = 1 << 21, 1 << 19, 1 << 16
+#: Keys that a task holds before it counts them, distinct words, rows that it sends at once, and words of a row of hashes.
+FLUSH, FLUSH_WORDS, SENT, ROW_WORDS = 1 << 21, 1 << 17, 1 << 16, 1 << 17
 #: Bits of a bitmap: eight for each hash, and at most so many (16 MB).
 LEAST_BITS, MOST_BITS = 13, 27
 #: Rows of the frontier's first step, in multiples of the limit, and how many times as many each further step takes.
@@ -57,40 +60,19 @@ def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a ^ mixed(b + np.uint64(0x9E3779B97F4A7C15)))
 
 
-class _Lexicon:
-    """Words of languages, numbered as they come; 0 is the mark."""
+class WordHashes(dict):
+    """Hashes of a language's words, remembered; 0 is the mark."""
 
-    def __init__(self):
-        self.words, self.langs, self.of = [MARK], [""], {}
-        self.hashes = np.zeros(1, np.uint64)
+    def __init__(self, lang: str, seed: int):
+        self.start = xxhash.xxh64_intdigest(lang.encode(), seed)
+        self[MARK] = 0
 
-    def numbers(self, lang: str) -> dict:
-        lexicon = self
-
-        class Own(dict):
-            def __missing__(self, word: bytes) -> int:
-                self[word] = out = len(lexicon.words)
-                lexicon.words.append(word)
-                lexicon.langs.append(lang)
-                return out
-
-        if lang not in self.of:
-            self.of[lang] = Own({MARK: 0})
-        return self.of[lang]
-
-    def hashed(self) -> np.ndarray:
-        known = len(self.hashes)
-        if known < len(self.words):
-            self.hashes = np.concatenate([self.hashes, word_hashes(self.langs[known:], self.words[known:])])
-        return self.hashes
-
-
-def word_hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
-    seeds: dict[str, int] = {}
-    for lang in langs:
-        if lang not in seeds:
-            seeds[lang] = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seeds[x]) for x, w in zip(langs, words)), np.uint64, len(words))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH_WORDS:
+            self.clear()
+            self[MARK] = 0
+        self[word] = out = xxhash.xxh64_intdigest(word, self.start) or 1
+        return out
 
 
 class Bitmap:
@@ -129,144 +111,174 @@ def bitmap(hashes: DataFrame) -> Bitmap:
     return Bitmap(bits, {r.block: bytes(r.bits) for r in dealt.applyInArrow(merged, "block long, bits binary").collect()})
 
 
-def hashes_of(keys: DataFrame) -> DataFrame:
-    """(h) of rows (lang, w1) or (lang, w1, w2)."""
-    names = keys.columns[1:]
+def joint_hashes(pairs: DataFrame) -> DataFrame:
+    """(h) of rows (h1, h2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            h = word_hashes(langs, bytes_of(batch.column(1)))
-            if len(names) > 1:
-                h = _joint(h, word_hashes(langs, bytes_of(batch.column(2))))
-            yield as_batch({"h": pa.array(h.view(np.int64))})
+            a, b = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield as_batch({"h": pa.array(_joint(a, b).view(np.int64))})
 
-    return keys.mapInArrow(run, "h long")
+    return pairs.mapInArrow(run, "h long")
 
 
-class _Words:
-    """Every word."""
+def counted_words(texts: DataFrame, seed: int) -> DataFrame:
+    """(lang, w, h, n) of all words."""
 
-    size = 1
+    def emitted(lang: str, hashes: WordHashes, counts: dict) -> Iterator[pa.RecordBatch]:
+        words = list(counts)
+        for a in range(0, len(words), SENT):
+            own = words[a : a + SENT]
+            yield as_batch(
+                {
+                    "lang": pa.array([lang] * len(own)),
+                    "w": pa.array(own, pa.binary()).cast(pa.string()),
+                    "h": pa.array(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)).view(np.int64)),
+                    "n": pa.array([counts[w] for w in own], pa.int64()),
+                }
+            )
 
-    def keys(self, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-        return [ids[ids > 0]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        hashes: dict[str, WordHashes] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), bytes_of(batch.column("text")), strict=True):
+                own = counts.setdefault(lang, Counter())
+                own.update(pieces(text))
+                own.pop(MARK, None)
+                if len(own) >= FLUSH_WORDS:
+                    yield from emitted(lang, hashes.setdefault(lang, WordHashes(lang, seed)), counts.pop(lang))
+        for lang, own in counts.items():
+            yield from emitted(lang, hashes.setdefault(lang, WordHashes(lang, seed)), own)
 
+    return texts.mapInArrow(run, "lang string, w string, h long, n long").groupBy("lang", "w", "h").agg(F.sum("n").alias("n"))
 
-class _Pairs:
-    """Pairs of frequent words; with a bitmap of pairs, only these."""
 
-    size = 2
+def hashed_texts(texts: DataFrame, frequent: Bitmap, seed: int) -> DataFrame:
+    """(lang, size, words): hashes of texts' words, compressed; 0 for marks, rare words, and between texts."""
 
-    def __init__(self, frequent: Bitmap, wanted: Bitmap | None = None):
-        self.frequent, self.wanted = frequent, wanted
+    def packed(lang: str, held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate([*held, np.zeros(1, np.uint64)])
+        h[~frequent.of(h)] = 0
+        data = pa.compress(h.tobytes(), codec="zstd", asbytes=True)
+        return as_batch({"lang": pa.array([lang]), "size": pa.array([len(h)], pa.int64()), "words": pa.array([data], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[str, WordHashes] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size: Counter = Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), bytes_of(batch.column("text")), strict=True):
+                own = hashes.setdefault(lang, WordHashes(lang, seed))
+                words = [MARK, *pieces(text)]
+                held.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, words), np.uint64, len(words)))
+                size[lang] += len(words)
+                if size[lang] >= ROW_WORDS:
+                    yield packed(lang, held.pop(lang))
+                    size[lang] = 0
+        for lang, own_rows in held.items():
+            yield packed(lang, own_rows)
+
+    return texts.mapInArrow(run, "lang string, size long, words binary")
 
-    def places(self, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where such pairs are, and their hashes."""
-        ok = self.frequent.of(hashes)
-        ok[0] = False
-        ok = ok[ids]
-        at = np.flatnonzero(ok[:-1] & ok[1:])
-        h = _joint(hashes[ids[at]], hashes[ids[at + 1]])
-        if self.wanted is not None:
-            some = self.wanted.of(h)
-            at, h = at[some], h[some]
-        return at, h
 
-    def keys(self, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-        at, _ = self.places(ids, hashes)
-        return [ids[at], ids[at + 1]]
+class _Hashes:
+    """Pairs of frequent words, as hashes of both."""
 
+    names = ("h",)
 
-class _Hashes(_Pairs):
-    """Pairs of frequent words as hashes."""
+    def keys(self, h: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
+        return [_joint(h[at], h[at + 1])]
+
+
+class _Pairs:
+    """Pairs of a bitmap."""
 
-    size = 0
+    names: tuple[str, ...] = ("h1", "h2")
 
-    def keys(self, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-        return [self.places(ids, hashes)[1].view(np.int64)]
+    def __init__(self, wanted: Bitmap):
+        self.wanted = wanted
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
+        joint = _joint(h[at], h[at + 1])
+        some = self.wanted.of(joint)
+        return at[some], joint[some]
+
+    def keys(self, h: np.ndarray) -> list[np.ndarray]:
+        at, _ = self.places(h)
+        return [h[at], h[at + 1]]
 
 
 class _Triples(_Pairs):
     """Triples on the frontier: of two pairs that may be grown, or around a pair whose survival is at stake."""
 
-    size = 3
+    names = ("h1", "h2", "h3")
 
     def __init__(self, pairs: _Pairs, begins: Bitmap, ends: Bitmap, staked: Bitmap):
-        super().__init__(pairs.frequent, pairs.wanted)
+        super().__init__(pairs.wanted)
         self.begins, self.ends, self.staked = begins, ends, staked
 
-    def keys(self, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-        pair, h = self.places(ids, hashes)
+    def keys(self, h: np.ndarray) -> list[np.ndarray]:
+        pair, joint = self.places(h)
         next_to = np.flatnonzero(pair[1:] == pair[:-1] + 1)
-        a, b = h[next_to], h[next_to + 1]
+        a, b = joint[next_to], joint[next_to + 1]
         some = self.begins.of(a) & self.ends.of(b) | self.staked.of(a) | self.staked.of(b)
         at = pair[next_to[some]]
-        return [ids[at], ids[at + 1], ids[at + 2]]
+        return [h[at], h[at + 1], h[at + 2]]
 
 
 def _unique(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows and how often they occur."""
-    if len(columns) == 1:
-        ids, n = np.unique(columns[0], return_counts=True)
-        return [ids], n
-    pairs = columns[0].astype(np.int64) << 32 | columns[1]
-    if len(columns) == 2:
-        keys, n = np.unique(pairs, return_counts=True)
-        return [keys >> 32, keys & 0xFFFFFFFF], n
-    pairs, rank = np.unique(pairs, return_inverse=True)
-    keys, n = np.unique(rank << 32 | columns[2], return_counts=True)
-    first = pairs[keys >> 32]
-    return [first >> 32, first & 0xFFFFFFFF, keys & 0xFFFFFFFF], n
-
-
-def counted(texts: DataFrame, grams: _Words | _Pairs) -> DataFrame:
-    """(lang, w1 .., n), or (h, n) of hashes: how often the wanted n-grams occur in a language, inside pieces."""
-    names = [f"w{i + 1}" for i in range(grams.size)]
-    keys = ["lang", *names] if names else ["h"]
-
-    def emitted(lexicon: _Lexicon, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        held.append(np.zeros(1, np.int32))
-        ids, n = _unique(grams.keys(np.concatenate(held), lexicon.hashed()))
-        if names:
-            words, langs = pa.array(lexicon.words, pa.binary()).cast(pa.string()), pa.array(lexicon.langs)
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+
+
+def counted(rows: DataFrame, grams: _Hashes | _Pairs) -> DataFrame:
+    """(h, n), (h1, h2, n) or (h1, h2, h3, n): how often the wanted n-grams occur inside pieces."""
+    names = grams.names
+
+    def emitted(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, n = _unique([np.concatenate(c) for c in zip(*held)])
         for a in range(0, len(n), SENT):
-            own = [pa.array(c[a : a + SENT]) for c in ids]
-            if names:
-                own = [langs.take(own[0]), *(words.take(c) for c in own)]
-            yield as_batch(dict(zip([*keys, "n"], [*own, pa.array(n[a : a + SENT])])))
+            yield as_batch({k: pa.array(c[a : a + SENT]) for k, c in zip([*names, "n"], [*(c.view(np.int64) for c in keys), n])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, held, size = _Lexicon(), [], 0
+        held, size = [], 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), bytes_of(batch.column("text")), strict=True):
-                # Marks between texts: no n-gram goes over the end of one.
-                words = [MARK, *pieces(text)]
-                held.append(np.fromiter(map(lexicon.numbers(lang).__getitem__, words), np.int32, len(words)))
-                size += len(words)
-                if size >= FLUSH or len(lexicon.words) >= FLUSH_WORDS:
-                    yield from emitted(lexicon, held)
-                    lexicon, held, size = _Lexicon(), [], 0
-        if held:
-            yield from emitted(lexicon, held)
+            for n, data in zip(batch.column("size").to_pylist(), batch.column("words").to_pylist()):
+                h = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint64)
+                held.append(grams.keys(h))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    yield from emitted(held)
+                    held, size = [], 0
+        if size:
+            yield from emitted(held)
 
-    kind = ", ".join(f"{k} {'string' if names else 'long'}" for k in keys) + ", n long"
-    return texts.mapInArrow(run, kind).groupBy(*keys).agg(F.sum("n").alias("n"))
+    kind = ", ".join(f"{k} long" for k in (*names, "n"))
+    return rows.select("size", "words").mapInArrow(run, kind).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def with_counts(df: DataFrame, counts: DataFrame, keys: dict[str, str], name: str, total: int) -> DataFrame:
-    """df with the counts of its parts, as column name; keys: columns of df by columns of counts. Both are tables.
+def with_counts(df: DataFrame, counts: DataFrame, keys: dict[str, str], name: str, total: int, *more: str) -> DataFrame:
+    """df with the counts of its parts, as column name, and more of their columns; keys: columns of df by columns of counts.
 
-    Counts sum up to total at most, so the parts that are hot are few and are broadcast; other keys bring at most total /
-    HOT_PARTS rows each.
+    Both are tables. Counts sum up to total at most, so the parts that are hot are few and are broadcast; other keys bring at
+    most total / HOT_PARTS rows each. Rows without a counted part are dropped.
     """
-    renamed = counts.select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("n").alias(name))
+    renamed = counts.select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("n").alias(name), *more)
     on = [F.col(k) == F.col(f"_{c}") for c, k in keys.items()]
-    gone = [f"_{c}" for c in keys]
     hot = F.col(name) * HOT_PARTS >= total
     few = F.broadcast(renamed.where(hot))
-    cold = df.join(few.drop(name), on, "left_anti").join(renamed.where(~hot), on)
-    return df.join(few, on).unionByName(cold).drop(*gone)
+    cold = df.join(few.drop(name, *more), on, "left_anti").join(renamed.where(~hot), on)
+    return df.join(few, on).unionByName(cold).drop(*(f"_{c}" for c in keys))
 
 
 def score_of(a: Column, left: Column, right: Column) -> Column:
@@ -289,10 +301,10 @@ def step_of(scores: DataFrame, rows: Column | int) -> DataFrame:
 
 
 def _scored_pairs(pairs: DataFrame, words: DataFrame, total: int) -> DataFrame:
-    both = with_counts(pairs, words, {"lang": "lang", "w1": "w1"}, "l", total)
-    both = with_counts(written(both, "pairs-left"), words, {"lang": "lang", "w1": "w2"}, "r", total)
+    both = with_counts(pairs, words, {"h": "h1"}, "l", total, "lang")
+    both = with_counts(written(both, "pairs-left"), words, {"h": "h2"}, "r", total)
     return both.select(
-        *("lang", "w1", "w2", F.col("n").alias("a"), "l", "r"),
+        *("lang", "h1", "h2", F.col("n").alias("a"), "l", "r"),
         score_of(F.col("n"), F.col("l"), F.col("r")).alias("score"),
         F.expr(f"n * {SCALE} div l").alias("begin_bound"),
         F.expr(f"n * {SCALE} div r").alias("end_bound"),
@@ -301,15 +313,10 @@ def _scored_pairs(pairs: DataFrame, words: DataFrame, total: int) -> DataFrame:
 
 def _scored_triples(triples: DataFrame, pairs: DataFrame, words: DataFrame, total: int) -> DataFrame:
     """The cut that scores least, of equal ones the first, with the counts of its parts."""
-    for i, (counts, keys, name) in enumerate(
-        [
-            (words, {"lang": "lang", "w1": "w1"}, "l1"),
-            (words, {"lang": "lang", "w1": "w3"}, "r2"),
-            (pairs, {"lang": "lang", "w1": "w2", "w2": "w3"}, "r1"),
-            (pairs, {"lang": "lang", "w1": "w1", "w2": "w2"}, "l2"),
-        ]
-    ):
-        triples = written(with_counts(triples, counts, keys, name, total), f"triples-{i}")
+    triples = written(with_counts(triples, words, {"h": "h1"}, "l1", total, "lang"), "triples-1")
+    triples = written(with_counts(triples, words, {"h": "h3"}, "r2", total), "triples-2")
+    triples = written(with_counts(triples, pairs, {"h1": "h2", "h2": "h3"}, "r1", total), "triples-3")
+    triples = with_counts(triples, pairs, {"h1": "h1", "h2": "h2"}, "l2", total)
     s1, s2 = score_of(F.col("n"), F.col("l1"), F.col("r1")), score_of(F.col("n"), F.col("l2"), F.col("r2"))
     cut = triples.withColumn("s1", s1).withColumn("s2", s2).withColumn("first", F.col("s1") <= F.col("s2"))
 
@@ -317,7 +324,7 @@ def _scored_triples(triples: DataFrame, pairs: DataFrame, words: DataFrame, tota
         return F.when(F.col("first"), F.col(a)).otherwise(F.col(b))
 
     return cut.select(
-        *("lang", "w1", "w2", "w3", F.col("n").alias("a")),
+        *("lang", "h1", "h2", "h3", F.col("n").alias("a")),
         chosen("l1", "l2").alias("l"),
         chosen("r1", "r2").alias("r"),
         chosen("s1", "s2").alias("score"),
@@ -326,13 +333,11 @@ def _scored_triples(triples: DataFrame, pairs: DataFrame, words: DataFrame, tota
 
 def _survivors(pairs: DataFrame, triples: DataFrame, share: int) -> DataFrame:
     """Phrases that no longer candidate holds as often as to drop them. Nothing is longer than three words."""
-    inside = triples.select("lang", "w1", "w2", "a").unionByName(triples.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
-    longer = inside.groupBy("lang", "w1", "w2").agg(F.max("a").alias("longer"))
-    left = pairs.join(longer, ["lang", "w1", "w2"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
-    shown = [F.col(c) for c in ("lang", "a", "l", "r", "score")]
-    return left.select(F.concat_ws(" ", "w1", "w2").alias("phrase"), *shown).unionByName(
-        triples.select(F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), *shown)
-    )
+    inside = triples.select("h1", "h2", "a").unionByName(triples.select(F.col("h2").alias("h1"), F.col("h3").alias("h2"), "a"))
+    longer = inside.groupBy("h1", "h2").agg(F.max("a").alias("longer"))
+    left = pairs.join(longer, ["h1", "h2"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
+    shown = ["lang", "h1", "h2", "h3", "a", "l", "r", "score"]
+    return left.withColumn("h3", F.lit(None).cast("long")).select(*shown).unionByName(triples.select(*shown))
 
 
 def collocations(docs: DataFrame, limit: int = 2000, least: int = 10, share: int = 50, report: Callable[[list], None] | None = None) -> DataFrame:
@@ -345,14 +350,18 @@ def collocations(docs: DataFrame, limit: int = 2000, least: int = 10, share: int
     whole. Other columns are ignored, also those named like results. report gets what each step of the frontier found.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    every = written(counted(texts, _Words()), "words")
+    seed, shared = -1, True
+    while shared:  # two words of one hash: hardly ever
+        seed += 1
+        every = written(counted_words(texts, seed), "words")
+        shared = every.groupBy("h").count().where("count > 1").limit(1).count() > 0
     totals = written(every.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = written(every.where(F.col("n") >= least), "frequent")
-    frequent = bitmap(hashes_of(words.select("lang", "w1")))
-    often = written(counted(texts, _Hashes(frequent)).where(F.col("n") >= least).select("h"), "pair-hashes")
-    known_pairs = _Pairs(frequent, bitmap(often))
-    counts = written(counted(texts, known_pairs).where(F.col("n") >= least), "pairs")
+    rows = written(hashed_texts(texts, bitmap(words.select("h")), seed), "hashed-texts")
+    often = written(counted(rows, _Hashes()).where(F.col("n") >= least).select("h"), "pair-hashes")
+    known_pairs = _Pairs(bitmap(often))
+    counts = written(counted(rows, known_pairs).where(F.col("n") >= least), "pairs")
     pairs = written(_scored_pairs(counts, words, total), "scored-pairs")
 
     # One row per language reaches the driver here and below.
@@ -365,9 +374,9 @@ def collocations(docs: DataFrame, limit: int = 2000, least: int = 10, share: int
         front = own.join(F.broadcast(floor), "lang").where(F.greatest("begin_bound", "end_bound", "score") >= F.col("least"))
         front = written(front, "frontier")
         begins, ends, staked = (
-            bitmap(hashes_of(front.where(F.col(c) >= F.col("least")).select("lang", "w1", "w2"))) for c in ("begin_bound", "end_bound", "score")
+            bitmap(joint_hashes(front.where(F.col(c) >= F.col("least")).select("h1", "h2"))) for c in ("begin_bound", "end_bound", "score")
         )
-        grown = counted(texts.where(F.col("lang").isin(open_)), _Triples(known_pairs, begins, ends, staked)).where(F.col("n") >= least)
+        grown = counted(rows.where(F.col("lang").isin(open_)), _Triples(known_pairs, begins, ends, staked)).where(F.col("n") >= least)
         triples = _scored_triples(written(grown, "triples"), counts, words, total)
         staked_pairs = front.where(F.col("score") >= F.col("least")).drop("least")
         known = _survivors(staked_pairs, triples, share).join(F.broadcast(floor), "lang").where(F.col("score") >= F.col("least"))
@@ -385,16 +394,21 @@ def collocations(docs: DataFrame, limit: int = 2000, least: int = 10, share: int
     settled_rows = done[0]
     for x in done[1:]:
         settled_rows = settled_rows.unionByName(x)
-    return ranked(settled_rows, totals, limit)
+    return ranked(settled_rows, words, totals, limit, total)
 
 
-def ranked(rows: DataFrame, totals: DataFrame, limit: int) -> DataFrame:
+def ranked(rows: DataFrame, words: DataFrame, totals: DataFrame, limit: int, total: int) -> DataFrame:
     """The first rows of each language: those that reach the score of the last of them, ranked in groups, then together."""
     last = step_of(rows.select("lang", "score"), limit)
     near = rows.join(F.broadcast(last), "lang").where(F.col("score") >= F.col("least"))
+    near = near.withColumn("id", F.monotonically_increasing_id())
+    parts = F.posexplode(F.array_compact(F.array("h1", "h2", "h3"))).alias("at", "h")
+    spelled = with_counts(written(near, "near").select("*", parts), words, {"h": "h"}, "_n", total, "w")
+    by_place = F.transform(F.sort_array(F.collect_list(F.struct("at", "w"))), lambda x: x["w"])
+    phrases = spelled.groupBy("id", "lang", "a", "l", "r", "score").agg(F.array_join(by_place, " ").alias("phrase"))
     by = [F.desc("score"), F.desc("a"), F.col("phrase")]
     group = F.pmod(F.xxhash64("phrase"), F.lit(GROUPS)).alias("_group")
-    first = near.select("*", group).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_group").orderBy(*by)))
+    first = phrases.select("*", group).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_group").orderBy(*by)))
     top = first.where(F.col("rank") <= limit).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by)))
     named = top.where(F.col("rank") <= limit).join(F.broadcast(totals), "lang")
     return named.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

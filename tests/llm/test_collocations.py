@@ -83,10 +83,35 @@ def test_scores_beyond_64_bits(spark):
 
 
 def test_hot_words_are_joined_apart(spark):
-    words = spark.createDataFrame([("en", "the", 500), ("en", "a", 20), ("de", "the", 1)], "lang string, w1 string, n long")
-    pairs = spark.createDataFrame([("en", "the", "x", 9), ("en", "a", "y", 8), ("de", "the", "z", 1)], "lang string, w1 string, w2 string, n long")
-    got = C.with_counts(pairs, words, {"lang": "lang", "w1": "w1"}, "l", 100_000)
-    assert sorted((r.w2, r.n, r.l) for r in got.collect()) == [("x", 9, 500), ("y", 8, 20), ("z", 1, 1)]
+    words = spark.createDataFrame([("en", 1, 500), ("en", 2, 20), ("de", 3, 1)], "lang string, h long, n long")
+    pairs = spark.createDataFrame([(1, 7, 9), (2, 8, 8), (3, 9, 1), (4, 1, 1)], "h1 long, h2 long, n long")
+    got = C.with_counts(pairs, words, {"h": "h1"}, "l", 100_000, "lang")
+    assert sorted((r.h2, r.n, r.l, r.lang) for r in got.collect()) == [(7, 9, 500, "en"), (8, 8, 20, "en"), (9, 1, 1, "de")]
+
+
+def test_words_of_one_hash_are_hashed_anew(spark, monkeypatch):
+    whole, seeds = C.xxhash.xxh64_intdigest, []
+
+    class Weak:
+        """With the first seed all words of a language have one of four hashes."""
+
+        @staticmethod
+        def xxh64_intdigest(data, seed=0):
+            seeds.append(seed)
+            return whole(data, seed) % 4 + 1 if seed > 9 and C_first == 0 else whole(data, seed)
+
+    C_first = 0
+    original = C.counted_words
+
+    def counted(texts, seed):
+        nonlocal C_first
+        C_first = seed
+        return original(texts, seed)
+
+    monkeypatch.setattr(C, "counted_words", counted)
+    monkeypatch.setattr(C, "xxhash", Weak)
+    rows = texts(9)
+    assert made(spark, rows, 20) == plain(rows, 20) and C_first >= 1
 
 
 def test_ties_are_ordered_by_bytes(spark):
