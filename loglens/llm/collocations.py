@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loglens.llm.common import as_batch, bytes_of, mixed, written
 
 #: Keys that a task holds before it counts them, distinct words, rows that it sends at once, and words of a row of hashes.
-FLUSH, FLUSH_WORDS, SENT, ROW_WORDS = 1 << 21, 1 << 17, 1 << 16, 1 << 17
+FLUSH, FLUSH_WORDS, SENT, ROW_WORDS = 1 << 19, 1 << 17, 1 << 15, 1 << 16
 #: Bits of a bitmap: eight for each hash, and at most so many (16 MB).
 LEAST_BITS, MOST_BITS = 13, 27
 #: Rows of the frontier's first step, in multiples of the limit, and how many times as many each further step takes.
