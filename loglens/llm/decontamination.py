@@ -110,6 +110,20 @@ def _flat(texts: list[bytes], cache: dict) -> tuple[list[bytes], np.ndarray, np.
     return words, hashed(words, cache, len(words)), np.array(bound)
 
 
+def packed_ids(ids: list[str]) -> bytes:
+    """Each id behind its size, so ids may hold anything."""
+    raw = [x.encode() for x in ids]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in raw)
+
+
+def unpacked_ids(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        yield data[at + 4 : end]
+        at = end
+
+
 class Block:
     """A block of windows: sorted prefix shingles, and of each the window's size, the shingle's place in it, words, items."""
 
@@ -147,7 +161,7 @@ def build(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shingle: i
         order = np.argsort(h, kind="stable")
         size = own.column("size").to_numpy()[order]
         words = [own.column("words")[int(i)].as_py() for i in order]
-        ids = ["\n".join(own.column("items")[int(i)].as_py()).encode() for i in order]
+        ids = [packed_ids(own.column("items")[int(i)].as_py()) for i in order]
         for name, values in (
             ("h", h[order]),
             ("n", np.minimum(size, shingle)),
@@ -185,7 +199,7 @@ def _found(texts: list[bytes], blocks: list[Block], cache: dict) -> tuple[np.nda
                         if b" ".join(words[a : a + size]) == block.slot(block.words, block.words_end, i):
                             cover[a] += 1
                             cover[a + size] -= 1
-                            items[t].update(block.slot(block.items, block.items_end, i).split(b"\n"))
+                            items[t].update(unpacked_ids(block.slot(block.items, block.items_end, i)))
                     i += 1
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
     return n_words, hit[bound[1:]] - hit[bound[:-1]], items
@@ -195,7 +209,9 @@ def scan(docs: DataFrame, blocks: list[str]) -> DataFrame:
     """(doc_id, n_words, n_hit, items) of every row; items are the sorted ids of items with occurring windows.
 
     Null and empty texts have no words; without a benchmark nothing is hit. Windows may overlap and repeat; each word
-    counts once. Rows with null or repeated ids are rows like others.
+    counts once. Rows with null or repeated ids are rows like others. Windows of items without an id are hit as others
+    are, but name no item. A very long text is handled alone, as a whole. Other columns are ignored, also those named
+    like results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

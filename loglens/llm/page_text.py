@@ -1,19 +1,22 @@
 """Main text of web pages by differencing pages with near URLs.
 
-Pages are laid out by host and path, so pages of a template stand side by side; a frequent host is cut into many ranges.
-Each page is read into lines, one per block of markup, and compared with the nearest pages of its host that have another
-text. A longest common subsequence aligns their lines; what the page shares with most of them is the
+Pages are laid out by host and path, so pages of a template stand side by side; a frequent host is cut into many ranges,
+and each range gets the last pages before and the first ones behind it from its neighbours, so where it is cut
+doesn't matter. Each page is read into lines, one per block of markup, and compared with the nearest pages of its host
+that have another text. A longest common subsequence aligns their lines; what the page shares with most of them is the
 template's and is deleted. Markup has a say as well: menus, forms, scripts and the like are no lines at all, and where a
-page marks its article, lines elsewhere are dropped and its own are deleted only if all of at least SEVERAL near pages
-have them (two articles may quote the same passage). Pages of equal text are copies, which aren't compared.
+page marks its article, lines elsewhere are dropped and its own are deleted only at its two ends, and only if all of at
+least SEVERAL near pages have them: headings and quotes that articles share stay. Pages of equal text are copies,
+which aren't compared.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
-from itertools import zip_longest
+from itertools import takewhile, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +183,10 @@ def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]] | No
         for i in common([x for x, _ in own], [x for x, _ in other]):
             times[i] += 1
     n = len(near or ())
-    shared = {i for i, (_, z) in enumerate(own) if (2 * times[i] > n if z == 0 else times[i] == n >= SEVERAL)}
+    shared = {i for i, (_, z) in enumerate(own) if z == 0 and 2 * times[i] > n}
+    inside = [i for i, (_, z) in enumerate(own) if z == best > 0]
+    for side in (inside, inside[::-1]):
+        shared.update(takewhile(lambda i: times[i] == n >= SEVERAL, side))
     kept = [x for i, (x, z) in enumerate(own) if z == best and i not in shared]
     return "\n".join(kept), len(shared)
 
@@ -203,15 +209,20 @@ def _near(page: tuple, before: list[tuple], behind: list[tuple]) -> list[list]:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in the order of host and path; each is compared while the near ones are at hand."""
+    """Pages in the order of range, host and path; each is compared while the near ones are at hand.
+
+    Pages that only show a range what lies next to it give no row.
+    """
     before: list[tuple] = []
-    waiting: list[tuple] = []  # copies side by side as one: host, lines, ids and urls; until LOOK of them follow
+    waiting: list[tuple] = []  # copies side by side as one: host, lines, html, ids and urls; until LOOK of them follow
     done: list[tuple] = []
+    part = None
 
     def finish() -> None:
         page = waiting.pop(0)
-        text, n = main_text(page[1], _near(page, before[::-1], waiting))
-        done.extend((page_id, url, text, n) for page_id, url in page[2])
+        if page[3]:
+            text, n = main_text(page[1], _near(page, before[::-1], waiting))
+            done.extend((page_id, url, text, n) for page_id, url in page[3])
         before.append(page)
         del before[:-LOOK]
 
@@ -232,14 +243,18 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds: tuple | None = None
     for batch in batches:
         kinds = (batch.column("page_id").type, batch.column("url").type)
-        columns = [batch.column(c) for c in ("_host", "page_id", "url", "html")]
+        columns = [batch.column(c) for c in ("_part", "_own", "_host", "page_id", "url", "html")]
         for i in range(batch.num_rows):
-            host, page_id, url, html = (c[i].as_py() for c in columns)
-            own = lines(html or "")
-            if waiting and waiting[-1][:2] == (host, own):
-                waiting[-1][2].append((page_id, url))
+            now, mine, host, page_id, url, html = (c[i].as_py() for c in columns)
+            if now != part:
+                while waiting:
+                    finish()
+                before.clear()
+                part = now
+            if waiting and waiting[-1][0] == host and waiting[-1][2] == html:
+                waiting[-1][3].extend([(page_id, url)] if mine else [])
                 continue
-            waiting.append((host, own, [(page_id, url)]))
+            waiting.append((host, lines(html or ""), html, [(page_id, url)] if mine else []))
             if len(waiting) > LOOK + 1:  # the last one's copies may still follow
                 finish()
             while len(done) >= 500:
@@ -252,14 +267,95 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ready(kinds)
 
 
-def page_text(pages: DataFrame) -> DataFrame:
+#: How pages are ordered: by host and path, equal ones by a hash of all there is.
+ORDER = ["_host", "_path", "_hash"]
+SAMPLED = 40
+
+
+def _part_of(bounds: list[tuple]) -> Column:
+    """The number of the range that a page lies in."""
+
+    @F.arrow_udf("int")
+    def part(hosts: pa.Array, paths: pa.Array, hashes: pa.Array) -> pa.Array:
+        rows = zip(hosts.to_pylist(), paths.to_pylist(), hashes.to_pylist())
+        return pa.array([bisect_right(bounds, (h.encode(), p.encode(), x)) for h, p, x in rows], pa.int32())
+
+    return part(*ORDER)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys in order: the first and the last LOOK + 1 pages of each range, copies side by side as one."""
+    first: list[tuple] = []
+    last: list[tuple] = []
+    part, out = None, []
+
+    def close() -> None:
+        out.extend((part, False, *k) for k in first)
+        out.extend((part, True, *k) for k in last)
+        first.clear()
+        last.clear()
+
+    for batch in batches:
+        for now, *key in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != part:
+                close()
+                part = now
+            if last and last[-1][0] == key[0] and last[-1][3] == key[3]:
+                continue
+            last.append(tuple(key))
+            del last[: -LOOK - 1]
+            if len(first) <= LOOK:
+                first.append(tuple(key))
+    close()
+    names = ["_part", "_last", *ORDER, "_page"]
+    types = [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    yield as_batch({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types))})
+
+
+def _context(ends: list) -> list[tuple]:
+    """(range, page key) of pages that a range needs from others: the nearest of the host at its edge, copies as one."""
+    by_part: dict[int, tuple[list, list]] = {}
+    for r in ends:
+        by_part.setdefault(r["_part"], ([], []))[r["_last"]].append((r["_host"], r["_path"], r["_hash"], r["_page"]))
+    parts, out = sorted(by_part), []
+    for own, (first, last) in by_part.items():
+        for others, host, side in ((parts[: parts.index(own)][::-1], first[0][0], True), (parts[parts.index(own) + 1 :], last[-1][0], False)):
+            found: list[tuple] = []
+            for p in others:
+                keys = by_part[p][side]
+                for k in keys[::-1] if side else keys:
+                    if k[0] == host and len(found) <= LOOK and not (found and found[-1][3] == k[3]):
+                        found.append(k)
+                if len(found) > LOOK or keys[0 if side else -1][0] != host:
+                    break
+            out += [(own, *k[:3]) for k in found]
+    return out
+
+
+def page_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) of every row; n_shared lines were deleted by comparison.
 
     Null and empty pages have an empty text; pages without a URL are neighbours of each other. Pages of equal text
-    are copies, which aren't compared. At the edge of a range of pages there are near pages on one side only.
+    are copies, which aren't compared. The result doesn't depend on the number of ranges. Repeated rows get the same text;
+    null ids stay null; a very long page is one page of its range. Other columns are ignored, also those named like results.
     """
+    spark = pages.sparkSession
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     inner = pages.select("page_id", "url", "html").withColumns({"_host": host_of(F.col("url")), "_path": path_of(F.col("url"))})
+    inner = inner.withColumns({"_hash": F.xxhash64(F.col("page_id").cast("string"), "url", "html"), "_page": F.xxhash64("html")})
+    # A sample of as many keys as there are ranges, times SAMPLED, says where to cut.
+    n = inner.count()
+    some = inner.where(F.rand(1) < min(1.0, SAMPLED * ranges / max(n, 1))).select(*ORDER).collect()
+    keys = sorted((r["_host"].encode(), r["_path"].encode(), r["_hash"]) for r in some)
+    bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)} if keys else ())
+    dealt = inner.withColumn("_part", _part_of(bounds))
+    sent = dealt.select("_part", *ORDER, "_page").repartition("_part").sortWithinPartitions("_part", *ORDER)
+    ends = sent.mapInArrow(_ends, "_part int, _last boolean, _host string, _path string, _hash long, _page long").collect()  # a few of each range
+    context = spark.createDataFrame(_context(ends), "_to int, _host string, _path string, _hash long")
+    shown = inner.join(F.broadcast(context), ORDER).dropDuplicates(["_to", *ORDER]).withColumn("_part", F.col("_to"))
+    columns = ["_part", "_own", *ORDER, "page_id", "url", "html"]
+    every = dealt.withColumn("_own", F.lit(True)).select(*columns).unionByName(shown.withColumn("_own", F.lit(False)).select(*columns))
     # Only what is read travels, and once: it is parsed where it arrives.
-    dealt = inner.repartitionByRange("_host", "_path", "page_id").sortWithinPartitions("_host", "_path", "page_id")
+    placed = every.repartition("_part").sortWithinPartitions("_part", *ORDER, "_own")
     kinds = {f.name: f.dataType.simpleString() for f in inner.schema}
-    return dealt.mapInArrow(_extracted, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_shared long")
+    return placed.mapInArrow(_extracted, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_shared long")

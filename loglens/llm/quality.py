@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = TRAIN_DOCS, max_
     """Learns labels.quality of the ids for which learn(column) holds, from a bounded sample of them."""
     sample = labelled(docs, labels, "quality", learn, limit, max_chars)
     rows = sample.mapInArrow(_featured, "y int, buckets binary, counts binary").collect()
-    found = [(r.y, np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4")) for r in rows[:limit]]
+    found = [(r.y, np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4")) for r in rows]
     return fit_docs(sorted(found, key=lambda d: (d[0], len(d[1]), d[1].tobytes(), d[2].tobytes())))
 
 

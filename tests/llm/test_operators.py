@@ -488,6 +488,74 @@ def test_page_edges(spark):
     assert page_text.page_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def template_pages(n):
+    menu = "<div>Site</div>", "<div>Write to us</div>"
+    rows = []
+    for i in range(n):
+        story = "".join(f"<p>Story {i} part {j}.</p>" for j in range(i % 4 + 1))
+        rows.append((i, f"https://h.org/{i:03}/{'x' * (i % 3)}", f"<body>{menu[0]}{story}{menu[1]}</body>"))
+    rows += [(1000 + i, "https://h.org/050/copy", "<body><div>Site</div><p>Copy.</p></body>") for i in range(30)]
+    rows += [(2000 + i, f"https://g.org/{i}", f"<p>Alone</p><p>{i}</p>") for i in range(3)]
+    return rows + [(3000 + i, None, f"<p>same</p><p>{i % 5}</p>") for i in range(20)] + [(None, "https://h.org/051", None)]
+
+
+def test_page_text_does_not_depend_on_ranges(spark):
+    rows = template_pages(60)
+    results = [
+        sorted(map(repr, page_text.page_text(spark.createDataFrame(rows, PAGES).repartition(k), ranges).collect()))
+        for ranges, k in ((1, 1), (4, 3), (40, 2), (200, 5))
+    ]
+    assert results[0] == results[1] == results[2] == results[3] and len(results[0]) == len(rows)
+    # Next to the copies and the empty page, half of the near pages lack the template.
+    assert not any("Site" in r or "Write" in r for r in results[0] if any(f"Story {i} " in r for i in range(45)))
+
+
+def test_shared_quotes_and_headings_inside_articles_stay(spark):
+    rows = [(i, f"https://h.org/{i}", f"<article><p>Follow us</p><h1>Cake {i}</h1><h2>Ingredients</h2><p>{i} eggs</p><p>A quote all have.</p><p>End {i}</p></article>") for i in range(6)]
+    got = extracted(spark, rows)
+    assert {r.text for r in got.values()} == {f"Cake {i}\nIngredients\n{i} eggs\nA quote all have.\nEnd {i}" for i in range(6)}
+
+
+def test_a_page_of_several_megabytes(spark):
+    body = "".join(f"<p>Line {i} of a long page.</p>" for i in range(60_000))
+    got = extracted(spark, [(1, "https://h.org/a", body), (2, "https://h.org/b", "<p>short</p>")])
+    assert got[1].text.count("\n") == 59_999 and got[2].text == "short"
+
+
+# ---- samples and ids
+
+
+def test_samples_hold_their_bound_for_any_partitioning(spark):
+    from loglens.llm.sampling import labelled
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(5000)] + [(1, "text 7")] * 3000 + [(2, "other"), (None, "x"), (3, "long " * 99)], DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (2, None), (1, 0)], "doc_id long, quality int")
+    got = [sorted(map(tuple, labelled(docs.repartition(k), labels, "quality", lambda c: F.lit(True), 10, 100).collect())) for k in (1, 9)]
+    assert got[0] == got[1] and len(got[0]) == 10
+    assert labelled(docs, labels.where("doc_id > 5"), "quality", lambda c: F.lit(True), 10, 100).count() == 0
+
+
+def test_items_with_null_and_odd_ids(spark, tmp_path):
+    import duckdb
+
+    from loglens.llm.queries import ORACLES, REGISTRY
+
+    words = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[5:12])), (3, "nothing here"), (None, " ".join(words[20:])), (5, None)]
+    items = [(None, " ".join(words[3:15])), ("a\nb", " ".join(words[20:33])), ("", " ".join(words[20:31])), ("é,", " ".join(words[6:9])), (None, "w39")]
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(ORACLES["op2_decontamination"])
+    got = REGISTRY["op2_decontamination"](spark, str(tmp_path)).select(*want.columns)
+    # DuckDB joins no null ids, so rows without one are looked at apart.
+    rows = {repr(tuple(r)) for r in got.collect() if r.doc_id is not None}
+    assert rows == {repr(r) for r in want.fetchall() if r[0] is not None}
+    assert got.where("doc_id is null").first().n_items == 2
+
+
 # ---- top k
 
 
