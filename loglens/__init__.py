@@ -20,10 +20,12 @@ from loglens.operators.keys import audit_summary, partitioner_audit, scan_key, w
 from loglens.operators.limits import observe_consumed, take_consumed, until_idle
 from loglens.operators.payloads import decode_avro, decode_avro_typed, join_schemas, required_schemas, text_filter, with_payloads
 from loglens.plans.look import follow_look, look
+from loglens.sources.index import indexed_ends, indexed_schemas, read_index, time_index, write_index
 from loglens.sources.log import (
     LOG_SCHEMA,
     as_log,
     follow_log,
+    kafka_offsets,
     kafka_options,
     land_log,
     read_log,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions.times import after_millis, floor_millis, resolve_times, timestamp_literal
 from loglens.plans.sizing import PARTITION, Limits, bound_per_partition, unique
+from loglens.sources.index import indexed_ends, indexed_offsets
 
 # Names of the two ends of a log.
 EARLIEST = ("earliest", "beginning")
@@ -75,37 +76,47 @@ def first_offsets(log: DataFrame, **conditions: Column) -> DataFrame:
 
 
 def from_time(
-    log: DataFrame, t: Time, now: Time | None = None, limits: Limits | None = None, snapshot: DataFrame | None = None
+    log: DataFrame,
+    t: Time,
+    now: Time | None = None,
+    limits: Limits | None = None,
+    snapshot: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """From the first offset with a timestamp at or after ``t``, everything that follows.
 
     Partitions without such a record give no rows. A stream takes its bounds
     from a ``snapshot``, the log as it is now, and such partitions start at its end.
+    With the time ``index`` of the landed log, one stretch of each partition is read for the bound.
     """
     known = log if snapshot is None else snapshot
     _bounded_only(known)
-    bounds = first_offsets(known, first=reached(as_time(known, t, now)))
+    at = as_time(known, t, now)
+    bounds = first_offsets(known, first=reached(at)) if index is None else indexed_offsets(known, index, {"first": (at, False)}, limits)
     if snapshot is not None:
         ends = end_offsets(snapshot).join(bounds, PARTITION, "left")
         bounds = ends.select(*PARTITION, F.coalesce("first", "end_offset").alias("first"))
     return _from(log, bounds, snapshot, limits)
 
 
-def to_time(log: DataFrame, t: Time, now: Time | None = None, limits: Limits | None = None) -> DataFrame:
+def to_time(
+    log: DataFrame, t: Time, now: Time | None = None, limits: Limits | None = None, index: DataFrame | None = None
+) -> DataFrame:
     """Up to the first record later than ``t``; nothing after it, even if it is older again.
 
     Records without a timestamp never stop a partition. Apply it to the log
-    that is already bounded at its start.
+    that is already bounded at its start. A time ``index`` is only for a log that isn't bounded.
     """
     _bounded_only(log)
-    bounds = first_offsets(log, stop=passed(as_time(log, t, now, end=True)))
+    at = as_time(log, t, now, end=True)
+    bounds = first_offsets(log, stop=passed(at)) if index is None else indexed_offsets(log, index, {"stop": (at, True)}, limits)
     return bound_per_partition(log, bounds, upper="stop", keep_unbounded=True, limits=limits)
 
 
 def time_range(
-    log: DataFrame, start: Time, end: Time, now: Time | None = None, limits: Limits | None = None
+    log: DataFrame, start: Time, end: Time, now: Time | None = None, limits: Limits | None = None, index: DataFrame | None = None
 ) -> DataFrame:
-    """``from_time`` then ``to_time`` with a single pass for both bounds.
+    """``from_time`` then ``to_time`` with a single pass for both bounds, or with the log's time ``index``.
 
     Any record later than ``end >= start`` is itself at or after ``start``, so
     its offset is never before the start offset: both minima can be taken over
@@ -113,9 +124,11 @@ def time_range(
     """
     _bounded_only(log)
     first, last = as_times(log, [(start, False), (end, True)], now)
-    bounds = first_offsets(log, first=reached(first), stop=passed(last)).where(
-        F.col("first").isNotNull() & (floor_millis(last) >= floor_millis(first))
-    )
+    if index is None:
+        bounds = first_offsets(log, first=reached(first), stop=passed(last))
+    else:
+        bounds = indexed_offsets(log, index, {"first": (first, False), "stop": (last, True)}, limits)
+    bounds = bounds.where(F.col("first").isNotNull() & (floor_millis(last) >= floor_millis(first)))
     return bound_per_partition(log, bounds, lower="first", upper="stop", limits=limits)
 
 
@@ -130,19 +143,23 @@ def tail(
     ends: DataFrame | None = None,
     limits: Limits | None = None,
     snapshot: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The last ``n`` offsets of every partition; fewer rows where offsets are missing.
 
     ``ends`` (topic, partition, end_offset) holds the end offsets of the broker
     if they are known, and may not contradict itself; without it the end is the
-    last visible offset plus one. A stream starts n before the end of a
+    last visible offset plus one, or what the log's time ``index`` says. A stream starts n before the end of a
     ``snapshot``, the log as it is now, and goes on.
     """
     if n <= 0:
         raise ValueError(INVALID_OFFSET)
     if snapshot is None:
         _bounded_only(log)
-    known = end_offsets(log if snapshot is None else snapshot) if ends is None else unique(ends, PARTITION, "end_offset")
+    if ends is not None:
+        known = unique(ends, PARTITION, "end_offset")
+    else:
+        known = end_offsets(log if snapshot is None else snapshot) if index is None else indexed_ends(index)
     return _from(log, known.select(*PARTITION, (F.col("end_offset") - n).alias("first")), snapshot, limits)
 
 

@@ -89,6 +89,7 @@ def look(
     now: dt.datetime | str | None = None,
     catalog: DataFrame | None = None,
     snapshot: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Records of a topic or partition, bounded, searched and rendered.
 
@@ -97,7 +98,8 @@ def look(
     exclude each other, and so do ``end`` and ``max_records``. The topic may be
     left out if there is only one. Topic and partition must exist in the
     ``catalog``, which is by default what the log shows. A stream can start in a
-    ``snapshot`` of its log; what stops it is for ``follow_look``.
+    ``snapshot`` of its log; what stops it is for ``follow_look``. With the time
+    ``index`` of a landed log, times are looked up instead of searched.
     """
     if offset is not None and start is not None:
         raise ValueError("offset and start cannot be used together")
@@ -110,11 +112,16 @@ def look(
     scan = _scan(log, topic, partition, key, n_partitions or known)
     if snapshot is not None:
         snapshot = _scan(snapshot, topic, partition, key, n_partitions or known)
+    if index is not None:  # of the partitions that are read
+        index = index.where(F.col("topic") == topic)
+        only = partition if partition is not None or key is None else partition_of(key, n_partitions or known)
+        index = index if only is None else index.where(F.col("partition") == only)
     if start is not None and end is not None:
-        scan = time_range(scan, start, end, now)
+        scan = time_range(scan, start, end, now, index=index)
     else:
-        scan = from_time(scan, start, now, snapshot=snapshot) if start is not None else start_at(scan, offset or "earliest", snapshot=snapshot)
-        scan = to_time(scan, end, now) if end is not None else scan
+        whole = offset is None or str(offset) in ("earliest", "beginning")
+        scan = from_time(scan, start, now, snapshot=snapshot, index=index) if start is not None else start_at(scan, offset or "earliest", snapshot=snapshot)
+        scan = to_time(scan, end, now, index=index if start is None and whole else None) if end is not None else scan
     if max_records is not None:
         scan = take_consumed(scan, max_records)
     if idle_seconds is not None:

@@ -116,6 +116,26 @@ def _extremes(rows: list[Row], lower: str | None, upper: str | None, groups: int
     return _any(tests)
 
 
+def _stops(rows: list[Row], upper: str, groups: int) -> Column:
+    """What stop bounds rule out, to be pushed into the scan; partitions that aren't bounded are kept whole.
+
+    Rows are taken topic by topic, so that a condition on partitions holds for no others.
+    """
+    by_topic: dict[str, list[Row]] = {}
+    for r in rows:
+        by_topic.setdefault(r["topic"], []).append(r)
+    test = F.lit(True)
+    if len(by_topic) > groups:
+        return test
+    for topic, own in by_topic.items():
+        for near in _near(own, upper, max(groups // len(by_topic), 1)):
+            named = sorted({r["partition"] for r in near})
+            if len(named) <= PRUNED_PARTITIONS and all(r[upper] is not None for r in near):
+                other = (F.col("topic") != topic) | ~F.col("partition").isin(named)
+                test = test & (other | (F.col("offset") < max(r[upper] for r in near)))
+    return test
+
+
 def bound_per_partition(
     log: DataFrame,
     bounds: DataFrame,
@@ -151,6 +171,8 @@ def bound_per_partition(
 
     if rows is not None and not keep_unbounded:
         log = log.where(_extremes(rows, lower, upper, LITERAL_ROWS))
+    elif rows is not None and upper:
+        log = log.where(_stops(rows, upper, LITERAL_ROWS))
     side = join_side(bounds, rows)
     names = {c: f"_{c}" for c in side.columns if c not in PARTITION}
     side = side.withColumnsRenamed(names).withColumn("_bounded", F.lit(True))

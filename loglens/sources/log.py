@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,41 @@ def select_partition(log: DataFrame, selector: str | None) -> DataFrame:
     return log if partition is None else log.where(F.col("partition") == partition)
 
 
+# How the source names the two ends of a partition, and spellings of them.
+KAFKA_EARLIEST, KAFKA_LATEST = -2, -1
+ENDS = {"earliest": "earliest", "beginning": "earliest", "latest": "latest", "end": "latest"}
+
+
+def kafka_offsets(bounds: DataFrame, lower: str | None = None, upper: str | None = None, n_partitions: DataFrame | None = None) -> dict[str, str]:
+    """Offsets per partition as options of the Kafka source, which then reads no more than what lies between them.
+
+    ``bounds`` (topic, partition, lower, upper) has one row per partition, as the bounds of time, tail and end have. A
+    partition without a bound is read from its first offset, or to its last one. The source wants all partitions of its
+    topics: those up to the last one that is named, or of the catalog ``n_partitions``, are filled in. Keep the operator as
+    a filter behind the read; offsets that retention has removed since are its business, too.
+    """
+    rows = bounds.collect()  # one per partition
+    counts: dict[str, int] = {}
+    for r in rows:
+        counts[r["topic"]] = max(counts.get(r["topic"], 0), r["partition"] + 1)
+    if n_partitions is not None:
+        counts |= {r["topic"]: max(r["n_partitions"], counts.get(r["topic"], 0)) for r in n_partitions.collect()}
+
+    def option(column: str, otherwise: int) -> str:
+        out = {t: {str(p): otherwise for p in range(n)} for t, n in sorted(counts.items())}
+        for r in rows:
+            if r[column] is not None:
+                out[r["topic"]][str(r["partition"])] = max(r[column], 0)
+        return json.dumps(out)
+
+    found = {}
+    if lower is not None:
+        found["startingOffsets"] = option(lower, KAFKA_EARLIEST)
+    if upper is not None:
+        found["endingOffsets"] = option(upper, KAFKA_LATEST)
+    return found
+
+
 def kafka_options(
     servers: str,
     selector: str,
@@ -81,15 +117,17 @@ def kafka_options(
 ) -> dict[str, str]:
     """Options of Spark's Kafka source for one topic or partition.
 
-    Times must be aware datetimes. The source starts at the first offset at or
+    ``offset`` is an end of the log (earliest or beginning, latest or end), or what ``kafka_offsets`` made of bounds; a
+    number of offsets before the end needs these. Times must be aware datetimes. The source starts at the first offset at or
     after ``from_time`` (or at the end if there is none). Its end looks at the
     whole partition, so ``to_time`` is one ms later here and still has to be
-    applied as an operator. Tails are not known to the source either: read
-    from the earliest offset and apply ``tail``. Connection and login settings
+    applied as an operator. Connection and login settings
     are passed through ``extra`` (``kafka.security.protocol`` and so on).
     """
     topic, partition = parse_selector(selector)
-    options = {"kafka.bootstrap.servers": servers, "startingOffsets": offset}
+    if offset not in ENDS and not offset.startswith("{"):
+        raise ValueError("An offset of the Kafka source is an end of the log (earliest, latest) or the JSON of kafka_offsets.")
+    options = {"kafka.bootstrap.servers": servers, "startingOffsets": ENDS.get(offset, offset)}
     if partition is None:
         options["subscribe"] = topic
     else:
@@ -112,6 +150,12 @@ def kafka_options(
     return options | extra
 
 
+def _one(ends: DataFrame, topic: str, partition: int) -> str:
+    """The start of a single partition, which is all that an assigned source wants to know."""
+    row = ends.first()
+    return json.dumps({topic: {str(partition): KAFKA_EARLIEST if row is None else max(row["first"], 0)}})
+
+
 def read_log(
     spark: SparkSession, source: str, selector: str | None = None, format: str = "parquet", **options: str
 ) -> DataFrame:
@@ -119,7 +163,14 @@ def read_log(
     if format == "kafka":
         if selector is None:
             raise ValueError("reading from a broker needs a topic or topic-partition")
-        wanted = kafka_options(source, selector, **options)
+        offset = str(options.pop("offset", "earliest"))
+        last = int(offset) if re.fullmatch(r"-[1-9][0-9]*", offset) else None
+        if last is not None:  # one pass over offsets says where to start, the payloads are read from there
+            topic, partition = parse_selector(selector)
+            narrow = spark.read.format("kafka").options(**kafka_options(source, selector, **options)).load()
+            ends = narrow.groupBy("topic", "partition").agg((F.max("offset") + 1 + last).alias("first"))
+            offset = kafka_offsets(ends, "first")["startingOffsets"] if partition is None else _one(ends, topic, partition)
+        wanted = kafka_options(source, selector, offset, **options)
         if wanted.get("startingOffsets") == "latest":
             raise ValueError("a bounded read cannot start at the latest offset; follow_log does")
         return as_log(spark.read.format("kafka").options(**wanted).load())

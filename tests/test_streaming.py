@@ -72,6 +72,34 @@ def test_record_limit_over_batches_and_restarts(spark, log, tmp_path):
     assert follow.finished and sink.batches[2] == []
 
 
+@pytest.mark.parametrize("most", [100, 1])
+def test_few_and_many_partitions_stop_alike(spark, log, tmp_path, most):
+    path, checkpoint, sink = str(tmp_path / "log"), str(tmp_path / "checkpoint"), Sink()
+    for wave in ((0, 5), (5, 15), (15, 20), (20, 30)):
+        land_waves(log, path, [wave])
+        follow = run(spark, path, sink, checkpoint, end=END, most_partitions=most)
+    assert sink.all() == keys(L.to_time(log(rows()), END)) and follow.stopped == 2
+    assert len([x for x in (tmp_path / "checkpoint" / "bounds").iterdir() if x.is_dir()]) == 2
+
+
+def test_checkpoint_keeps_its_stop_rule(spark, log, tmp_path):
+    path, checkpoint = str(tmp_path / "log"), str(tmp_path / "checkpoint")
+    land_waves(log, path, [(0, 10)])
+    run(spark, path, Sink(), checkpoint)
+    with pytest.raises(ValueError, match="began with the stop rule none"):
+        run(spark, path, Sink(), checkpoint, end=END)
+    run(spark, path, Sink(), checkpoint)
+
+
+def test_progress_counts_records(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    land_waves(log, path, [(0, 20)])
+    follow = L.Follow(L.follow_log(spark, path, maxFilesPerTrigger="1"), Sink(), str(tmp_path / "c"))
+    follow.start()
+    follow.wait(idle_seconds=3)
+    assert 0 < follow.consumed <= 60
+
+
 def test_repeated_batch_gives_the_same_rows(spark, log, tmp_path):
     sink = Sink()
     df = log(rows())

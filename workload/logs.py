@@ -20,13 +20,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglens import kafka_partition, land_log, read_log
+from loglens import kafka_partition, land_log, read_index, read_log, write_index
 from loglens.plans.staging import with_computed
 
 EVENT_PARTITIONS = 6
 ORDER_PARTITIONS = 4
 LANG_PARTITIONS = 4
 NUMBERING_ROWS = 1_000_000
+INDEXED_ROWS = 1000
 
 # Fixed values of the framed log.
 EVENT_SCHEMA = (
@@ -136,6 +137,16 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed(spark, sf_dir, "events", build_events_log)
 
 
+def events_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time index of the landed events, written once."""
+    log = events_log(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "events index")
+    if key not in _landed:
+        _landed[key] = workspace(spark, sf_dir, "events")
+        write_index(log, _landed[key], mode="overwrite", rows=INDEXED_ROWS)
+    return read_index(spark, _landed[key])
+
+
 def events_log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets with holes, as after compaction."""
     return events_log(spark, sf_dir).where(F.col("offset") % 3 != 1)

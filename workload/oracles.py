@@ -119,7 +119,10 @@ REGISTRY_NAME = "CASE WHEN event_id % 3 = 0 THEN 'confluent' ELSE 'glue' END"
 def oracle_sql() -> dict[str, str]:
     sql = _own()
     # Streams that are read to their end give what the bounded read gives.
-    return sql | {"follow_from_time": sql["from_time"], "follow_search": sql["range_search"]}
+    streams = {"follow_from_time": sql["from_time"], "follow_search": sql["range_search"]}
+    # An index changes where bounds are looked up, not the bounds.
+    indexed = {"from_time_indexed": sql["from_time"], "time_range_indexed": sql["time_range"], "to_time_indexed": sql["follow_to_time"]}
+    return sql | streams | indexed
 
 
 def _own() -> dict[str, str]:
@@ -279,6 +282,12 @@ def _own() -> dict[str, str]:
         "follow_to_time": f"""WITH {EVENTS_LOG}, flagged AS (SELECT *, max((t > {TO_TS})::INT) OVER (PARTITION BY partition
               ORDER BY "offset" ROWS UNBOUNDED PRECEDING) AS passed FROM events_log) """
         + _records("flagged", "WHERE passed = 0"),
+        "follow_until_idle": f"WITH {EVENTS_LOG} " + _records("events_log"),
+        "follow_latest": f"WITH {EVENTS_LOG} " + _records("events_log", f'WHERE "offset" >= {Q.SNAPSHOT}'),
+        "follow_audit": f"""WITH {EVENTS_LOG}, renamed AS (SELECT * EXCLUDE (partition), partition AS seen FROM events_log),
+            {_partitioned("placed", "renamed", "key", logs.EVENT_PARTITIONS - 1)}
+            SELECT topic, seen AS partition, count(*) AS records, count(*) FILTER (WHERE seen <> partition) AS mismatches
+            FROM placed GROUP BY ALL""",
         "follow_limit": f"""WITH {EVENTS_LOG},
             first AS (SELECT * FROM events_log ORDER BY "offset", topic, partition LIMIT {Q.CONSUMED}) """
         + _records("first"),

@@ -18,6 +18,7 @@ EVENTS = "events"
 TAIL, CONSUMED, CONSUMED_MANY, IDLE, SUGGESTED = 400, 500, 6000, 1800, 3
 KEY, NEEDLE, WORD = "7", '"k":5', "the "
 MIXED_TOPICS = 40
+SNAPSHOT = 100
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -152,6 +153,22 @@ def time_range(spark, sf_dir):
     return _records(L.time_range(logs.events_log(spark, sf_dir), START, END))
 
 
+@query
+def time_range_indexed(spark, sf_dir):
+    """Both bounds looked up in the log's time index."""
+    return _records(L.time_range(logs.events_log(spark, sf_dir), START, END, index=logs.events_index(spark, sf_dir)))
+
+
+@query
+def from_time_indexed(spark, sf_dir):
+    return _records(L.from_time(logs.events_log(spark, sf_dir), START, index=logs.events_index(spark, sf_dir)))
+
+
+@query
+def to_time_indexed(spark, sf_dir):
+    return _records(L.to_time(logs.events_log(spark, sf_dir), END, index=logs.events_index(spark, sf_dir)))
+
+
 @query
 def resolve_time_bounds(spark, sf_dir):
     events = logs.table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
@@ -470,6 +487,49 @@ def follow_search(spark, sf_dir):
     return _followed(spark, run, make).select("partition", "offset", "line")
 
 
+@query
+def follow_until_idle(spark, sf_dir):
+    """A live follow that ends when nothing has come for a while."""
+    stream, run = _stream(spark, sf_dir, **SINGLE)
+    parts: list[str] = []
+
+    def emit(df: DataFrame, batch_id: int) -> None:
+        parts.append(f"{run}/out/batch={batch_id}")
+        df.write.mode("overwrite").parquet(parts[-1])
+
+    follow = L.Follow(stream, emit, f"{run}/checkpoint")
+    follow.start()
+    follow.wait(idle_seconds=2)
+    return _records(spark.read.parquet(*dict.fromkeys(parts)))
+
+
+@query
+def follow_latest(spark, sf_dir):
+    """Only what came after a snapshot."""
+    stream, run = _stream(spark, sf_dir, **SINGLE)
+    started = L.start_at(stream, "end", snapshot=logs.events_log(spark, sf_dir).where(F.col("offset") < SNAPSHOT))
+    return _records(_followed(spark, run, lambda emit, checkpoint: L.Follow(started, emit, checkpoint)))
+
+
+@query
+def follow_audit(spark, sf_dir):
+    """Running counts of records outside the partition of their key, kept by the stream itself."""
+    stream, run = _stream(spark, sf_dir, **SINGLE)
+    parts: list[str] = []
+
+    def emit(df: DataFrame, batch_id: int) -> None:
+        parts.append(f"{run}/out/batch={batch_id}")
+        df.write.mode("overwrite").parquet(parts[-1])
+
+    counts = L.audit_summary(stream, logs.EVENT_PARTITIONS - 1)
+    writer = counts.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", f"{run}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    # Of the counts of a partition, which only grow, the latest ones count.
+    every = spark.read.parquet(*dict.fromkeys(parts))
+    return every.groupBy("topic", "partition").agg(F.max("records").alias("records"), F.max("mismatches").alias("mismatches"))
+
+
 @query
 def follow_limit(spark, sf_dir):
+    """The first records of each micro-batch, until there are enough; one batch, as files hold one partition each."""
     return _records(_follow(spark, sf_dir, max_records=CONSUMED))
