@@ -267,9 +267,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ready(kinds)
 
 
-#: How pages are ordered: by host and path, equal ones by a hash of all there is.
+#: How pages are ordered: by host and path, equal ones by a hash of all there is; keys sampled for a range, ranges of a task.
 ORDER = ["_host", "_path", "_hash"]
-SAMPLED = 40
+SAMPLED, RANGES = 10, 16
 
 
 def _part_of(bounds: list[tuple]) -> Column:
@@ -340,7 +340,7 @@ def page_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     null ids stay null; a very long page is one page of its range. Other columns are ignored, also those named like results.
     """
     spark = pages.sparkSession
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     inner = pages.select("page_id", "url", "html").withColumns({"_host": host_of(F.col("url")), "_path": path_of(F.col("url"))})
     inner = inner.withColumns({"_hash": F.xxhash64(F.col("page_id").cast("string"), "url", "html"), "_page": F.xxhash64("html")})
     # A sample of as many keys as there are ranges, times SAMPLED, says where to cut.
