@@ -17,7 +17,7 @@ ones for n-grams at a text's begin.
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,8 @@ from loglens.llm.common import CACHE_WORDS, as_batch, bytes_of, chunks, fresh, l
 BEGIN, END = b" begin", b" end"
 #: Keys that a task combines at once, and tokens behind a part of an order.
 FLUSH, PART_TOKENS, STRETCH = 1 << 21, 1 << 21, 2 << 20
+#: Files of an order that a process keeps mapped.
+OPEN = 512
 LARGEST, LOW = 1 << 32, np.uint64(0xFFFFFFFF)
 SCORED = "n_tokens long, n_known long, base_score double, score double"
 
@@ -68,9 +70,13 @@ class Order:
         return f"{self.folder}/{part}/{name}"
 
     def array(self, name: str, part: int) -> np.ndarray:
-        if (name, part) not in self._open:
-            self._open[name, part] = np.load(self.path(f"{name}.npy", part), mmap_mode="r")
-        return self._open[name, part]
+        """A mapped file. At most OPEN of them stay open; those that others still use are closed by their last user."""
+        found = self._open.get((name, part))
+        if found is None:
+            if len(self._open) >= OPEN:
+                self._open.clear()
+            self._open[name, part] = found = np.load(self.path(f"{name}.npy", part), mmap_mode="r")
+        return found
 
     def part_counts(self, name: str, part: int, at: np.ndarray | None = None) -> np.ndarray:
         out = (self.array(name, part)[:] if at is None else self.array(name, part)[at]).astype(np.int64)
@@ -82,37 +88,38 @@ class Order:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Ids of keys; -1 for those that aren't there."""
-        asked, back = np.unique(keys, return_inverse=True)
-        out = np.full(len(asked), -1, np.int64)
-        part = np.searchsorted(self.bounds, asked, side="right") - 1
-        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
-        for a, b in zip(cut, [*cut[1:], len(part)]):
-            p = int(part[a])
-            if self.sizes[p]:
+        order = np.argsort(keys)
+        asked = keys[order]
+        found = np.full(len(keys), -1, np.int64)
+        cut = np.searchsorted(asked, self.bounds[1:])
+        for p, (a, b) in enumerate(zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(asked)]]))):
+            if a < b and self.sizes[p]:
                 own = self.array("keys", p)
                 at = np.minimum(np.searchsorted(own, asked[a:b]), len(own) - 1)
-                out[a:b] = np.where(own[at] == asked[a:b], at + self.base[p], -1)
-        return out[back]
-
-    def _by_part(self, ids: np.ndarray, read: Callable[[int, np.ndarray], np.ndarray], empty: float, kind) -> np.ndarray:
-        asked, back = np.unique(ids, return_inverse=True)
-        out = np.full(len(asked), empty, kind)
-        part = np.searchsorted(self.base, asked, side="right") - 1  # of -1: -1
-        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
-        for a, b in zip(cut, [*cut[1:], len(part)]):
-            if asked[a] >= 0:
-                out[a:b] = read(int(part[a]), asked[a:b] - self.base[part[a]])
-        return out[back]
-
-    def take(self, name: str, ids: np.ndarray, empty: float = 0.0) -> np.ndarray:
-        """An array's values of ids; empty for the id -1."""
-        return self._by_part(ids.astype(np.int64), lambda p, at: self.array(name, p)[at], empty, float)
+                found[a:b] = np.where(own[at] == asked[a:b], at + self.base[p], -1)
+        out = np.empty(len(keys), np.int64)
+        out[order] = found
+        return out
+
+    def facts(self, ids: np.ndarray, *names: str) -> list[np.ndarray]:
+        """Values of ids by name; of the id -1: 0, and 1 for backoff weights. Ids are dealt to parts once for all names."""
+        real = [n == "backoff" for n in names]
+        out = [np.full(len(ids), float(x)) if x else np.zeros(len(ids), np.uint64 if n == "keys" else np.int64) for n, x in zip(names, real)]
+        part = np.searchsorted(self.base, ids, side="right")  # of -1: 0
+        order = np.argsort(part.astype(np.uint32), kind="stable")
+        cut = np.searchsorted(part[order], np.arange(len(self.base) + 1))
+        for p in np.flatnonzero(cut[1:-1] < cut[2:]):
+            own = order[cut[p + 1] : cut[p + 2]]
+            at = ids[own] - self.base[p]
+            for name, values in zip(names, out):
+                values[own] = self.array(name, p)[at] if name in ("keys", "backoff") else self.part_counts(name, p, at)
+        return out
 
     def keys_of(self, ids: np.ndarray) -> np.ndarray:
-        return self._by_part(ids.astype(np.int64), lambda p, at: self.array("keys", p)[at], 0, np.uint64)
+        return self.facts(ids.astype(np.int64), "keys")[0]
 
     def counts(self, name: str, ids: np.ndarray) -> np.ndarray:
-        return self._by_part(ids, lambda p, at: self.part_counts(name, p, at), 0, np.int64)
+        return self.facts(ids, name)[0]
 
 
 class WordIds(dict):
@@ -390,17 +397,17 @@ class Model:
         """log10 of each token's probability after those before it; of begins, 0."""
         ids = grams(self.orders, words, bound)
         top = len(self.orders)
-        c = self.orders[0].counts("adjusted", words) if top > 1 else self.orders[0].counts("raw", words)
         d = self.discounts[0]
+        c, *behind = self.orders[0].facts(words, *(("raw",) if top == 1 else ("adjusted", "total", "backoff")))
         p = (c - d[np.minimum(c, 3)] + self.spare / (self.words + 1)) / max(self.total, 1)
         if not self.total:
             p = np.full(len(words), 1.0 / (self.words + 1))
         for k in range(2, top + 1):
-            order, below, d = self.orders[k - 1], self.orders[k - 2], self.discounts[k - 1]
-            ctx = np.concatenate([[-1], ids[k - 2][:-1]])
-            total, weight = below.counts("total", ctx), below.take("backoff", ctx, 1.0)
+            # What follows an n-gram is found at the token behind it; before the first one nothing is known.
+            total, weight = (np.concatenate([[x], y[:-1]]) for x, y in zip((0, 1.0), behind))
+            d = self.discounts[k - 1]
+            c, *behind = self.orders[k - 1].facts(ids[k - 1], *(("raw",) if k == top else ("adjusted", "total", "backoff")))
             seen = total > 0
-            c = order.counts("raw" if k == top else "adjusted", ids[k - 1])
             more = np.where(seen, (c - d[np.minimum(c, 3)]) / np.where(seen, total, 1), 0)
             p = more + np.where(seen, weight, 1.0) * p
         out = np.log10(p)
@@ -446,7 +453,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row, of its whole text.
 
     score is the model's log10 probability of the text's tokens, its end included; base_score that of single words with
-    half a count added. n_known tokens occur in what was learnt. A null or empty text is its end alone.
+    half a count added. n_known tokens occur in what was learnt. A null or empty text is its end alone. Repeated rows
+    get equal results, null ids stay null; a long text is scored alone, as a whole. Other columns are ignored, also those
+    named like results.
     """
     n, v = model.tokens, model.words
 
