@@ -123,18 +123,27 @@ class Order:
 
 
 class WordIds(dict):
-    """Ids of words, remembered; -1 for unknown ones."""
+    """Ids of words, remembered; -1 for unknown ones. Words that are new get numbers below that until they are looked up."""
 
     def __init__(self, words: Order):
-        self.words = words
+        self.words, self.new = words, []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = out = -1 - len(self.new)
+        return out
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        new = [w for w in dict.fromkeys(tokens) if w not in self]
-        if new:
-            self.update(zip(new, self.words.find(hashes(new)).tolist(), strict=True))
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.new:
+            found = self.words.find(hashes(self.new))
+            self.update(zip(self.new, found.tolist(), strict=True))
+            at = np.flatnonzero(out < -1)
+            out[at] = found[-2 - out[at]]
+            self.new = []
+        return out
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
