@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loglens.functions.avro import MOST_EMPTY
 from loglens.functions.avro_columns import Null, Recursive, compiled
 from loglens.functions.frames import PLAIN, SEARCHED, ZIPPED, decode_frame, decode_typed
+from loglens.functions.numbers import own_numbers
 from loglens.functions.payload import AVRO, JSON, frame, is_framed, kind_of, with_json_text
 from loglens.functions.render import show_json
 from loglens.functions.text import mentions, utf8_lossy
@@ -205,6 +206,10 @@ def _rendered(log: DataFrame, registry: Registry | None, columns: tuple[str, ...
         log = _with_avro(log, registry, columns, indent, _checked(mode), search)
     for c in columns:
         log = with_json_text(log, F.col(c), f"_{c}_json")
+    # All payloads with numbers that need it go through Python together.
+    numbers = {f"_numbers_{c}": own_numbers(F.col(c).cast("string"), F.col(f"_{c}_json")) for c in columns}
+    log = with_computed(log.withColumns(numbers), **{f"_shown_{c}": F.coalesce(F.col(f"_numbers_{c}"), F.col(f"_{c}_json")) for c in columns})
+    for c in columns:
         if registry is not None:
             avro = F.col(f"_avro_{c}")["text"]
         elif mode == FAILFAST:
@@ -214,7 +219,7 @@ def _rendered(log: DataFrame, registry: Registry | None, columns: tuple[str, ...
         is_json = F.col(f"_{c}_json").isNotNull()
         text = (
             F.when(F.col(c).isNull(), "null")
-            .when(is_json, show_json(F.col(f"_{c}_json"), indent))
+            .when(is_json, show_json(F.col(f"_shown_{c}"), indent))
             .when(is_framed(c), avro)
             .otherwise(utf8_lossy(c))
         )
@@ -224,8 +229,8 @@ def _rendered(log: DataFrame, registry: Registry | None, columns: tuple[str, ...
 
 
 # A number token of JSON that may be shown with other digits than written.
-REWRITTEN_NUMBER = r"(?:^|[:\[,\s])-?[0-9]+[.eE]|[0-9]{39}"
-LONG_INTEGER = 39
+REWRITTEN_NUMBER = r"(?:^|[:\[,\s])-?[0-9]+[.eE]|[0-9]{19}"
+LONG_INTEGER = 19
 
 
 def _runs(needle: str) -> list[str]:
