@@ -6,45 +6,51 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loglens.operators.bounds import has_time
-from loglens.plans.sizing import PARTITION
+from loglens.plans.sizing import BROADCAST_ROWS, PARTITION, few_rows, join_side
 
 # Records up to this number fit the heap of a top-n; more are cut by offset.
 TOP_N = 10_000
 BUCKETS = 10_000
-ORDER = ["offset", "topic", "partition"]
 
 
-def take_consumed(log: DataFrame, n: int, top_n: int = TOP_N, buckets: int = BUCKETS) -> DataFrame:
-    """The first ``n`` records in the order (offset, topic, partition).
+def take_consumed(log: DataFrame, n: int, top_n: int = TOP_N, buckets: int = BUCKETS, from_starts: bool = False) -> DataFrame:
+    """The first ``n`` records in the order (offset, topic, partition), or with ``from_starts`` by offsets behind the first one.
 
-    This is one of the orders in which a consumer may receive them: every
-    partition contributes its first records, without gaps. Bound the log before
-    and filter it after, because the limit counts consumed records.
+    Both are orders in which a consumer may receive them: every
+    partition contributes its first records, without gaps. A log that starts at
+    other offsets than 0, as after a tail or from a time, should be taken
+    from its starts, so that partitions with low offsets don't come first as a whole; these are
+    looked up by one narrow aggregate. Bound the log before and filter it after,
+    because the limit counts consumed records.
     """
     if n <= 0:
         return log.where(F.lit(False))
-    if n <= top_n:
-        return log.orderBy(*ORDER).limit(n)
-    return _first_records(log, n, buckets)
+    placed, at = log, "offset"
+    if from_starts:
+        starts = log.groupBy(*PARTITION).agg(F.min("offset").alias("_start"))
+        placed, at = log.join(join_side(starts, few_rows(starts, BROADCAST_ROWS)), PARTITION), "_at"
+        placed = placed.withColumn(at, F.col("offset") - F.col("_start"))
+    taken = placed.orderBy(at, *PARTITION).limit(n) if n <= top_n else _first_records(placed, n, buckets, at)
+    return taken.select(*log.columns)
 
 
-def _first_records(log: DataFrame, n: int, buckets: int) -> DataFrame:
-    """The limit as a predicate on the offset, for limits too large for one task.
+def _first_records(log: DataFrame, n: int, buckets: int, at: str) -> DataFrame:
+    """The limit as a predicate on the place (column ``at``), for limits too large for one task.
 
-    Counts per range of offsets are narrowed down until the n-th record's
-    offset is found. There, whole partitions are taken in their order; only of
+    Counts per range of places are narrowed down until the n-th record's
+    place is found. There, whole partitions are taken in their order; only of
     a record that was delivered repeatedly, the last one taken, some copies
     are cut off.
     """
-    low, high = log.agg(F.min("offset"), F.max("offset")).first()
+    low, high = log.agg(F.min(at), F.max(at)).first()
     if low is None:
         return log
     taken = 0
     while True:
         width = -(-(high - low + 1) // max(buckets, 2))
         counts = (
-            log.where(F.col("offset").between(low, high))
-            .groupBy(F.floor((F.col("offset") - low) / width).alias("bucket"))
+            log.where(F.col(at).between(low, high))
+            .groupBy(F.floor((F.col(at) - low) / width).alias("bucket"))
             .count()
             .orderBy("bucket")
             .collect()
@@ -54,21 +60,21 @@ def _first_records(log: DataFrame, n: int, buckets: int) -> DataFrame:
                 break
             taken += count
         else:
-            return log.where(F.col("offset") <= high)
+            return log.where(F.col(at) <= high)
         low, high = low + bucket * width, min(high, low + (bucket + 1) * width - 1)
         if width == 1:
             break
-    before = F.col("offset") < low
+    before = F.col(at) < low
     if n == taken:
         return log.where(before)
     topic = partition = None
-    for topic, partition, count in log.where(F.col("offset") == low).groupBy(*PARTITION).count().orderBy(*PARTITION).toLocalIterator():
+    for topic, partition, count in log.where(F.col(at) == low).groupBy(*PARTITION).count().orderBy(*PARTITION).toLocalIterator():
         if taken + count >= n:
             break
         taken += count
     smaller = (F.col("topic") < topic) | ((F.col("topic") == topic) & (F.col("partition") < partition))
-    last = (F.col("offset") == low) & (F.col("topic") == topic) & (F.col("partition") == partition)
-    return log.where(before | ((F.col("offset") == low) & smaller)).unionByName(log.where(last).limit(n - taken))
+    last = (F.col(at) == low) & (F.col("topic") == topic) & (F.col("partition") == partition)
+    return log.where(before | ((F.col(at) == low) & smaller)).unionByName(log.where(last).limit(n - taken))
 
 
 def idle_cut(log: DataFrame, seconds: int) -> int | None:

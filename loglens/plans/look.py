@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loglens.functions.partitioner import partition_of
 from loglens.functions.render import render_line
 from loglens.functions.selectors import parse_selector
-from loglens.operators.bounds import Time, from_time, start_at, time_range, to_time
+from loglens.operators.bounds import EARLIEST, Time, from_time, start_at, time_range, to_time
 from loglens.operators.catalog import resolve_selectors, topic_catalog
 from loglens.operators.keys import in_key_partition, keep_key
 from loglens.operators.limits import take_consumed, until_idle
@@ -119,11 +119,11 @@ def look(
     if start is not None and end is not None:
         scan = time_range(scan, start, end, now, index=index)
     else:
-        whole = offset is None or str(offset) in ("earliest", "beginning")
+        whole = str(offset or "earliest") in EARLIEST
         scan = from_time(scan, start, now, snapshot=snapshot, index=index) if start is not None else start_at(scan, offset or "earliest", snapshot=snapshot)
         scan = to_time(scan, end, now, index=index if start is None and whole else None) if end is not None else scan
     if max_records is not None:
-        scan = take_consumed(scan, max_records)
+        scan = take_consumed(scan, max_records, from_starts=start is not None or str(offset or "earliest") not in EARLIEST)
     if idle_seconds is not None:
         scan = until_idle(scan, idle_seconds)
     return _show(scan, topic, key, (n_partitions or known) if partition is None else None, text, schemas, indent, mode)

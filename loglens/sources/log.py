@@ -192,11 +192,12 @@ def follow_log(
     return select_partition(_files(spark.readStream, format, source, options), selector)
 
 
-def land_log(log: DataFrame, path: str, mode: str = "errorifexists", slice_rows: int = SLICE_ROWS) -> None:
+def land_log(log: DataFrame, path: str, mode: str = "errorifexists", slice_rows: int = SLICE_ROWS, **options: str) -> None:
     """Write a log so that later reads prune: by directory, then by offset statistics.
 
     A partition is cut into slices of offsets, so a hot one is written by many
-    tasks, and every file holds one sorted range of offsets.
+    tasks, and every file holds one sorted range of offsets. Options are the
+    writer's, such as ``compression``.
     """
     slices = F.floor(F.col("offset") / slice_rows)
     (
@@ -205,6 +206,7 @@ def land_log(log: DataFrame, path: str, mode: str = "errorifexists", slice_rows:
         .sortWithinPartitions("topic", "partition", "offset")
         .withColumns({folder: F.col(c) for c, folder in FOLDERS.items()})
         .write.mode(mode)
+        .options(**options)
         .partitionBy(*FOLDERS.values())
         .parquet(path)
     )

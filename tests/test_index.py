@@ -109,3 +109,21 @@ def test_kafka_offsets(spark):
     for bad in ("-5", "first", "0"):
         with pytest.raises(ValueError, match="An offset"):
             L.kafka_options("b:1", "t", bad)
+
+
+@pytest.mark.parametrize("top_n, buckets", [(1000, 10), (0, 2), (0, 50)])
+def test_limits_count_from_the_starts(log, top_n, buckets):
+    rows = [("t", p, 1000 * p + o, o, "k", "v") for p in range(4) for o in range(20)]
+    rows += [("t", 3, 3010, 1, "k", "again")] * 2 + [("u", 0, 5, 1, "k", "v")]
+    df = log(rows)
+    for n in (0, 1, 7, 30, 45, 500):
+        for bounded in (df, L.tail(df, 12), L.from_time(df, at(6))):
+            own = keys(bounded)
+            first = {}
+            for t, p, o in own:
+                first[t, p] = min(o, first.get((t, p), o))
+            want = sorted(own, key=lambda k: (k[2] - first[k[:2]], *k[:2]))[:n]
+            assert keys(L.take_consumed(bounded, n, top_n, buckets, from_starts=True)) == sorted(want)
+    some = L.take_consumed(L.tail(df, 12), 8, from_starts=True)
+    assert some.select("topic", "partition").distinct().count() == 5
+    assert L.look(df, "t", offset=-12, max_records=8).select("partition").distinct().count() == 4

@@ -122,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
     streams = {"follow_from_time": sql["from_time"], "follow_search": sql["range_search"]}
     # An index changes where bounds are looked up, not the bounds.
     indexed = {"from_time_indexed": sql["from_time"], "time_range_indexed": sql["time_range"], "to_time_indexed": sql["follow_to_time"]}
-    return sql | streams | indexed
+    return sql | streams | indexed | {"read_schemas_from_files": sql["join_schemas"]}
 
 
 def _own() -> dict[str, str]:
@@ -200,6 +200,20 @@ def _own() -> dict[str, str]:
         "take_consumed_many": f"""WITH {EVENTS_LOG},
             first AS (SELECT * FROM events_log ORDER BY "offset", topic, partition LIMIT {Q.CONSUMED_MANY}) """
         + _records("first"),
+        "take_consumed_from_tail": f"""WITH {EVENTS_LOG}, ends AS (SELECT partition AS p, max("offset") + 1 AS e FROM events_log GROUP BY partition),
+            last AS (SELECT * FROM events_log JOIN ends ON partition = p WHERE "offset" >= e - {Q.TAIL}),
+            starts AS (SELECT partition AS p2, min("offset") AS s FROM last GROUP BY partition),
+            first AS (SELECT last.* FROM last JOIN starts ON partition = p2 ORDER BY "offset" - s, topic, partition LIMIT {Q.CONSUMED}) """
+        + _records("first"),
+        "landed_codecs": f"""WITH {EVENTS_LOG}, codecs AS (SELECT unnest([{", ".join(f"'{c}'" for c in Q.CODECS)}]) AS codec)
+            SELECT codec, topic, partition, count(*) AS records, max("offset") AS last, sum(strlen(value))::BIGINT AS value_bytes
+            FROM events_log, codecs GROUP BY codec, topic, partition""",
+        "resolve_selectors_single": f"""WITH {ORDERS_LOG}, {SELECTORS},
+            one AS (SELECT topic AS t, (max(partition) + 1)::INTEGER AS n FROM orders_log GROUP BY topic)
+            SELECT selector, coalesce(topic, t) AS topic, partition,
+              CASE WHEN selector IS NULL THEN 'ok' WHEN topic <> t THEN 'unknown_topic' WHEN named AND partition IS NULL THEN 'bad_partition'
+                WHEN partition >= n THEN 'partition_out_of_range' ELSE 'ok' END AS status,
+              CASE WHEN topic <> t THEN t END AS suggestion FROM parsed, one""",
         "until_idle": f"""WITH ordered AS (SELECT 'events' AS topic, user_id::INTEGER AS partition, event_id AS "offset",
               date_trunc('millisecond', ts) AS t, user_id::VARCHAR AS key, {EVENT_VALUE} AS value FROM events),
             gaps AS (SELECT t, t - lag(t) OVER (ORDER BY t) AS gap FROM ordered),

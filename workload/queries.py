@@ -19,6 +19,7 @@ TAIL, CONSUMED, CONSUMED_MANY, IDLE, SUGGESTED = 400, 500, 6000, 1800, 3
 KEY, NEEDLE, WORD = "7", '"k":5', "the "
 MIXED_TOPICS = 40
 SNAPSHOT = 100
+CODECS = ("none", "gzip", "snappy", "lz4", "zstd")
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -99,6 +100,12 @@ def resolve_selectors(spark, sf_dir):
     return L.resolve_selectors(_selectors(spark, sf_dir), L.topic_catalog(_all_logs(spark, sf_dir)))
 
 
+@query
+def resolve_selectors_single(spark, sf_dir):
+    """With one topic only, a missing selector means that one."""
+    return L.resolve_selectors(_selectors(spark, sf_dir), L.topic_catalog(logs.orders_log(spark, sf_dir)))
+
+
 @query
 def suggest_topics(spark, sf_dir):
     topic, _, _ = L.split_topic_partition("selector")
@@ -206,6 +213,12 @@ def take_consumed_many(spark, sf_dir):
     return _records(L.take_consumed(logs.events_log(spark, sf_dir), CONSUMED_MANY, top_n=CONSUMED))
 
 
+@query
+def take_consumed_from_tail(spark, sf_dir):
+    """The first records behind a tail, of every partition alike."""
+    return _records(L.take_consumed(L.tail(logs.events_log(spark, sf_dir), TAIL), CONSUMED, from_starts=True))
+
+
 @query
 def until_idle(spark, sf_dir):
     return _records(L.until_idle(logs.events_log_ordered(spark, sf_dir), IDLE))
@@ -348,6 +361,31 @@ def join_schemas(spark, sf_dir):
     return L.join_schemas(heads, logs.schemas(spark)).select("offset", "registry", "schema_id", "definition")
 
 
+@query
+def read_schemas_from_files(spark, sf_dir):
+    """Schemas exported to files of another format, with other spellings of registry and id."""
+    path = logs.workspace(spark, sf_dir, f"schemas-{uuid.uuid4().hex}")
+    logs.schemas(spark).select(F.upper("registry").alias("registry"), F.upper("schema_id").alias("schema_id"), "definition").write.json(path)
+    head = L.frame("value")
+    heads = logs.wire_log(spark, sf_dir).select("offset", head["registry"].alias("registry"), head["schema_id"].alias("schema_id"))
+    return L.join_schemas(heads, L.read_schemas(spark, path, "json")).select("offset", "registry", "schema_id", "definition")
+
+
+@query
+def landed_codecs(spark, sf_dir):
+    """The log landed with each codec reads alike."""
+    log, found = L.as_log(logs.events_log(spark, sf_dir)), None
+    for codec in CODECS:
+        path = logs.workspace(spark, sf_dir, f"landed-{codec}-{uuid.uuid4().hex}")
+        L.land_log(log, path, compression=codec)
+        own = L.read_log(spark, path).groupBy("topic", "partition").agg(
+            F.count(F.lit(1)).alias("records"), F.max("offset").alias("last"), F.sum(F.octet_length("value")).alias("value_bytes")
+        )
+        own = own.select(F.lit(codec).alias("codec"), "*")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 @query
 def decode_avro(spark, sf_dir):
     decoded = L.decode_avro(logs.wire_log(spark, sf_dir), logs.schemas(spark), with_json=True)
