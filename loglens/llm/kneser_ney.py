@@ -17,6 +17,7 @@ ones for n-grams at a text's begin.
 from __future__ import annotations
 
 import contextlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,24 +32,46 @@ from loglens.llm.common import CACHE_WORDS, as_batch, bytes_of, chunks, fresh, l
 #: Words hold no space, so these are no words.
 BEGIN, END = b" begin", b" end"
 #: Keys that a task combines at once, and tokens behind a part of an order.
-FLUSH, PART_TOKENS, STRETCH = 1 << 21, 1 << 21, 2 << 20
-#: Files of an order that a process keeps mapped.
-OPEN = 512
+FLUSH, PART_TOKENS, STRETCH = 1 << 21, 1 << 22, 2 << 20
+#: Files of an order that a process keeps mapped, their names, and bytes of their tables.
+OPEN, COUNTED, BELOW, HEAD = 4096, "counted", "below", 1024
 LARGEST, LOW = 1 << 32, np.uint64(0xFFFFFFFF)
 SCORED = "n_tokens long, n_known long, base_score double, score double"
 
 
-def save_counts(path: str, values: np.ndarray) -> None:
+def small_counts(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
     """Small counts as bytes, 255 standing for those that are listed apart."""
     large = np.flatnonzero(values >= 255)
-    save_array(f"{path}.npy", np.minimum(values, 255).astype(np.uint8))
-    save_array(f"{path}-at.npy", large)
-    save_array(f"{path}-large.npy", values[large].astype(np.uint64))
+    return {name: np.minimum(values, 255).astype(np.uint8), f"{name}-at": large, f"{name}-large": values[large].astype(np.uint64)}
+
+
+def save_together(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays one behind the other in one file, whole or not at all; a table of names, kinds, places and sizes comes first."""
+    table, at = [], HEAD
+    for name, x in arrays.items():
+        table.append([name, x.dtype.str, at, len(x)])
+        at += -(-x.nbytes // 8) * 8
+    out = np.zeros(at, np.uint8)
+    head = json.dumps(table).encode()
+    out[: len(head)] = np.frombuffer(head, np.uint8)
+    for (_, _, start, _), x in zip(table, arrays.values()):
+        out[start : start + x.nbytes] = np.ascontiguousarray(x).view(np.uint8)
+    save_array(path, out)
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of such a file, mapped into memory."""
+    raw = np.load(path, mmap_mode="r")
+    table = json.loads(bytes(raw[:HEAD]).rstrip(b"\0"))
+    return {name: raw[at : at + n * np.dtype(kind).itemsize].view(kind) for name, kind, at, n in table}
 
 
 @dataclass
 class Order:
-    """The n-grams of one length: a folder with a file of each array for each part, parts' first keys and sizes."""
+    """The n-grams of one length: a folder with two files for each part, parts' first keys and sizes.
+
+    One file has the keys and raw counts, the other one what the order above made of it.
+    """
 
     folder: str
     bounds: np.ndarray
@@ -66,17 +89,18 @@ class Order:
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def path(self, name: str, part: int) -> str:
-        return f"{self.folder}/{part}/{name}"
+    def path(self, file: str, part: int) -> str:
+        return f"{self.folder}/{part}/{file}.npy"
 
     def array(self, name: str, part: int) -> np.ndarray:
-        """A mapped file. At most OPEN of them stay open; those that others still use are closed by their last user."""
-        found = self._open.get((name, part))
+        """A mapped array. At most OPEN files stay open; those that others still use are closed by their last user."""
+        file = COUNTED if name.split("-")[0] in ("keys", "raw") else BELOW
+        found = self._open.get((file, part))
         if found is None:
             if len(self._open) >= OPEN:
                 self._open.clear()
-            self._open[name, part] = found = np.load(self.path(f"{name}.npy", part), mmap_mode="r")
-        return found
+            self._open[file, part] = found = mapped(self.path(file, part))
+        return found[name]
 
     def part_counts(self, name: str, part: int, at: np.ndarray | None = None) -> np.ndarray:
         out = (self.array(name, part)[:] if at is None else self.array(name, part)[at]).astype(np.int64)
@@ -295,8 +319,7 @@ def count_order(docs: DataFrame, orders: list[Order], bounds: np.ndarray, per_pa
         part = group.column("part")[0].as_py()
         own = [_unpacked(*(group.column(c)[i].as_py() for c in ("n", "step", "low", "counts"))) for i in range(group.num_rows)]
         keys, counts = _merged([k for k, _ in own], [c for _, c in own])
-        save_array(f"{path}/{part}/keys.npy", keys)
-        save_counts(f"{path}/{part}/raw", counts)
+        save_together(f"{path}/{part}/{COUNTED}.npy", {"keys": keys} | small_counts("raw", counts))
         # Cuts of the order above: where the counts so far pass equal shares, as a place in the array in 65536ths.
         so_far = np.cumsum(counts)
         n = int(4 * so_far[-1] / per_part) + 1
@@ -379,9 +402,8 @@ def _below(orders: list[Order], k: int, name: str, d: np.ndarray, spark) -> list
             spare[at] += s
         if k > 2:  # n-grams that nothing precedes stand at a text's begin
             found = np.where(found == 0, below.part_counts("raw", q), found)
-        save_counts(below.path("adjusted", q), found)
-        save_counts(below.path("total", q), total)
-        save_array(below.path("backoff.npy", q), (spare / np.maximum(total, 1)).astype(np.float32))
+        backoff = (spare / np.maximum(total, 1)).astype(np.float32)
+        save_together(below.path(BELOW, q), small_counts("adjusted", found) | small_counts("total", total) | {"backoff": backoff})
         return _meta(q, size, found, [])
 
     parts = [(p,) for p in range(len(order.sizes)) if order.sizes[p]]

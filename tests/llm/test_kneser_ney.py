@@ -123,3 +123,27 @@ def test_the_query_fits_three_orders(spark, monkeypatch):
     monkeypatch.setattr(K, "learn", lambda *a, **b: made.append(learn(*a, **b)) or made[-1])
     queries.REGISTRY["op1_kneser_ney"](spark, "/root/testdata/sf0.001").count()
     assert len(made[0].orders) >= 3 and made[0].orders[-1].sizes.sum() > 0
+
+
+def test_many_parts_with_few_open_files(spark, monkeypatch):
+    """Parts that don't all stay open give the same scores, and a process holds no more files than it may."""
+    import os
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    scores = []
+    for parts, most in ((4, 4096), (60, 7)):
+        monkeypatch.setattr(K, "OPEN", most)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            model = K.learn(docs, 3)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        before = len(os.listdir("/proc/self/fd"))
+        ids = K.WordIds(model.orders[0])
+        tokens, bound = K.tokens_of([t.encode() for t in texts])
+        scores.append(model.log10(ids.of(tokens), bound))
+        assert len(os.listdir("/proc/self/fd")) - before <= 3 * most + 3
+        assert all(len(o._open) <= most for o in model.orders)
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
