@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 import uuid
@@ -21,9 +20,11 @@ CACHE_WORDS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one of a local session without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -63,16 +64,6 @@ def save_array(path: str, values: np.ndarray) -> None:
     os.replace(part, path)
 
 
-@contextlib.contextmanager
-def dropped(*frames: DataFrame):
-    """Releases what was persisted."""
-    try:
-        yield
-    finally:
-        for df in frames:
-            df.unpersist()
-
-
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -123,10 +114,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_type(*pairs: str) -> str:
-    return ", ".join(pairs)
-
-
 def as_batch(fields: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(fields.values()), list(fields))
 
