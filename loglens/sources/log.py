@@ -192,13 +192,20 @@ def follow_log(
     return select_partition(_files(spark.readStream, format, source, options), selector)
 
 
-def land_log(log: DataFrame, path: str, mode: str = "errorifexists", slice_rows: int = SLICE_ROWS, **options: str) -> None:
-    """Write a log so that later reads prune: by directory, then by offset statistics.
+def land_log(
+    log: DataFrame, path: str, mode: str = "errorifexists", slice_rows: int = SLICE_ROWS, key_filter: bool = True, **options: str
+) -> None:
+    """Write a log so that later reads prune: by directory, then by offset statistics, then by key.
 
     A partition is cut into slices of offsets, so a hot one is written by many
-    tasks, and every file holds one sorted range of offsets. Options are the
-    writer's, such as ``compression``.
+    tasks, and every file holds one sorted range of offsets. With ``key_filter``
+    each row group says which keys it may hold (a Bloom filter, sized by the keys
+    it has, 1 MB at most), as least and greatest key say nothing where keys are mixed;
+    ``scan_key`` without ``verify`` reads only those that may hold its key.
+    Options are the writer's, such as ``compression``.
     """
+    if key_filter:
+        options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"} | options
     slices = F.floor(F.col("offset") / slice_rows)
     (
         as_log(log)

@@ -458,6 +458,26 @@ def test_bounds_prune_a_hot_partition(spark, tmp_path, partitions):
     assert scanned(got) < 20_000
 
 
+def test_a_key_is_sought_only_where_it_may_be(spark, tmp_path):
+    """Keys are mixed over all row groups, too many for dictionaries; one key is in a single slice."""
+    key = "CASE WHEN id = 70007 THEN 'key-5' ELSE concat('key-', md5(CAST(id AS STRING))) END"
+    columns = [f"CAST({key} AS BINARY) AS key", "CAST('x' AS BINARY) AS value", "timestamp_micros(id) AS timestamp"]
+    rows = spark.range(500_000).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", *columns)
+    read = {}
+    for key_filter in (True, False):
+        path = str(tmp_path / f"log-{key_filter}")
+        L.land_log(rows, path, slice_rows=100_000, key_filter=key_filter)
+        found = L.scan_key(L.read_log(spark, path), "t", "key-5", n_partitions=1, verify=False)
+        absent = L.scan_key(L.read_log(spark, path), "t", "key-6", n_partitions=1, verify=False)
+        read[key_filter] = scanned(found), scanned(absent)
+        assert [r.offset for r in found.collect()] == [70007]
+        assert absent.isEmpty()
+        checked = L.scan_key(L.read_log(spark, path), "t", "key-5", n_partitions=1)
+        assert scanned(checked) == 500_000  # a look at other keys has to read them
+    assert read[False] == (500_000, 500_000)
+    assert read[True][0] < 500_000 and read[True][1] == 0  # a file holds the slices that met in one task
+
+
 def test_a_landed_log_reads_like_any_other(spark, tmp_path, log):
     df = log([("007", 0, 1, 5, "a", "b"), ("t", 1, 2, None, None, "c")])
     L.land_log(df, str(tmp_path / "landed"))

@@ -28,6 +28,8 @@ ORDER_PARTITIONS = 4
 LANG_PARTITIONS = 4
 NUMBERING_ROWS = 1_000_000
 INDEXED_ROWS = 1000
+# Fixed value: JSON that is nested this deep counts as text.
+DEEP = 128
 
 # Fixed values of the framed log.
 EVENT_SCHEMA = (
@@ -206,6 +208,38 @@ def documents_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event after the other as nested JSON with numbers of all sizes, as JSON that breaks off or is too deep, framed, malformed."""
+    kind, n = F.col("event_id") % 10, F.col("user_id").cast("string")
+    deep = F.concat(F.repeat(F.lit("["), DEEP), n, F.repeat(F.lit("]"), DEEP))
+    nested = F.concat(
+        F.lit('{"z": [1.0, 1e20, -0, {"b": null, "a": "q\\"\\\\\\u00e9\\n'), n, F.lit('"}], "a": {"y": '), F.repeat(F.lit("1234567890"), 4), F.lit(', "x": '), n, F.lit("}}")
+    )
+    text = (
+        F.when(kind == 0, nested)
+        .when(kind == 1, F.concat(nested, F.lit("}")))
+        .when(kind == 2, F.concat(F.lit("["), n, F.lit(".50, 25e-7, 0.00001, 12345678901234567890]")))
+        .when(kind == 3, deep)
+        .when(kind == 4, F.concat(F.lit(' "'), F.col("event_type"), F.lit('" ')))
+        .when(kind == 5, F.concat(F.col("event_type"), F.lit(" é "), n))
+    )
+    raw = (
+        F.when(kind == 6, F.concat(F.unhex(F.lit("0000000007")), _utf8(n)))
+        .when(kind == 7, F.concat(F.unhex(F.lit("0305" + uuid.UUID(GLUE_ID).hex)), _utf8(n)))
+        .when(kind == 8, F.concat(_utf8(n), F.unhex(F.lit("C3"))))
+        .otherwise(_utf8(text))
+    )
+    return table(spark, sf_dir, "events").select(
+        F.lit("odd").alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.lit(None).cast("timestamp").alias("timestamp"),
+        F.lit(-1).alias("timestampType"),
+        F.when(kind != 9, F.concat(F.unhex(F.lit("FF")), _utf8(n))).alias("key"),
+        raw.alias("value"),
+    )
+
+
 def _zigzag(n: int) -> bytes:
     n, out = (n << 1) ^ (n >> 63), bytearray()
     while n > 0x7F:

@@ -225,6 +225,7 @@ def _own() -> dict[str, str]:
         "kafka_partition_native": f"""WITH keyed AS (SELECT event_id, event_type || '+' || event_id AS key FROM events),
             {_partitioned("placed", "keyed", "key", logs.EVENT_PARTITIONS)} SELECT event_id, key, partition FROM placed""",
         "scan_key": f"WITH {EVENTS_LOG} " + _records("events_log", f"WHERE key = '{Q.KEY}'"),
+        "scan_key_trusted": f"WITH {EVENTS_LOG} " + _records("events_log", f"WHERE key IN ('{Q.KEY}', '{Q.ABSENT_KEY}')"),
         "scan_key_in_partition": f"WITH {ORDERS_LOG} " + _records("orders_log", f"WHERE key = '{Q.KEY}'"),
         "partitioner_audit": f"""WITH {ORDERS_LOG}, renamed AS (SELECT * EXCLUDE (partition), partition AS seen
               FROM orders_log), {_partitioned("placed", "renamed", "key", logs.ORDER_PARTITIONS)}
@@ -239,6 +240,19 @@ def _own() -> dict[str, str]:
             {_kind("value")} AS value_kind FROM all_logs""",
         "json_render": f"""SELECT o_orderkey AS "offset", {ORDER_TEXT} AS plain,
             '{{ "priority": "' || o_orderpriority || '", "status": "' || o_orderstatus || '" }}' AS indented FROM orders""",
+        "render_odd_payloads": r"""WITH odd AS (SELECT event_id, event_type, user_id AS n, event_id % 10 AS k,
+              '{"z": [1.0, 1e20, -0, {"b": null, "a": "q\"\\\u00e9\n' || user_id || '"}], "a": {"y": ' || repeat('1234567890', 4)
+              || ', "x": ' || user_id || '}}' AS nested FROM events)
+            SELECT event_id AS "offset", CASE WHEN k = 9 THEN 'null' ELSE 'unknown' END AS key_kind,
+              CASE WHEN k IN (0, 2, 4) THEN 'json' WHEN k IN (1, 3, 5) THEN 'string' WHEN k IN (6, 7) THEN 'avro'
+                WHEN k = 8 THEN 'unknown' ELSE 'null' END AS value_kind,
+              CASE k WHEN 0 THEN '{"a":{"x":' || n || ',"y":1.2345678901234568e39},"z":[1.0,1e20,-0.0,{"a":"q"\é' || chr(10) || n || '","b":null}]}'
+                WHEN 1 THEN nested || '}'
+                WHEN 2 THEN '[' || n || '.5,2.5e-6,0.00001,12345678901234567890]'
+                WHEN 3 THEN repeat('[', 128) || n || repeat(']', 128)
+                WHEN 4 THEN '"' || event_type || '"'
+                WHEN 5 THEN event_type || ' é ' || n END AS value_text
+            FROM odd""",
         "text_filter": f"""WITH {EVENTS_LOG}, shown AS (SELECT *, {EVENT_TEXT} AS text FROM events_log)
             SELECT partition, "offset", key AS key_text, {_kind("value")} AS value_kind, text AS value_text FROM shown
             WHERE contains(text, '{Q.NEEDLE}') OR contains(coalesce(value, ''), '{Q.NEEDLE}')""",

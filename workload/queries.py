@@ -16,9 +16,12 @@ NOW = "2024-02-01 12:00:00"
 AGE_START = "2024-01-15 12:00:00"
 EVENTS = "events"
 TAIL, CONSUMED, CONSUMED_MANY, IDLE, SUGGESTED = 400, 500, 6000, 1800, 3
+ABSENT_KEY = "7-"
 KEY, NEEDLE, WORD = "7", '"k":5', "the "
 MIXED_TOPICS = 40
 SNAPSHOT = 100
+# Offsets at which a growing log ends for a while.
+GROWN = (20, 50)
 CODECS = ("none", "gzip", "snappy", "lz4", "zstd")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,6 +251,14 @@ def scan_key(spark, sf_dir):
     return _records(L.scan_key(logs.events_log(spark, sf_dir), EVENTS, KEY))
 
 
+@query
+def scan_key_trusted(spark, sf_dir):
+    """A key by the filters of its partition's row groups, and one that no record has."""
+    log = logs.events_log(spark, sf_dir)
+    both = [L.scan_key(log, EVENTS, k, n_partitions=logs.EVENT_PARTITIONS, verify=False) for k in (KEY, ABSENT_KEY)]
+    return _records(both[0].unionByName(both[1]))
+
+
 @query
 def scan_key_in_partition(spark, sf_dir):
     return _records(L.scan_key(logs.orders_log(spark, sf_dir), "orders", KEY, partition=int(KEY) % logs.ORDER_PARTITIONS))
@@ -284,6 +295,13 @@ def json_render(spark, sf_dir):
     )
 
 
+@query
+def render_odd_payloads(spark, sf_dir):
+    """Kind and text of payloads of all kinds: nested and broken JSON, numbers of all sizes, framed and malformed bytes."""
+    shown = L.with_payloads(logs.odd_log(spark, sf_dir))
+    return shown.select("offset", "key_kind", "value_kind", F.when(F.col("value_kind").isin("json", "string"), F.col("value_text")).alias("value_text"))
+
+
 @query
 def text_filter(spark, sf_dir):
     found = L.text_filter(logs.events_log(spark, sf_dir), NEEDLE)
@@ -487,11 +505,6 @@ def _followed(spark: SparkSession, run: str, make: Callable) -> DataFrame:
     return spark.read.parquet(*dict.fromkeys(parts))
 
 
-def _follow(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
-    stream, run = _stream(spark, sf_dir)
-    return _followed(spark, run, lambda emit, checkpoint: L.Follow(stream, emit, checkpoint, **bounds))
-
-
 # One landed file, so one partition, per micro-batch.
 SINGLE = {"maxFilesPerTrigger": "1"}
 
@@ -569,5 +582,18 @@ def follow_audit(spark, sf_dir):
 
 @query
 def follow_limit(spark, sf_dir):
-    """The first records of each micro-batch, until there are enough; one batch, as files hold one partition each."""
-    return _records(_follow(spark, sf_dir, max_records=CONSUMED))
+    """The first records of a log that grows while it is followed, until there are enough; the query restarts in between."""
+    log = logs.events_log(spark, sf_dir)
+    run = logs.workspace(spark, sf_dir, f"follow-{uuid.uuid4().hex}")
+    parts: list[str] = []
+
+    def emit(df: DataFrame, batch_id: int) -> None:
+        parts.append(f"{run}/out/batch={batch_id}")
+        df.write.mode("overwrite").parquet(parts[-1])
+
+    for first, end in zip((0, *GROWN), (*GROWN, None)):
+        part = log.where(F.col("offset") >= first)
+        L.land_log(part if end is None else part.where(F.col("offset") < end), f"{run}/log", mode="append")
+        stream = L.follow_log(spark, f"{run}/log", EVENTS)
+        L.Follow(stream, emit, f"{run}/checkpoint", max_records=CONSUMED).start(availableNow=True).awaitTermination()
+    return _records(spark.read.parquet(*dict.fromkeys(parts)))
