@@ -6,16 +6,19 @@ entities get equal surrogates in all documents (coreference), different ones of
 (distinctness), separators, case, script and length stay (format), and no table of entities is needed. Check digits are
 made to fit.
 
-Names behind a title get a given name of the title's gender and script and a made-up surname. These are drawn, not
+Addresses stay in their class (private, loopback, link-local, multicast), numbers in their country.
+
+Names are found behind a title or a label, and next to one of the given names below. They get a given name of the title's
+or name's gender and script and a made-up surname. These are drawn, not
 permuted, so they are checked within the document: a surrogate that another name has taken, or that is itself
-an original there, is drawn anew. Other mentions of the surname in the document follow.
+an original there, is drawn anew. Other mentions of the surname in the document follow, with the given names beside it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,9 +64,21 @@ SYLLABLES = {
     "greek": ("βγδζκλμνπρστ", "αειοη"),
 }
 
+# Labels of names, calling codes of two digits (1 and 7 have one digit, all others three).
+NAME_LABELS = ("Name", "name", "Author", "author", "Signed", "signed", "Attn")
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: IPv4 networks within which an address stays: first bits of each, and how many. Any other address is public and stays so.
+NETWORKS = tuple((int(first) << 24 | int(second) << 16, bits) for first, second, bits in ((0, 0, 8), (10, 0, 8), (100, 64, 10), (127, 0, 8), (169, 254, 16), (172, 16, 12), (192, 168, 16), (224, 0, 4), (240, 0, 4)))
+#: The same of IPv6: link-local, unique local, multicast.
+NETWORKS6 = re.compile(r"fe[89ab][0-9a-f]|f[cdf](?=[0-9a-f]{2})")
+
 _title = "|".join(sorted(GENDER, key=len, reverse=True))
 _upper = "A-ZÀ-ÖØ-ÞΆΈ-ΏΑ-ΫЀ-Я"
-_name = rf"[{_upper}]\w+(?:[-'’][{_upper}]\w+)?"
+_name = rf"(?:[{_upper}]['’])?[{_upper}]\w+(?:[-'’][{_upper}]\w+)*"
+GENDER_OF = {name: gender for names in GIVEN.values() for gender, own in names.items() for name in own}
+_given = "|".join(sorted(GENDER_OF, key=len, reverse=True))
+#: What may stand before a name, and a name without a title: given names first, or last behind a comma.
+LEAD = re.compile(rf"(?:{_title})\b\.? |(?:{'|'.join(NAME_LABELS)})\s*[:=]\s*")
 #: In this order: an earlier kind wins where several begin at the same place.
 KINDS = {
     "email": r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}",
@@ -73,20 +88,23 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ipv6": r"(?i:(?<![\w:])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|[0-9a-f]{3,4}(?::[0-9a-f]{1,4}){0,6}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?)(?![\w:]))",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]\d)"
+    rf"|(?<![\w(])\(0\d{{1,4}}\)(?:[ -]?\d{{2,5}}){{2,4}}(?!\w)|(?i:(?<=\b(?:tel|fax))|(?<=\bcell)|(?<=\bcall)|(?<=\bphone)|(?<=\bmobile))(?:\.?:? ?)0\d{{6,13}}(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w])",
     "hash": r"(?i:(?<!\w)[0-9a-f]{32,}(?!\w))",
-    "name": rf"\b(?:{_title})\b\.? {_name}(?: {_name}){{0,2}}",
+    "name": rf"\b(?:{_title})\b\.? {_name}(?: {_name}){{0,2}}|\b(?:{'|'.join(NAME_LABELS)})\s*[:=]\s*{_name}(?: {_name}){{1,2}}"
+    rf"|\b(?:{_given}) {_name}\b|(?:(?m:^)|(?<=[;(|] )|(?<=[;(|])){_name}, (?:{_given})(?=\s*(?:[;)|\n]|\Z))",
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
-#: No entity is without a digit, an @, a title, one of these labels or, in hexadecimal without digits, such a run.
+#: No entity is without a digit, an @, a title, a known given name, one of these labels or, in hexadecimal without digits, such a run.
 SIGN = re.compile(r"[\d@]|::|(?i:[a-f]{32}|(?:[a-f]{1,4}:){7})")
-LABELS = ("key", "secret", "token", "passw", "pwd", "auth", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyj")
+LABELS = ("key", "secret", "token", "passw", "pwd", "auth", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyj", *dict.fromkeys(x.lower() for x in NAME_LABELS))
+WORDS = (*GENDER, *GENDER_OF)
 
 
 def may_hold(text: str) -> bool:
     """Whether the text has a sign without which there is no entity in it."""
-    if SIGN.search(text) or any(t in text for t in GENDER):
+    if SIGN.search(text) or any(t in text for t in WORDS):
         return True
     low = text.lower()
     return any(x in low for x in LABELS)
@@ -163,20 +181,46 @@ def _card(text: str, p: Permutation) -> str:
     return _refill(text, body + str((luhn(body) + int(d[-1]) - luhn(d[:-1])) % 10))
 
 
+def _network(x: int) -> tuple[int, int] | None:
+    return next(((first, bits) for first, bits in NETWORKS if x >> (32 - bits) == first >> (32 - bits)), None)
+
+
 def _ip(text: str, p: Permutation) -> str:
+    """Another address of the same network, or another public one."""
     x = 0
     for part in text.split("."):
         x = x << 8 | int(part)
-    y = p(x, 1 << 32, b"ip")
+    if own := _network(x):
+        first, bits = own
+        n = 1 << (32 - bits)
+        y = first | p(x & (n - 1), n, b"ip%d" % first)
+    else:
+        y = p(x, 1 << 32, b"ip")
+        while _network(y):
+            y = p(y, 1 << 32, b"ip")
     return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _ipv6(text: str, p: Permutation) -> str:
+    own = NETWORKS6.match(text.lower())
+    keep = own.end() if own else 0
+    made = permuted(text[keep:], p, f"ipv6{text[:keep].lower()}", HEX)
+    while not own and NETWORKS6.match(made.lower()):
+        made = permuted(made, p, "ipv6", HEX)
+    return text[:keep] + made
+
+
 def _phone(text: str, p: Permutation) -> str:
-    """The country code stays."""
+    """The country code stays, or the 0 before a number of the country itself; other numbers don't get one."""
     d = _digits(text)
-    code = re.match(r"\+(\d{1,3})[ .(-]", text)
-    keep = len(code[1]) if code else 1 if text[0] == "+" else 0
-    return _refill(text, d[:keep] + permuted(d[keep:], p, "phone"))
+    if text[0] == "+":
+        keep = 1 if d[0] in "17" else 2 if d[:2] in TWO_DIGITS else 3
+    else:
+        keep = int(d[0] == "0")
+    made = permuted(d[keep:], p, "phone")
+    while not keep and made[0] == "0":
+        made = permuted(made, p, "phone")
+    return _refill(text, d[:keep] + made)
 
 
 def _iban(text: str, p: Permutation) -> str:
@@ -218,6 +262,17 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
 
 
+def _parts(name: str) -> tuple[str, list[str], str, bool]:
+    """What stands before a name, its given names, its surname, and whether the surname comes first."""
+    lead = LEAD.match(name)
+    head = lead[0] if lead else ""
+    last, comma, first = name[len(head) :].partition(", ")
+    if comma:
+        return head, [first], last, True
+    *first, last = last.split(" ")
+    return head, first, last, False
+
+
 class Surrogates:
     """Replaces the entities of texts under one key."""
 
@@ -227,7 +282,7 @@ class Surrogates:
         "labelled": _labelled,
         "iban": _iban,
         "ssn": lambda t, p: permuted(t, p, "ssn"),
-        "ipv6": lambda t, p: permuted(t, p, "ipv6", HEX),
+        "ipv6": _ipv6,
         "ip": _ip,
         "phone": _phone,
         "card": _card,
@@ -257,20 +312,24 @@ class Surrogates:
 
     def names(self, found: list[str]) -> dict[str, str]:
         """Surrogates of a document's names (title and all), and of its surnames alone: distinct, and none an original."""
-        split = [re.fullmatch(rf"({_title})(\.?) (.*)", x) for x in dict.fromkeys(found)]
-        surnames = {m[3].split(" ")[-1] for m in split}
+        full, surnames, _ = self.people(found)
+        return full | surnames
+
+    def people(self, found: list[str]) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+        """The same for names as they were found, surnames and given names."""
+        split = {x: _parts(x) for x in found}
         given: dict[str, str | None] = {}
-        for m in split:
-            for w in m[3].split(" ")[:-1]:
-                given[w] = given.get(w) or GENDER[m[1]]
-        originals, taken, out = {x.lower() for x in (*surnames, *given)}, set(), {}
+        for lead, first, _, _ in split.values():
+            for w in first:
+                given[w] = given.get(w) or GENDER.get(lead.rstrip(". ")) or GENDER_OF.get(w)
+        surnames = {last for _, _, last, _ in split.values()}
+        originals, taken, new_last, new_first = {x.lower() for x in (*surnames, *given)}, set(), {}, {}
         for w in sorted(surnames):
             attempt = 0
             while (s := self._surname(w, attempt)).lower() in taken | originals:
                 attempt += 1
             taken.add(s.lower())
-            out[w] = s
-        first: dict[str, str] = {}
+            new_last[w] = s
         for w in sorted(given):
             # Given names are few: one that is taken is drawn anew while any is free, then made of syllables.
             for attempt in range(200):
@@ -282,11 +341,12 @@ class Surrogates:
                 while (s := self._surname(f"{w} ", attempt)).lower() in taken | originals:
                     attempt += 1
             taken.add(s.lower())
-            first[w] = s
-        for m in split:
-            *g, last = m[3].split(" ")
-            out[m[0]] = " ".join([f"{m[1]}{m[2]}", *(first[w] for w in g), out[last]])
-        return out
+            new_first[w] = s
+        full = {}
+        for x, (lead, first, last, turned) in split.items():
+            own = [new_first[w] for w in first]
+            full[x] = lead + (f"{new_last[last]}, {own[0]}" if turned else " ".join([*own, new_last[last]]))
+        return full, new_last, new_first
 
     def __call__(self, text: str) -> tuple[str, list[str]]:
         """The text with surrogates, and the kinds of the entities found, in their order."""
@@ -296,13 +356,14 @@ class Surrogates:
         if not found:
             return text, []
         full = [m[0] for m in found if m.lastgroup == "name"]
-        names = self.names(full) if full else {}
+        names, surnames, given = self.people(full) if full else ({}, {}, {})
+        follow = self._follower(surnames, given)
         out, at = [], 0
         for m in found:
-            out.append(self._follow(text[at : m.start()], names))
+            out.append(follow(text[at : m.start()]))
             out.append(names[m[0]] if m.lastgroup == "name" else self.PLAIN[m.lastgroup](m[0], self.p))
             at = m.end()
-        out.append(self._follow(text[at:], names))
+        out.append(follow(text[at:]))
         return "".join(out), [m.lastgroup for m in found]
 
     @staticmethod
@@ -315,12 +376,24 @@ class Surrogates:
         return m.lastgroup != "phone" or 7 <= len(_digits(m[0])) <= 15
 
     @staticmethod
-    def _follow(text: str, names: dict[str, str]) -> str:
-        """Mentions of surnames outside full names."""
-        alone = [w for w in names if " " not in w and len(w) > 2]
+    def _follower(surnames: dict[str, str], given: dict[str, str]) -> Callable[[str], str]:
+        """Replaces mentions of surnames outside the names found, and given names beside them."""
+        alone = [w for w in surnames if len(w) > 2]
         if not alone:
-            return text
-        return re.sub(r"\b(?:" + "|".join(map(re.escape, sorted(alone, key=len, reverse=True))) + r")\b", lambda m: names[m[0]], text)
+            return lambda text: text
+
+        def one_of(words) -> str:
+            return "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+
+        last = one_of(alone)
+        first = one_of(given) or r"(?!)"
+        mention = re.compile(rf"\b((?:(?:{first}) )*)({last})\b(?:, ({first})\b)?")
+
+        def written(m: re.Match) -> str:
+            before = "".join(f"{given[w]} " for w in m[1].split())
+            return before + surnames[m[2]] + (f", {given[m[3]]}" if m[3] else "")
+
+        return lambda text: mention.sub(written, text)
 
 
 def with_surrogates(docs: DataFrame, key: bytes, counted: str | None = None) -> DataFrame:

@@ -306,6 +306,47 @@ def test_surrogates_leave_no_key_address_or_given_name():
     assert len({made[f"Mr {g} Stone"] for g in given}) == len(given)
 
 
+def test_addresses_stay_in_their_class_and_numbers_in_their_country():
+    import ipaddress
+
+    replace = surrogates.Surrogates(KEY)
+    seen = {}
+    for x in ["127.0.0.1", "10.1.2.3", "192.168.7.9", "172.20.0.1", "169.254.3.4", "224.0.0.251", "8.8.8.8", "1.1.1.1", "fe80::1", "fd12:3456::1", "ff02::fb", "2001:db8::17"]:
+        made, kinds = replace(f"from {x} on")
+        a, b = ipaddress.ip_address(x), ipaddress.ip_address(made.split()[1])
+        assert kinds and a != b and a.version == b.version
+        assert all(getattr(a, f) == getattr(b, f) for f in ("is_loopback", "is_link_local", "is_multicast")), (x, b)
+        assert any(a in net and b in net for net in map(ipaddress.ip_network, ("10.0.0.0/8", "192.168.0.0/16", "172.16.0.0/12"))) == any(
+            a in net for net in map(ipaddress.ip_network, ("10.0.0.0/8", "192.168.0.0/16", "172.16.0.0/12"))
+        )
+        seen[b] = x
+    p = surrogates.Permutation(KEY)
+    block = [f"192.168.{i}.{j}" for i in (0, 255) for j in range(256)] + [f"192.{167 + 2 * i}.0.{j}" for i in (0, 1) for j in range(256)]
+    assert len({surrogates._ip(x, p) for x in block}) == len(block)
+    for x, code in [("+4930123456", "+49"), ("+49 30 123456", "+49"), ("+15045552652", "+1"), ("+3531234567", "+353"), ("(030) 123 456", "(0"), ("tel: 0301234567", "tel: 0")]:
+        made, kinds = replace(x)
+        assert kinds == ["phone"] and made.startswith(code) and made != x and len(made) == len(x), (x, made)
+    numbers = [f"{a}{i:03d}-555-0{i:03d}" for a in ("", "+1 ") for i in range(1000)]
+    assert len({surrogates._phone(x, p) for x in numbers}) == len(numbers)
+    assert replace("on 03-04-2024 (0 of 12) ref 0301234567") == ("on 03-04-2024 (0 of 12) ref 0301234567", [])
+
+
+def test_names_without_titles_and_with_apostrophes():
+    replace = surrogates.Surrogates(KEY)
+    for text in ("Mr O’Neil spoke", "Mrs O'Neil-Stone spoke", "Anna Smith called", "Smith, Anna", "list: (Smith, Anna)", "Author: Ada Lovelace"):
+        made, kinds = replace(text)
+        assert kinds == ["name"] and not any(x in made for x in ("Neil", "Smith", "Anna", "Ada", "Lovelace", "Stone")), made
+        assert replace(text) == (made, kinds)
+    female, male = surrogates.GIVEN["latin"]["f"], surrogates.GIVEN["latin"]["m"]
+    assert replace("Anna Smith called")[0].split()[0] in female and replace("Dr Paul Smith called")[0].split()[1] in male
+    # The same person in another order, with and without a title, and by the surname alone.
+    made, _ = replace("Mrs Ada Smith met Anna Jones. Ada Smith left; Jones, Anna stayed, as Smith, Ada did not. Ada code, Smithy.")
+    m = re.fullmatch(r"Mrs (\w+) (\w+) met (\w+) (\w+)\. (\w+) (\w+) left; (\w+), (\w+) stayed, as (\w+), (\w+) did not\. Ada code, Smithy\.", made)
+    assert m[1] == m[5] == m[10] and m[2] == m[6] == m[9] and m[3] == m[8] and m[4] == m[7] and len({m[1], m[2], m[3], m[4]}) == 4
+    for clean in ("Yesterday, Anna went home.", "name = value, Author: unknown", "Berlin, Maria and Paul", "Mr. and Mrs. of old"):
+        assert replace(clean) == (clean, [])
+
+
 def test_surrogates_edges(spark):
     docs = edges(spark).withColumn("n_chars", F.length("text"))
     got = surrogates.with_surrogates(docs, KEY, counted="found")
