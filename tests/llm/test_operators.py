@@ -57,6 +57,15 @@ def test_components(spark, seed):
     assert got == {x: want[x] for x in linked}
 
 
+def test_components_of_a_hub(spark):
+    """A node with most links, smallest, largest or in between, and a chain behind it."""
+    for hub in (0, 2500, 9999):
+        links = spark.range(5000).where(f"id <> {hub}").selectExpr(f"{hub}L AS a", "id AS b").unionByName(spark.range(30).selectExpr("10000 + id AS a", "10001 + id AS b"))
+        links = links.unionByName(links).unionByName(spark.createDataFrame([(10030, 4999)], "a long, b long"))
+        got = components.components(links).groupBy("root").count().collect()
+        assert [tuple(r) for r in got] == [(0, 5031 + (hub == 9999))], hub
+
+
 def plain_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if not words:
