@@ -35,6 +35,8 @@ from loglens.llm.common import as_batch, bytes_of, mixed, written
 
 #: Keys that a task holds before it counts them, distinct words, rows that it sends at once, and words of a row of hashes.
 FLUSH, FLUSH_WORDS, SENT, ROW_WORDS = 1 << 19, 1 << 17, 1 << 15, 1 << 16
+#: Texts that a task copies out of a batch at once.
+TEXTS = 256
 #: Bits of a bitmap: eight for each hash, and at most so many (16 MB).
 LEAST_BITS, MOST_BITS = 13, 27
 #: Rows of the frontier's first step, in multiples of the limit, and how many times as many each further step takes.
@@ -75,6 +77,14 @@ class WordHashes(dict):
         return out
 
 
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(lang, text) of all rows; a batch isn't copied as a whole."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(a, TEXTS)
+            yield from zip(part.column("lang").to_pylist(), bytes_of(part.column("text")), strict=True)
+
+
 class Bitmap:
     """A set of hashes, and some others by mistake."""
 
@@ -93,35 +103,32 @@ class Bitmap:
         return (self.raw[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap(hashes: DataFrame) -> Bitmap:
-    """Of rows (h): made in blocks on executors; at most 2^MOST_BITS bits reach the driver."""
-    bits = min(max((8 * hashes.count()).bit_length(), LEAST_BITS), MOST_BITS)
+def placed(hashes: DataFrame, bits: int) -> DataFrame:
+    """(block, at): bits of a bitmap that rows (h), or (h1, h2) of pairs, set; one pass through Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            parts = [c.to_numpy().view(np.uint64) for c in batch.columns]
+            h = parts[0] if len(parts) == 1 else _joint(*parts)
+            at = np.unique(h >> np.uint64(64 - bits)).astype(np.int64)
             yield as_batch({"block": pa.array(at >> LEAST_BITS), "at": pa.array((at & (1 << LEAST_BITS) - 1).astype(np.int16))})
 
+    return hashes.mapInArrow(run, "block long, at short")
+
+
+def bitmap(hashes: DataFrame) -> Bitmap:
+    """Of rows (h), or (h1, h2) of pairs: made in blocks on executors; at most 2^MOST_BITS bits reach the driver."""
+    bits = min(max((8 * hashes.count()).bit_length(), LEAST_BITS), MOST_BITS)
+
     def merged(group: pa.Table) -> pa.Table:
         block = np.zeros(1 << LEAST_BITS, np.uint8)
         block[group.column("at").to_numpy()] = 1
         return pa.table({"block": group.column("block")[:1], "bits": pa.array([np.packbits(block, bitorder="little").tobytes()], pa.binary())})
 
-    dealt = hashes.mapInArrow(run, "block long, at short").distinct().groupBy("block")
+    dealt = placed(hashes, bits).distinct().groupBy("block")
     return Bitmap(bits, {r.block: bytes(r.bits) for r in dealt.applyInArrow(merged, "block long, bits binary").collect()})
 
 
-def joint_hashes(pairs: DataFrame) -> DataFrame:
-    """(h) of rows (h1, h2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield as_batch({"h": pa.array(_joint(a, b).view(np.int64))})
-
-    return pairs.mapInArrow(run, "h long")
-
-
 def counted_words(texts: DataFrame, seed: int) -> DataFrame:
     """(lang, w, h, n) of all words."""
 
@@ -141,13 +148,12 @@ def counted_words(texts: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         hashes: dict[str, WordHashes] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), bytes_of(batch.column("text")), strict=True):
-                own = counts.setdefault(lang, Counter())
-                own.update(pieces(text))
-                own.pop(MARK, None)
-                if len(own) >= FLUSH_WORDS:
-                    yield from emitted(lang, hashes.setdefault(lang, WordHashes(lang, seed)), counts.pop(lang))
+        for lang, text in texts_of(batches):
+            own = counts.setdefault(lang, Counter())
+            own.update(pieces(text))
+            own.pop(MARK, None)
+            if len(own) >= FLUSH_WORDS:
+                yield from emitted(lang, hashes.setdefault(lang, WordHashes(lang, seed)), counts.pop(lang))
         for lang, own in counts.items():
             yield from emitted(lang, hashes.setdefault(lang, WordHashes(lang, seed)), own)
 
@@ -167,15 +173,14 @@ def hashed_texts(texts: DataFrame, frequent: Bitmap, seed: int) -> DataFrame:
         hashes: dict[str, WordHashes] = {}
         held: dict[str, list[np.ndarray]] = {}
         size: Counter = Counter()
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), bytes_of(batch.column("text")), strict=True):
-                own = hashes.setdefault(lang, WordHashes(lang, seed))
-                words = [MARK, *pieces(text)]
-                held.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, words), np.uint64, len(words)))
-                size[lang] += len(words)
-                if size[lang] >= ROW_WORDS:
-                    yield packed(lang, held.pop(lang))
-                    size[lang] = 0
+        for lang, text in texts_of(batches):
+            own = hashes.setdefault(lang, WordHashes(lang, seed))
+            words = [MARK, *pieces(text)]
+            held.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, words), np.uint64, len(words)))
+            size[lang] += len(words)
+            if size[lang] >= ROW_WORDS:
+                yield packed(lang, held.pop(lang))
+                size[lang] = 0
         for lang, own_rows in held.items():
             yield packed(lang, own_rows)
 
@@ -253,8 +258,8 @@ def counted(rows: DataFrame, grams: _Hashes | _Pairs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for n, data in zip(batch.column("size").to_pylist(), batch.column("words").to_pylist()):
-                h = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint64)
+            for n, data in zip(batch.column("size").to_pylist(), batch.column("words")):  # rows are large: no copy of a batch
+                h = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=8 * n, codec="zstd"), np.uint64)
                 held.append(grams.keys(h))
                 size += len(held[-1][0])
                 if size >= FLUSH:
@@ -264,7 +269,9 @@ def counted(rows: DataFrame, grams: _Hashes | _Pairs) -> DataFrame:
             yield from emitted(held)
 
     kind = ", ".join(f"{k} long" for k in (*names, "n"))
-    return rows.select("size", "words").mapInArrow(run, kind).groupBy(*names).agg(F.sum("n").alias("n"))
+    # Tasks have counted already, and most keys are rare: no second table of them before the shuffle.
+    dealt = rows.select("size", "words").mapInArrow(run, kind).repartition(*names)
+    return dealt.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def with_counts(df: DataFrame, counts: DataFrame, keys: dict[str, str], name: str, total: int, *more: str) -> DataFrame:
@@ -374,7 +381,7 @@ def collocations(docs: DataFrame, limit: int = 2000, least: int = 10, share: int
         front = own.join(F.broadcast(floor), "lang").where(F.greatest("begin_bound", "end_bound", "score") >= F.col("least"))
         front = written(front, "frontier")
         begins, ends, staked = (
-            bitmap(joint_hashes(front.where(F.col(c) >= F.col("least")).select("h1", "h2"))) for c in ("begin_bound", "end_bound", "score")
+            bitmap(front.where(F.col(c) >= F.col("least")).select("h1", "h2")) for c in ("begin_bound", "end_bound", "score")
         )
         grown = counted(rows.where(F.col("lang").isin(open_)), _Triples(known_pairs, begins, ends, staked)).where(F.col("n") >= least)
         triples = _scored_triples(written(grown, "triples"), counts, words, total)

@@ -137,3 +137,20 @@ def test_query_equals_its_sql(spark, tmp_path):
     want = con.sql(ORACLES["op11_collocations"]).fetchall()
     got = REGISTRY["op11_collocations"](spark, folder)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 10
+
+
+def test_bitmaps_of_pairs_take_one_python_worker(spark, capsys):
+    rows = [(a, b) for a in range(1, 40) for b in (5, -7, 1 << 60)]
+    pairs = spark.createDataFrame(rows, "h1 long, h2 long")
+    C.placed(pairs, 20).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    joint = C._joint(*(C.np.array(x, C.np.int64).view(C.np.uint64) for x in zip(*rows)))
+    single = spark.createDataFrame([(int(x),) for x in joint.view(C.np.int64)], "h long")
+    assert (C.bitmap(pairs).raw == C.bitmap(single).raw).all() and C.bitmap(pairs).of(joint).all()
+
+
+def test_no_table_of_counted_keys_before_the_shuffle(spark, capsys):
+    rows = spark.createDataFrame([], "lang string, size long, words binary")
+    C.counted(rows, C._Hashes()).explain()
+    shown = capsys.readouterr().out
+    assert shown.index("HashAggregate") < shown.index("Exchange") < shown.index("MapInArrow") and "HashAggregate" not in shown[shown.index("Exchange") :]
