@@ -171,15 +171,13 @@ class Search:
         return ~reduce(or_, (m for c, m in self.may.items() if c != column), F.lit(False))
 
 
-def _with_avro(log: DataFrame, registry: Registry, columns: tuple[str, ...], indent: bool, failfast: bool, search: Search | None) -> DataFrame:
-    """Adds _avro_{column}, all by one pass through Python."""
-    framed = registry.with_heads(log, columns)
+def _decoded(registry: Registry, columns: tuple[str, ...], indent: bool, failfast: bool, search: Search | None) -> dict[str, Column]:
+    """_decoded_{column} of a log with heads."""
     decoded = {}
     for c in columns:
         arguments = registry.arguments(c, None if search is None else search.only_in(c))
         decoded[f"_decoded_{c}"] = decode_frame(*arguments, indent, failfast, needles=search and search.needles)
-    framed = with_computed(framed.withColumns(decoded), **{f"_avro_{c}": F.col(f"_decoded_{c}") for c in columns})
-    return framed.select(*log.columns, *(f"_avro_{c}" for c in columns))
+    return decoded
 
 
 def with_payloads(
@@ -202,13 +200,16 @@ def with_payloads(
 def _rendered(log: DataFrame, registry: Registry | None, columns: tuple[str, ...], indent: bool, mode: str, search: Search | None = None) -> DataFrame:
     """With a search, bodies that rule a record out have no text."""
     kept = log.columns
-    if registry is not None:
-        log = _with_avro(log, registry, columns, indent, _checked(mode), search)
     for c in columns:
         log = with_json_text(log, F.col(c), f"_{c}_json")
-    # All payloads with numbers that need it go through Python together.
-    numbers = {f"_numbers_{c}": own_numbers(F.col(c).cast("string"), F.col(f"_{c}_json")) for c in columns}
-    log = with_computed(log.withColumns(numbers), **{f"_shown_{c}": F.coalesce(F.col(f"_numbers_{c}"), F.col(f"_{c}_json")) for c in columns})
+    # Framed payloads and numbers that need it go through Python together: one worker for a task, not one for each.
+    python = {f"_numbers_{c}": own_numbers(F.col(c).cast("string"), F.col(f"_{c}_json")) for c in columns}
+    read = {f"_shown_{c}": F.coalesce(F.col(f"_numbers_{c}"), F.col(f"_{c}_json")) for c in columns}
+    if registry is not None:
+        log = registry.with_heads(log, columns)
+        python |= _decoded(registry, columns, indent, _checked(mode), search)
+        read |= {f"_avro_{c}": F.col(f"_decoded_{c}") for c in columns}
+    log = with_computed(log.withColumns(python), **read)
     for c in columns:
         if registry is not None:
             avro = F.col(f"_avro_{c}")["text"]

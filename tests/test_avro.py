@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import loglens as L
 from loglens.functions.avro import avro_reader, json_avro, render_avro
+from workload.queries import REGISTRY
 
 
 def varint(n):
@@ -215,3 +216,36 @@ def test_typed_columns_from_the_json_form(log, schemas):
     decoded = L.decode_avro(wire(log), schemas, with_json=True).where("offset = 1")
     row = decoded.select(F.from_json("value_avro.json", "f0 string, f1 int").alias("v")).first()
     assert row["v"] == ("field1", 42) and Decimal(row["v"]["f1"]) == 42 and dt.date(1970, 1, 5) > dt.date(1970, 1, 1)
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_payloads_pass_through_python_once(monkeypatch, capsys, log, schemas, joined):
+    """A task starts one Python worker, whatever its payloads need: decoding, and numbers of JSON."""
+    if joined:
+        monkeypatch.setattr("loglens.operators.payloads.SCHEMA_ROWS", 1)
+    df = wire(log).unionByName(log([("t", 0, 9, 0, "1.50", '{"a": 2.0}')])).withColumn("topic", F.lit("t"))
+    for shown in (L.with_payloads(df, schemas), L.text_filter(df, "field1", schemas)):
+        shown.explain()
+        assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    got = {r["offset"]: (r["key_text"], r["value_text"]) for r in L.with_payloads(df, schemas).collect()}
+    assert got[9] == ("1.5", '{"a":2.0}') and got[2] == ("k", '{"f0":"field1","f1":42}')
+    assert sorted(r["offset"] for r in L.text_filter(df, "field1", schemas).collect()) == [1, 2]
+
+
+def test_framed_logs_are_encoded_before_they_are_read(spark, tmp_path, capsys):
+    day = dt.datetime(2024, 1, 5)
+    events = [(i, day, i % 3, ("purchase", "view")[i % 2], i / 2, "{}") for i in range(12)]
+    orders = [(i, i % 5, "FOP"[i % 3], i / 4, day, "1-URGENT" if i % 3 else "5-LOW") for i in range(32)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(
+        orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    wanted = {
+        "text_filter_avro": [i for i in range(12) if i % 2 == 0],
+        "text_filter_orders": [i for i in range(32) if i % 4 != 3 and i % 2 == 0 and i % 3],
+    }
+    for name, offsets in wanted.items():
+        found = REGISTRY[name](spark, str(tmp_path))
+        found.explain()
+        assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+        assert sorted(r["offset"] for r in found.collect()) == offsets
